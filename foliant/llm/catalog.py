@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from foliant.llm import exact_dedup, line_dedup, mixing, sharding
+from foliant.llm import bpe, exact_dedup, line_dedup, mixing, sharding
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_bpe": bpe.op2_bpe,
     "op6_mixing": mixing.op6_mixing,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_sharding": sharding.op10_sharding,

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from foliant.llm import bpe, exact_dedup, language_id, line_dedup, mixing, quality, sharding
+from foliant.llm import bpe, exact_dedup, language_id, line_dedup, mixing, quality, sharding, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_bpe": bpe.op2_bpe,
     "op3_quality": quality.op3_quality,
     "op4_language_id": language_id.op4_language_id,
+    "op5_warc": warc.op5_warc,
     "op6_mixing": mixing.op6_mixing,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_sharding": sharding.op10_sharding,
 }
 ORACLES = {
     "op1_line_dedup": line_dedup.OP1_SQL,
+    "op5_warc": warc.OP5_SQL,
     "op6_mixing": mixing.OP6_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
     "op10_sharding": sharding.OP10_SQL,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliant.llm import bpe, exact_dedup, language_id, line_dedup, minhash, mixing, quality, sharding, warc
+from foliant.llm import bpe, exact_dedup, language_id, line_dedup, lm_scoring, minhash, mixing, quality, sharding, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_language_id": language_id.op4_language_id,
     "op5_warc": warc.op5_warc,
     "op6_mixing": mixing.op6_mixing,
+    "op7_lm_scoring": lm_scoring.op7_lm_scoring,
     "op8_minhash": minhash.op8_minhash,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_sharding": sharding.op10_sharding,

@@ -71,7 +71,10 @@ class Bpe:
         self.last_space = regex.compile(f"(?r)[{SPACE}]")
         self.next_space = regex.compile(f"[{SPACE}]")
         self.find_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda w: [w]
+        self.mark = next(iter(set.intersection(*map(set, self.special))), "") if self.special else "\n"
         self.known: dict[str, bytes] = {}
+        self.tokens: dict[str, bytes] = {}
+        self.raw = {t: i.to_bytes(4, "little") for t, i in {**self.vocab, **self.special}.items()}
 
     @cached_property
     def lookahead(self) -> int:
@@ -116,24 +119,22 @@ class Bpe:
                     heapq.heappush(heap, (r, left, alive[left], alive[right]))
         return [x for x in alive if x]
 
-    def stream(self, chunks: Iterable[bytes]) -> Iterator[int]:
-        """Ids of one pre-token that comes in pieces; holds lookahead + 1,024 symbols at most."""
+    def stream(self, token: str) -> Iterator[bytes]:
+        """The ids of one pre-token, as bytes of int32, once they are stable; holds lookahead + 1,024 symbols at most."""
+        symbols, raw, full = self.symbols, self.raw, self.lookahead + 1024
         window: list[str] = []
-        full = self.lookahead + 1024
-        for chunk in chunks:
-            for b in chunk:
-                window.append(self.symbols[b])
-                if len(window) > full:
-                    settled, end = 0, len(window) - 1 - self.lookahead  # the last symbol may yet end the word
-                    for t in self.merge(window[:-1]):
-                        if settled + (size := len(t)) > end:
-                            break
-                        yield self.vocab[t]
-                        settled += size
-                    del window[:settled]
-        if window:
-            window[-1] += self.suffix
-            yield from (self.vocab[t] for t in self.merge(window))
+        for i in range(0, len(token), 1024):
+            window += [symbols[b] for b in token[i : i + 1024].encode()]
+            if len(window) > full:
+                settled, end = 0, len(window) - 1 - self.lookahead  # the last symbol may yet end the word
+                for t in self.merge(window[:-1]):
+                    if settled + len(t) > end:
+                        break
+                    yield raw[t]
+                    settled += len(t)
+                del window[:settled]
+        window[-1] += self.suffix
+        yield from [raw[t] for t in self.merge(window)]
 
     # -- words and texts ----------------------------------------------------------------------
 
@@ -142,19 +143,23 @@ class Bpe:
             return word.lower()
         return "".join(c.lower() for c in unicodedata.normalize("NFC", word))
 
-    def word_ids(self, word: str) -> Iterator[int]:
-        """Ids of what stands between white space."""
-        for part in self.find_special(word):
-            if part in self.special:
-                yield self.special[part]
-            elif part:
-                for m in self.pattern.finditer(self.normalise(part)):
-                    token = m[0]
-                    yield from self.stream(token[i : i + 4096].encode() for i in range(0, len(token), 4096))
+    def token(self, token: str) -> bytes:
+        got = b"".join(self.stream(token))
+        if len(token) <= LONGEST_KEPT:
+            if len(self.tokens) >= MOST_WORDS:
+                self.tokens.clear()
+            self.tokens[token] = got
+        return got
 
     def word(self, word: str) -> bytes:
-        """The ids as bytes of int32, from the bounded table where the word is short."""
-        ids = np.fromiter(self.word_ids(word), "<i4").tobytes()
+        """The ids of what stands between white space, as bytes of int32; short words come from the bounded table."""
+        known, out = self.tokens, []
+        for part in self.find_special(word) if self.mark in word else [word]:
+            if part in self.special:
+                out.append(self.raw[part])
+            else:
+                out += [known.get(t) or self.token(t) for t in self.pattern.findall(self.normalise(part))]
+        ids = b"".join(out)
         if len(word) <= LONGEST_KEPT:
             if len(self.known) >= MOST_WORDS:
                 self.known.clear()

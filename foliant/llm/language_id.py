@@ -6,9 +6,8 @@ out-of-place distance: each of its n-grams costs the difference between the two
 where the profile lacks it. The nearest language wins, ties by name. The score is 1 minus the
 distance as a share of the largest possible.
 
-Profiles are learnt from all rows that may teach, not from a sample: workers count words, turn
-them into n-grams, and Spark sums the counts. Words and n-grams that are not letters do not occur: words are cut at whatever is no
-letter, after lower-casing.
+Profiles are learnt from all rows that may teach, not from a sample: workers count n-grams and Spark sums the
+counts. Words are cut at whatever is neither letter nor mark, in lower case.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, as is every text when nothing could be learnt;
 rows with a null language never teach; texts are read whole; repeated rows are judged alike; an empty table
@@ -18,12 +17,12 @@ gives no rows.
 from __future__ import annotations
 
 import unicodedata
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,53 +30,39 @@ from pyspark.sql import functions as F
 from foliant.llm.common import crc_of_id, small_batches, staged, table
 
 PROFILE = 400
-ORDERS = (1, 2, 3)
 UNKNOWN = "und"
-#: Bounds of the worker's tables; beyond them they are handed on or begun anew, with equal results.
-FLUSH = 100_000
-_letters = regex.compile(r"\p{L}[\p{L}\p{M}]*")
-
-
-def packed(word: str) -> list[int]:
-    """The n-grams of a padded word, each packed into one integer: 21 bits a letter, so codes order like the strings of one length."""
-    points = [32, *map(ord, word), 32]
-    out = []
-    for n in ORDERS:
-        for i in range(len(points) - n + 1):
-            code = 0
-            for p in points[i : i + n]:
-                code = code << 21 | p
-            if code != 32:
-                out.append(code)
-    return out
-
-
-def grams(token: str) -> np.ndarray:
-    """Packed n-grams of the words inside what stands between white space."""
-    found = [code for w in _letters.findall(unicodedata.normalize("NFC", token).lower()) for code in packed(w)]
-    return np.array(found, np.int64)
-
-
-class Grams:
-    """``grams`` with a bounded table of what was seen."""
-
-    def __init__(self, most: int = FLUSH):
-        self.known: dict[str, np.ndarray] = {}
-        self.most = most
-
-    def of(self, token: str) -> np.ndarray:
-        got = grams(token)
-        if len(token) <= 64:
-            if len(self.known) >= self.most:
-                self.known.clear()
-            self.known[token] = got
-        return got
-
-    def document(self, text: str) -> np.ndarray:
-        """All packed n-grams of a text."""
-        get = self.known.get
-        parts = [got if (got := get(t)) is not None else self.of(t) for t in text.split()]
-        return np.concatenate(parts) if parts else np.empty(0, np.int64)
+#: A task's counts are handed on and begun anew beyond this many n-grams; the sums stay the same.
+FLUSH = 1_000_000
+SPACE = 32
+
+
+@cache
+def letter_table() -> tuple[np.ndarray, np.ndarray]:
+    """For every code point: itself in lower case if it is a letter or a mark, else a space; and whether it is a letter."""
+    kind = [unicodedata.category(chr(c))[0] for c in range(0x110000)]
+    low = [ord(chr(c).lower()[0]) if k in "LM" else SPACE for c, k in enumerate(kind)]
+    return np.array(low, np.int64), np.array([k == "L" for k in kind])
+
+
+def grams(text: str) -> np.ndarray:
+    """Every 1- to 3-gram of the text's words, packed 21 bits a letter, so codes order as strings of one length do.
+
+    Words are one space apart; n-grams reach from a word to the spaces at its ends, never into the next word.
+    """
+    if not text.isascii() and not unicodedata.is_normalized("NFC", text):
+        text = unicodedata.normalize("NFC", text)
+    low, is_letter = letter_table()
+    points = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
+    if not is_letter[points].any():
+        return np.empty(0, np.int64)
+    x = np.full(len(points) + 2, SPACE)
+    x[1:-1] = low[points]
+    gap = x == SPACE
+    x = x[np.concatenate([[True], ~(gap[1:] & gap[:-1])])]
+    letter = x != SPACE
+    two = x[:-1] << 21 | x[1:]
+    three = (two[:-1] << 21 | x[2:])[letter[1:-1]]
+    return np.concatenate([x[letter], two, three])
 
 
 def ranked(codes: np.ndarray, most: int = PROFILE) -> np.ndarray:
@@ -90,32 +75,28 @@ def learn(docs: DataFrame, may_teach: Column, text_col: str = "text", lang_col:
     """The profile of each language. ``most`` rows for each language reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[str, Counter] = defaultdict(Counter)
-        totals: dict[str, Counter] = defaultdict(Counter)
-
-        def to_grams() -> None:
-            for lang, counts in words.items():
-                total = totals[lang]
-                for token, n in counts.items():
-                    for code in grams(token).tolist():
-                        total[code] += n
-            words.clear()
+        totals: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
         def hand_on() -> Iterator[pa.RecordBatch]:
-            for lang, total in totals.items():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(total), pa.string()), pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["lang", "code", "n"]
-                )
+            for lang, (codes, n) in totals.items():
+                for i in range(0, len(codes), 50_000):
+                    part = slice(i, i + 50_000)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes[part]), pa.string()), pa.array(codes[part]), pa.array(n[part])], ["lang", "code", "n"])
             totals.clear()
 
         for batch in batches:
+            texts: dict[str, list[str]] = defaultdict(list)
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words[lang].update(text.split())
-            if sum(map(len, words.values())) > FLUSH:
-                to_grams()
-                if sum(map(len, totals.values())) > FLUSH:
-                    yield from hand_on()
-        to_grams()
+                texts[lang].append(text)
+            for lang, held in texts.items():
+                codes, n = np.unique(grams(" ".join(held)), return_counts=True)
+                if lang in totals:
+                    was, m = totals[lang]
+                    all_codes, at = np.unique(np.concatenate([was, codes]), return_inverse=True)
+                    codes, n = all_codes, np.bincount(at, weights=np.concatenate([m, n])).astype(np.int64)
+                totals[lang] = codes, n
+            if sum(len(codes) for codes, _ in totals.values()) > FLUSH:
+                yield from hand_on()
         yield from hand_on()
 
     taught = docs.filter(may_teach).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
@@ -160,9 +141,8 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "
     schema = docs.select(*names).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = Grams()
         for batch in batches:
-            got = [table_of.nearest(ranked(seen.document(t or ""))) for t in batch.column(at).to_pylist()]
+            got = [table_of.nearest(ranked(grams(t or ""))) for t in batch.column(at).to_pylist()]
             more = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*names, "lang_pred", "score"])
 

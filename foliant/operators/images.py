@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Normalisation in 0..255, and for recognition in 0..1.
 IMAGENET_MEAN, IMAGENET_STD = (123.675, 116.28, 103.53), (58.395, 57.12, 57.375)
@@ -202,12 +203,17 @@ def _image(pixels: bytes, width: int, height: int, channels: int) -> np.ndarray:
     return img if channels > 1 else np.repeat(img, 3, 2)
 
 
-QUAD = "struct<tl:struct<x:double,y:double>,tr:struct<x:double,y:double>,br:struct<x:double,y:double>,bl:struct<x:double,y:double>>"
+POINT = T.StructType([T.StructField(k, T.DoubleType()) for k in "xy"])
+QUAD = T.StructType([T.StructField(k, POINT) for k in ("tl", "tr", "br", "bl")])
+
+
+def _with(frames: DataFrame, name: str, kind: T.DataType) -> T.StructType:
+    return T.StructType([*frames.schema.fields, T.StructField(name, kind)])
 
 
 def detect(frames: DataFrame) -> DataFrame:
     """frames with quad, null where no paper is found; frames without size are dropped before any pixel is read."""
-    schema = frames.schema.add("quad", QUAD)
+    schema = _with(frames, "quad", QUAD)
     names = ("tl", "tr", "br", "bl")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -235,7 +241,7 @@ def rectify(frames: DataFrame, width: int = 1200, height: int = 1600) -> DataFra
 
 def thumbnails(frames: DataFrame, side: int = 16) -> DataFrame:
     """frames with luma: side * side doubles."""
-    schema = frames.schema.add("luma", "array<double>")
+    schema = _with(frames, "luma", T.ArrayType(T.DoubleType()))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:

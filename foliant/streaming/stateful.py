@@ -11,37 +11,33 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-class Throttle(StatefulProcessor):
-    """ValueState of the last taken time, in microseconds."""
-
-    def __init__(self, gap: float, ttl_ms: int | None = None):
-        self.gap, self.ttl_ms = round(gap * 1e6), ttl_ms
+def throttle(frames: DataFrame, gap: float, ttl_ms: int | None = None) -> DataFrame:
+    """frames(session, id, ts, ...), streaming: those ``gap`` seconds or more after the last taken one of their session.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "at long", self.ttl_ms)
+    The state is the last taken time in microseconds.
+    """
+    least = round(gap * 1e6)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
         pdf = pd.concat(rows).sort_values(["ts", "id"], kind="stable")
-        last = self.last.get()[0] if self.last.exists() else None
         taken = []
         for at in pdf["ts"].astype("datetime64[us]").astype("int64"):
-            take = last is None or at - last >= self.gap
-            taken.append(take)
-            last = at if take else last
-        self.last.update((int(last),))
+            taken.append(last is None or at - last >= least)
+            last = int(at) if taken[-1] else last
+        state.update((last,))
+        if ttl_ms:
+            state.setTimeoutDuration(ttl_ms)
         yield pdf[taken]
 
-    def close(self) -> None:
-        pass
-
-
-def throttle(frames: DataFrame, gap: float, ttl_ms: int | None = None) -> DataFrame:
-    """frames(session, id, ts, ...), streaming: those ``gap`` seconds or more after the last taken one of their session."""
-    return frames.groupBy("session").transformWithStateInPandas(Throttle(gap, ttl_ms), frames.schema, "Append", "ProcessingTime")
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
+    return frames.groupBy("session").applyInPandasWithState(step, frames.schema, "last long", "append", timeout)
 
 
 def bits_between(words: np.ndarray, kept: np.ndarray) -> np.ndarray:

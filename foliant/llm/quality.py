@@ -1,7 +1,7 @@
 """Quality rules: Jensen-Shannon distance of a document's histograms from language references.
 
 References are taken from the whole corpus: for each language, the share of every character class and of its
-``COMMON`` most frequent words (all other words together are one more bin). A document is compared with
+``COMMON`` most frequent words (words without a letter, and all other words, are two more bins). A document is compared with
 every language and its nearest one counts, so the language column is not trusted for the document
 itself. Distances are square roots of the divergence in bits, from 0 to 1. Guards: the character
 histogram speaks only from ``MIN_CHARS`` characters in words on, the word histogram from ``MIN_WORDS`` words on.
@@ -16,6 +16,7 @@ no rows.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -31,10 +32,13 @@ from foliant.llm.common import small_batches, staged, table
 
 MIN_WORDS, MIN_CHARS = 40, 200
 COMMON = 40
-CLASS_LIMIT, WORD_LIMIT = 0.33, 0.42
+CLASS_LIMIT, WORD_LIMIT = 0.28, 0.42
 #: A task's word table is handed on and begun anew at this many entries; the sums stay the same.
 FLUSH = 200_000
 CLASSES = ("lower", "upper", "other_letter", "digit", "space", "punctuation", "symbol", "control")
+#: Words without a letter are one bin of the word histogram; a byte over 127 counts as part of a letter.
+NO_LETTER = b""
+_letter = re.compile(rb"[A-Za-z\x80-\xff]").search
 #: Fixed value: the characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 
@@ -72,6 +76,8 @@ def learn(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
         def hand_on() -> Iterator[pa.RecordBatch]:
             for lang, c in words.items():
+                bare = [w for w in c if not _letter(w)]
+                c[NO_LETTER] = sum(c.pop(w) for w in bare)
                 items = list(c.items())
                 for i in range(0, len(items), 20_000):
                     yield rows("word", [(lang, w, n) for w, n in items[i : i + 20_000]])
@@ -92,16 +98,17 @@ def learn(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
 
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", common: int = COMMON) -> dict[str, dict]:
-    """For each language: class shares, its common words and their shares with the rest's share last.
+    """For each language: class shares, its common words and their shares, then those of words without a letter and of all others.
 
     What reaches the driver is the class counts, and ``common`` words with one total, for each language.
     """
     sums = staged(learn(docs, text_col, lang_col), "quality-sums")
     words = sums.filter("kind = 'word'")
+    bare = {r["lang"]: r["n"] for r in words.filter("item = X''").collect()}
     rank = W.partitionBy("lang").orderBy(F.desc("n"), "item")
     # first the best of each slice, so that no task orders a whole language
     sliced = W.partitionBy("lang", "_s").orderBy(F.desc("n"), "item")
-    best = words.withColumn("_s", F.pmod(F.hash("item"), F.lit(64))).withColumn("_r", F.row_number().over(sliced)).filter(F.col("_r") <= common)
+    best = words.filter("item <> X''").withColumn("_s", F.pmod(F.hash("item"), F.lit(64))).withColumn("_r", F.row_number().over(sliced)).filter(F.col("_r") <= common)
     best = best.withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= common).select("lang", "item", "n", "r").collect()
     totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     shares: dict[str, dict] = defaultdict(lambda: {"classes": np.zeros(len(CLASSES)), "words": [], "n": []})
@@ -112,7 +119,7 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
         shares[r["lang"]]["n"].append(r["n"])
     out = {}
     for lang, v in sorted(shares.items()):
-        n = np.array([*v["n"], totals.get(lang, 0) - sum(v["n"])], float)
+        n = np.array([*v["n"], bare.get(lang, 0), totals.get(lang, 0) - bare.get(lang, 0) - sum(v["n"])], float)
         if v["classes"].sum() and n.sum():
             out[lang] = {"classes": v["classes"] / v["classes"].sum(), "words": v["words"], "shares": n / n.sum()}
     return out
@@ -143,10 +150,11 @@ class Rules:
             return 0.0, 0.0
         by_class = float(js_distance(classes / max(1, classes.sum()), self.classes).min())
         seen = np.fromiter(map(counts.get, self.words, [0] * len(self.words)), float, len(self.words))
+        bare = sum(n for w, n in counts.items() if not _letter(w))
         by_word = 1.0
         for own, shares in zip(self.own, self.shares):
             mine = seen[own]
-            by_word = min(by_word, float(js_distance(np.append(mine, n_words - mine.sum()) / max(1, n_words), shares)))
+            by_word = min(by_word, float(js_distance(np.append(mine, [bare, n_words - bare - mine.sum()]) / max(1, n_words), shares)))
         return by_class, by_word
 
 

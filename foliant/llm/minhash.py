@@ -3,12 +3,13 @@
 1. Each text's set of distinct word shingles (64-bit hashes) gives ``BANDS * ROWS`` minima of universal hash
    functions. Equal sets collapse to one node, the smallest id; copies are never linked pair by pair.
 2. Nodes that agree on all minima of a band share a bucket. A bucket's nodes are paired with its
-   smallest and its largest node, so a bucket of n nodes gives under 2n pairs.
+   smallest node, so a bucket of n nodes gives under n pairs.
 3. A pair stands if the share of equal minima does not rule it out (``SLACK`` below the threshold, over
-   seven standard errors) and the full sets then reach the threshold.
+   five standard errors) and the full sets then reach the threshold.
 4. Components of the links. In buckets that still hold several components, pairs across components are tested
-   too, so no link between components that share a bucket is lost: each node outside the bucket's largest
-   component is compared with the nodes of other components. Components are then found anew.
+   too, so no link between components that share a bucket is lost. Crowded buckets of that kind, as a large group of
+   edited copies makes them, first compare every node with their most central one, whose exact intersections then
+   bound those of all other pairs; pairs that the bound rules out are dropped. Components are then found anew.
 
 With 40 bands of 5, a pair at 0.8 misses every bucket with probability 1e-7.
 
@@ -34,7 +35,9 @@ from pyspark.sql import functions as F
 from foliant.llm.common import discard, small_batches, staged, table
 
 BANDS, ROWS = 40, 5
-SLACK = 0.2
+SLACK = 0.15
+#: Mixed buckets with more members are crowded: their nodes are first compared with the most central one.
+CROWD = 16
 MOST_WORDS = 200_000
 _rng = np.random.default_rng(20240501)
 FACTORS = _rng.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
@@ -134,22 +137,29 @@ def likely(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b of the pairs whose full sets reach 100 * intersection >= percent * union. sets: id, shingles."""
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, na, nb, common of pairs (a, b): the sizes of their full sets and of the intersection. sets: id, shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            na, nb, common = [], [], []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                small, large = sorted((len(x), len(y)))
-                common = len(np.intersect1d(x, y, assume_unique=True)) if 100 * small >= percent * large else 0
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+                na.append(len(x))
+                nb.append(len(y))
+                common.append(len(np.intersect1d(x, y, assume_unique=True)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(v, pa.int64()) for v in (na, nb, common)]], ["a", "b", "na", "nb", "common"])
 
     kind = pairs.schema["a"].dataType.simpleString()
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    return both.select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}, na long, nb long, common long")
+
+
+def reaching(found: DataFrame, percent: int) -> DataFrame:
+    """a < b of the overlaps with 100 * intersection >= percent * union."""
+    union = F.col("na") + F.col("nb") - F.col("common")
+    linked = found.filter(100 * F.col("common") >= percent * union)
+    return linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -183,11 +193,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = filled.groupBy("set_key").agg(F.min("id").alias("node"), F.any_value("sig").alias("sig"), F.any_value("keys").alias("keys"))
     nodes = staged(nodes, "nodes")
 
-    buckets = nodes.select("node", F.explode("keys").alias("key")).groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("tail")).filter("head <> tail")
+    buckets = nodes.select("node", F.explode("keys").alias("key")).groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     placed = nodes.select("node", F.explode("keys").alias("key"))
-    shared = staged(placed.join(buckets, "key").select("key", "node", "head", "tail"), "shared-buckets")
-    stars = shared.select(F.col("head").alias("a"), F.col("node").alias("b")).unionByName(shared.select(F.col("node").alias("a"), F.col("tail").alias("b")))
-    stars = stars.filter("a <> b").distinct()
+    shared = staged(placed.join(buckets, "key").select("key", "node", "head"), "shared-buckets")
+    stars = shared.select(F.col("head").alias("a"), F.col("node").alias("b")).filter("a <> b").distinct()
     sigs = nodes.select("node", "sig").join(shared.select("node").distinct(), "node", "left_semi")
     sigs = staged(sigs, "signatures")
     sig_a, sig_b = (sigs.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
@@ -196,25 +205,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = shared.select(F.col("node").alias("_node")).distinct()
     texts = docs.join(wanted, F.col(id_col) == F.col("_node"), "left_semi").select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sets = staged(shingle_sets(texts, width), "sets")
-    links = staged(confirmed(first, sets, percent), "links")
+    links = staged(reaching(overlaps(first, sets), percent), "links")
     labels = staged(components(links), "labels")
 
-    # pairs across components inside a bucket
-    label = F.coalesce("component", "node").alias("label")
-    member = shared.join(labels, "node", "left").select("key", "node", label)
-    per = member.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    main = per.groupBy("key").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
-    member = staged(member.join(main.select("key", "main"), "key"), "mixed-buckets")
-    out = member.filter("label <> main").select("key", F.col("node").alias("a"), F.col("label").alias("la"))
-    across = out.join(member.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), "main"), "key")
-    across = across.filter("la <> lb AND (lb = main OR a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    across = across.join(first, ["a", "b"], "left_anti")
+    # links across components that share a bucket
+    mixed_buckets = staged(members_of_mixed(shared, labels), "mixed-buckets")
+    stats = staged(crowd_stats(mixed_buckets, sets), "crowd-stats")
+    centred = staged(centres(mixed_buckets, stats), "centres")
+    pairs = centred.select(F.col("centre").alias("a"), F.col("node").alias("b")).filter("a <> b").distinct()
+    to_centre = staged(overlaps(pairs, sets), "to-centre")
+    central = reaching(to_centre, percent)
+    links = links.unionByName(central)
+    labels = staged(components(links), "labels")
+    again = staged(members_of_mixed(mixed_buckets, labels), "mixed-buckets")
+    across = crossing_pairs(again, stats, centred, to_centre, percent).join(first, ["a", "b"], "left_anti")
     second = staged(likely(across.join(sig_a, "a").join(sig_b, "b"), percent / 100), "likely-across")
-    more = staged(confirmed(second, sets, percent), "links-across")
+    more = staged(reaching(overlaps(second, sets), percent), "links-across")
     if not more.isEmpty():
-        stars = labels.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-        labels = staged(components(stars.unionByName(more)), "labels")
-    discard(shared, first, sets, member, second, sigs)
+        labels = staged(components(links.unionByName(more)), "labels")
+    discard(shared, first, second, sets, sigs, mixed_buckets, again, stats, centred, to_centre)
 
     of_set = nodes.select("set_key", "node").join(labels, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
     joined = signed.select("id", "n_shingles", "set_key").join(of_set, "set_key", "left")
@@ -224,6 +233,68 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def members_of_mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, node, label, size for the members of buckets that hold several components; size is the bucket's."""
+    label = F.coalesce("component", "node").alias("label")
+    named = members.select("key", "node").join(labels, "node", "left").select("key", "node", label)
+    per = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi")
+    return named.join(per.select("key", "size"), "key")
+
+
+def crowd_stats(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """node, n, shared, centrality of the nodes in mixed buckets of over ``CROWD`` members.
+
+    n: size of the set; shared: its shingles that any other of these nodes has, so an upper bound of every intersection;
+    centrality: the mean number of these nodes that have one of its shingles.
+    """
+    crowd = members.filter(F.col("size") > CROWD).select(F.col("node").alias("id")).distinct()
+    kind = sets.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                s = np.frombuffer(raw, np.int64)
+                for i in range(0, len(s), 50_000):
+                    part = s[i : i + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([node] * len(part)).cast(batch.schema.field(0).type), pa.array(part)], ["id", "s"])
+
+    pieces = sets.join(crowd, "id", "left_semi").mapInArrow(run, f"id {kind}, s long")
+    held = pieces.groupBy("s").agg(F.count(F.lit(1)).alias("d"))
+    joined = pieces.join(held, "s").groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("d") > 1).alias("shared"), F.avg("d").alias("centrality"))
+    return joined.withColumnRenamed("id", "node")
+
+
+def centres(members: DataFrame, stats: DataFrame) -> DataFrame:
+    """key, node, centre: for the members of crowded buckets the bucket's most central node."""
+    crowd = members.filter(F.col("size") > CROWD).join(stats.select("node", "centrality"), "node")
+    best = crowd.groupBy("key").agg(F.max(F.struct("centrality", "node"))["node"].alias("centre"))
+    return crowd.join(best, "key").select("key", "node", "centre")
+
+
+def crossing_pairs(members: DataFrame, stats: DataFrame, centred: DataFrame, to_centre: DataFrame, percent: int) -> DataFrame:
+    """a < b: all pairs of a bucket's nodes from different components that can reach the threshold.
+
+    In crowded buckets a pair drops out where its intersection is bound too low: inside the centre's set it is at most the smaller
+    of the two nodes' intersections with that set, and outside it at most the smaller number of the shingles that
+    either shares with anyone. With x as that bound, (100 + percent) * x has to reach percent * (n_a + n_b). A pair that
+    shares several buckets comes from the one with the smallest key only.
+    """
+    common = to_centre.select(F.col("a").alias("centre"), F.col("b").alias("node"), "common")
+    held = centred.join(common, ["centre", "node"], "left")
+    bound = members.join(held, ["key", "node"], "left").join(stats.select("node", "n", "shared"), "node", "left")
+    inside = F.when(F.col("node") == F.col("centre"), F.col("n")).otherwise(F.col("common"))
+    bound = bound.withColumn("i", inside).withColumn("o", F.greatest(F.lit(0), F.col("shared") - F.col("i")))
+    small = F.col("size") <= CROWD
+    bound = bound.join(members.groupBy("node").agg(F.collect_set("key").alias("ks")), "node")
+    worth = bound.filter(small | (100 * F.col("shared") >= percent * F.col("n")))
+    left = worth.select("key", "size", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("o").alias("oa"), F.col("ks").alias("ka"))
+    right = worth.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("o").alias("ob"), F.col("ks").alias("kb"))
+    can = small | ((100 + percent) * (F.least("ia", "ib") + F.least("oa", "ob")) >= percent * (F.col("na") + F.col("nb")))
+    once = F.array_min(F.array_intersect("ka", "kb")) == left["key"]
+    apart = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & can & once)
+    return apart.select("a", "b")
+
+
 def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
     """id and shingles (sorted 64-bit hashes as bytes) of texts(id, text)."""
 

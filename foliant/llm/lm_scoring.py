@@ -14,8 +14,8 @@ tokens (a documented bound) drawn in proportion to the counts; a token's own cou
 
 *Scoring.* A word's bits depend on the word alone and are computed once per batch. Inside a document
 the score adapts: a Bayesian mixture over several strengths of a cache of the document's own words, whose weights move with every
-token. ``bits_per_byte`` is that of this bit model. ``score`` mixes it, once more and in equal parts, with the unigram
-score as one more expert.
+token. ``score`` is the log10 probability that this model gives the text, and ``bits_per_byte`` says the same a byte.
+``joint_score`` mixes it in equal parts with the unigram score; that unigram is no distribution over strings.
 
 The unigram score with add-one smoothing needs every word's count. Frequent words (``FREQUENT`` at most, by a count threshold that
 a histogram gives) go to the workers; the others are joined by word, one row for each document and word.
@@ -379,7 +379,7 @@ def lgamma(x: np.ndarray) -> np.ndarray:
 
 
 def score(docs: DataFrame, teaches: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte for every row."""
+    """id_col, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte and joint_score for every row."""
     spark = docs.sparkSession
     small_batches(spark)
     sc = spark.sparkContext
@@ -447,8 +447,9 @@ def score(docs: DataFrame, teaches: Column, id_col: str = "doc_id", text_col: st
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         "base_score",
-        joint.alias("score"),
+        "score",
         (-F.col("score") * math.log2(10) / F.col("n_bytes")).alias("bits_per_byte"),
+        joint.alias("joint_score"),
     )
 
 
@@ -458,4 +459,4 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = score(table(spark, sf_dir, "documents"), ~held_out())
-    return out.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+    return out.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte", "joint_score")

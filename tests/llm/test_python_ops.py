@@ -206,6 +206,16 @@ def test_lm_base_and_score(docs, odd):
     assert len(got) == 7 and all(r.score < 0 for r in got)
 
 
+def test_lm_score_is_the_models_own(docs):
+    rows = {r.doc_id: [*(r.text or "").encode().lower().split(), b""] for r in docs.collect()}
+    out = {r.doc_id: r for r in lm_scoring.score(docs, ~lm_scoring.held_out()).collect()}
+    size = {i: sum(len(w) + 1 for w in words) for i, words in rows.items()}
+    for i, o in out.items():
+        assert math.isclose(o.score, -o.bits_per_byte * size[i] * math.log10(2), rel_tol=1e-9)
+    held = [i for i in rows if zlib.crc32(str(i).encode()) % 7 == 2]
+    assert -sum(out[i].score for i in held) / math.log10(2) < 2.6 * sum(size[i] for i in held)
+
+
 # -- MinHash ------------------------------------------------------------------------------------------------
 
 

@@ -2,18 +2,18 @@
 
 A text is its words in lower case, each ended by a space byte, and one empty word as its end. Bytes are
 coded by a Huffman code of the training bytes, so one binary decision is one node of the code's tree. Predictors
-count, in hashed slots, how decisions went in five contexts inside the word: the last 1, 2, 3 and 5 bytes and all bytes
-since its start. Their logits are mixed by weights that a gate picks (how often the two longest
+count, in hashed slots, how decisions went in seven contexts: inside the word the last 1, 2, 3 and 5 bytes and all bytes
+since its start; and for a word's first ``HEAD`` bytes, across the space, the previous word or its last two bytes, with all bytes since
+the word's start. Their logits are mixed by weights that a gate picks (how often the longest
 contexts were seen), and a table indexed by gate and logit refines the result.
 
-*What the corpus gives.* Words are counted over all training texts. Slots are filled from the counted words, each weighted
-by its count, which equals a pass over all training bits; each task adds up its slots and blocks of slots are summed
-by key. The slot tables have a fixed size (``SLOT_BITS``), so the model can be broadcast. Weights and the refining table
-learn online, a mini-batch of decisions at a time, each predicted before it is learnt from, over ``SAMPLE``
-tokens (a documented bound) drawn in proportion to the counts; a token's own counts are taken out of its slots first.
+*What the corpus gives.* Words are counted over all training texts. Slots inside words are filled from the counted words, each weighted
+by its count, which equals a pass over all training bits; slots across words are filled from all training texts. Blocks of slots are summed
+by key. Table sizes are fixed (``LEAST_BITS``). Weights and the refining table learn online, a mini-batch of decisions at a time, each
+predicted before it is learnt from, over ``SAMPLE`` tokens; a token's own counts are taken out of its slots first.
 
-*Scoring.* A word's bits depend on the word alone and are computed once per batch. Inside a document
-the score adapts: a Bayesian mixture over several strengths of a cache of the document's own words, whose weights move with every
+*Scoring.* A token's bits depend on its word and the one before; each such pair is computed once per batch. Inside a document
+the score adapts: a Bayesian mixture over several strengths of a cache of the words that the document had so far, whose weights move with every
 token. ``score`` is the log10 probability that this model gives the text, and ``bits_per_byte`` says the same a byte.
 ``joint_score`` mixes it in equal parts with the unigram score; that unigram is no distribution over strings.
 
@@ -40,27 +40,34 @@ from pyspark.sql import functions as F
 
 from foliant.llm.common import crc_of_id, small_batches, staged, table
 
-SLOT_BITS = (16, 18, 20, 20, 21)
+INSIDE, HEAD = 5, 3
+LEAST_BITS = (16, 18, 20, 20, 21, 20, 18)
 BLOCK_BITS = 16
 SAMPLE = 100_000
 FREQUENT = 1 << 17
 FLUSH = 200_000
 SHARES = (30.0, 300.0, 3000.0, 30000.0)
-STEP = 256  # logits are kept in units of 1/STEP
-_starts = np.cumsum([0, *(1 << b for b in SLOT_BITS)]).astype(np.int64)
-SLOTS = int(_starts[-1])
 _rng = np.random.default_rng(7)
 _odd = lambda n: _rng.integers(0, 1 << 64, n, np.uint64) | np.uint64(1)
-ODD, NODE_MIX, POWERS = _odd(8), _odd(512), _odd(64)
+ODD, NODE_MIX, POWERS, ACROSS = _odd(8), _odd(512), _odd(64), _odd(4)
+
+#: Counts are kept as a byte: exact up to 32, then 16 steps for each doubling.
+VALUES = np.concatenate([np.arange(33.0), 32 * 2 ** (np.arange(1, 224) / 16)]).astype(np.float32)
+
+
+def quantised(n: np.ndarray) -> np.ndarray:
+    return np.where(n <= 32, n, 32 + np.rint(16 * np.log2(np.maximum(n, 32) / 32)).clip(0, 223)).astype(np.uint8)
 
 
 # -- the code of bytes ------------------------------------------------------------------------
 
 
 class Code:
-    """Huffman code of the 256 bytes: for each byte its length, and node and bit of every decision."""
+    """Huffman code of the 256 bytes: for each byte its length, and node and bit of every decision; and the tables' sizes."""
 
-    def __init__(self, counts: np.ndarray):
+    def __init__(self, counts: np.ndarray, bits: tuple[int, ...] = LEAST_BITS):
+        self.bits = bits
+        self.starts = np.cumsum([0, *(1 << b for b in bits)]).astype(np.int64)
         heap = [(int(c) + 1, b, b) for b, c in enumerate(counts)]
         heapq.heapify(heap)
         tree: dict[int, tuple[int, int]] = {}
@@ -83,39 +90,70 @@ class Code:
         self.bit = np.array([b for p in paths for _, b in p], np.uint8)
 
 
-def decisions(code: Code, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slots (context, decision), bits, and the number of decisions of each word."""
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    x = np.frombuffer(b" ".join([*words, b""]), np.uint8)
-    begin = np.cumsum(sizes) - sizes
-    start = np.repeat(begin, sizes)
-    pos = np.arange(len(x)) - start
-    back = []
-    for k in range(1, 6):
-        c = np.zeros(len(x), np.uint64)
-        c[k:] = x[:-k] if k <= len(x) else 0
-        c[pos < k] = 0
-        back.append(c)
-    terms = (x.astype(np.uint64) + np.uint64(1)) * POWERS[pos & 63]
-    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms)])
-    two = back[0] | back[1] << np.uint64(8)
-    three = two | back[2] << np.uint64(16)
-    five = three | back[3] << np.uint64(24) | back[4] << np.uint64(32)
-    whole = (run[:-1] - run[start]) ^ (pos.astype(np.uint64) << np.uint64(56))
-    steps = code.length[x]
-    rep = np.repeat(np.arange(len(x)), steps)
-    at = np.arange(len(rep)) - np.repeat(np.cumsum(steps) - steps, steps) + code.first[x][rep]
-    node, bit = code.node[at], code.bit[at]
-    slots = np.empty((5, len(rep)), np.int64)
-    slots[0] = (back[0].astype(np.int64) << 8)[rep] + node
-    mix = NODE_MIX[node]
-    for k, ctx in enumerate((two, three, five, whole), 1):
-        h = ctx * ODD[k]
-        h ^= h >> np.uint64(29)
-        h = (h[rep] + mix) * ODD[k + 3]
-        slots[k] = (h >> np.uint64(64 - SLOT_BITS[k])).astype(np.int64) + _starts[k]
-    per_word = np.add.reduceat(steps, begin) if len(words) else np.empty(0, np.int64)
-    return slots, bit, per_word
+class Bits:
+    """The decisions of words: slots (context inside the word, decision), bit, number of decisions a word, and what contexts across
+    words need: key of prefix and node, whether it lies in the word's head, and each word's hash and last two bytes. ``only_heads``: the heads'
+    decisions, without slots."""
+
+    def __init__(self, code: Code, words: list[bytes], only_heads: bool = False):
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        x = np.frombuffer(b" ".join([*words, b""]), np.uint8)
+        begin = np.cumsum(sizes) - sizes
+        start = np.repeat(begin, sizes)
+        pos = np.arange(len(x)) - start
+        terms = (x.astype(np.uint64) + np.uint64(1)) * POWERS[pos & 63]
+        run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms)])
+        whole = (run[:-1] - run[start]) ^ (pos.astype(np.uint64) << np.uint64(56))
+        back = []
+        for k in range(1, 3 if only_heads else 6):
+            c = np.zeros(len(x), np.uint64)
+            c[k:] = x[:-k] if k <= len(x) else 0
+            c[pos < k] = 0
+            back.append(c)
+        two = back[0] | back[1] << np.uint64(8)
+        steps = np.where(pos < HEAD, code.length[x], 0) if only_heads else code.length[x]
+        rep = np.repeat(np.arange(len(x)), steps)
+        at = np.arange(len(rep)) - np.repeat(np.cumsum(steps) - steps, steps) + code.first[x][rep]
+        node, self.bit = code.node[at], code.bit[at]
+        mix = NODE_MIX[node]
+        if not only_heads:
+            three = two | back[2] << np.uint64(16)
+            five = three | back[3] << np.uint64(24) | back[4] << np.uint64(32)
+            self.slots = np.empty((INSIDE, len(rep)), np.int64)
+            self.slots[0] = (back[0].astype(np.int64) << 8)[rep] + node
+            for k, ctx in enumerate((two, three, five, whole), 1):
+                h = ctx * ODD[k]
+                h ^= h >> np.uint64(29)
+                h = (h[rep] + mix) * ODD[k + 3]
+                self.slots[k] = (h >> np.uint64(64 - code.bits[k])).astype(np.int64) + code.starts[k]
+        self.key = mixed(whole * ACROSS[0])[rep] + mix
+        self.head = (pos < HEAD)[rep]
+        self.per = np.add.reduceat(steps, begin) if len(words) else np.empty(0, np.int64)
+        last = begin + sizes - 1
+        self.hash = mixed(whole[last]) if len(words) else np.empty(0, np.uint64)
+        self.ending = mixed(two[last] + np.uint64(1)) if len(words) else np.empty(0, np.uint64)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * ODD[7]
+    return h ^ (h >> np.uint64(29))
+
+
+def across(code: Code, key: np.ndarray, before: np.ndarray, ending: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of decisions in the two contexts across words."""
+    out = []
+    for k, h in ((5, before), (6, ending)):
+        h = (h + key) * ACROSS[k - 4]
+        h ^= h >> np.uint64(32)
+        h *= ACROSS[3]
+        out.append((h >> np.uint64(64 - code.bits[k])).astype(np.int64) + code.starts[k])
+    return out[0], out[1]
+
+
+def spread(first: np.ndarray, per: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the picked words' decisions, and how many each has."""
+    n = per[picked]
+    return np.arange(int(n.sum())) + np.repeat(first[picked] - (np.cumsum(n) - n), n), n
 
 
 def slices(words: list[bytes], most: int = 1 << 16) -> Iterator[tuple[int, int]]:
@@ -176,22 +214,35 @@ def byte_counts(counts: DataFrame) -> np.ndarray:
     return out
 
 
-def count_slots(counts: DataFrame, code: Code) -> np.ndarray:
-    """(2, SLOTS): how often each slot's decision was 0 and 1, over all training words.
+def count_slots(docs: DataFrame, counts: DataFrame, code: Code) -> np.ndarray:
+    """(slots, 2): how often each slot's decision was 0 and 1, over all training words and pairs of words, as quantised bytes.
 
-    Tasks send the slots that they filled, block by block; blocks are summed by key. The driver gets one array of fixed size.
+    Tasks send the slots that they filled, block by block; blocks are summed by key.
     """
+    across_from = int(code.starts[INSIDE])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(2 * SLOTS)
+    def rows(block: list[int], data: list[bytes]) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(block), 16):
+            yield pa.RecordBatch.from_arrays([pa.array(block[i : i + 16], pa.int32()), pa.array(data[i : i + 16], pa.binary())], ["block", "data"])
 
-        def add(words: list[bytes], n: list[int]) -> None:
-            slots, bit, per = decisions(code, words)
-            weight = np.repeat(np.array(n, float), per)
-            for k, row in enumerate(slots):
-                part = slice(2 * int(_starts[k]), 2 * int(_starts[k + 1]))
-                key = (row - _starts[k]) * 2 + bit
-                table[part] += np.bincount(key, weights=weight, minlength=part.stop - part.start)
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def add(words: list[bytes], n: list[int]) -> Iterator[pa.RecordBatch]:
+            keys, sums = [], []
+            for i, j in slices(words, 1 << 17):
+                got = Bits(code, words[i:j])
+                weight = np.repeat(np.array(n[i:j], float), got.per)
+                for row in got.slots:
+                    key, back = np.unique(row * 2 + got.bit, return_inverse=True)
+                    keys.append(key)
+                    sums.append(np.bincount(back, weights=weight))
+            key, back = np.unique(np.concatenate(keys), return_inverse=True)
+            total = np.bincount(back, weights=np.concatenate(sums)).astype(np.float32)
+            edges = np.flatnonzero(np.diff(key >> (BLOCK_BITS + 1))) + 1
+            block, data = [], []
+            for k, t in zip(np.split(key, edges), np.split(total, edges)):
+                block.append(int(k[0] >> (BLOCK_BITS + 1)))
+                data.append(zlib.compress((k & ((2 << BLOCK_BITS) - 1)).astype(np.uint32).tobytes() + t.tobytes(), 1))
+            yield from rows(block, data)
 
         words, n, size = [], [], 0
         for batch in batches:
@@ -199,43 +250,72 @@ def count_slots(counts: DataFrame, code: Code) -> np.ndarray:
                 words.append(w)
                 n.append(c)
                 size += len(w) + 1
-                if size >= 1 << 17:
-                    add(words, n)
+                if size >= 1 << 20:
+                    yield from add(words, n)
                     words, n, size = [], [], 0
         if words:
-            add(words, n)
-        pairs = table.reshape(-1, 2)
-        block, data = [], []
-        for b in range(0, SLOTS, 1 << BLOCK_BITS):
-            part = pairs[b : b + (1 << BLOCK_BITS)]
-            used = np.flatnonzero(part.any(1))
-            if len(used):
-                block.append(b >> BLOCK_BITS)
-                data.append(zlib.compress(used.astype(np.uint16).tobytes() + part[used].astype(np.float32).tobytes(), 1))
-        for i in range(0, len(block), 16):
-            yield pa.RecordBatch.from_arrays([pa.array(block[i : i + 16], pa.int32()), pa.array(data[i : i + 16], pa.binary())], ["block", "data"])
+            yield from add(words, n)
+
+    def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(2 * (int(code.starts[-1]) - across_from), np.float32)
+        for batch in batches:
+            words, ids, before, _ = tokens_of(batch.column(0).to_pylist(), {})
+            got = Bits(code, words, only_heads=True)
+            first = np.cumsum(got.per) - got.per
+            pair, times = np.unique(before * len(words) + ids, return_counts=True)
+            for i in range(0, len(pair), 1 << 15):
+                b, w = np.divmod(pair[i : i + (1 << 15)], len(words))
+                at, n = spread(first, got.per, w)
+                weight = np.repeat(times[i : i + (1 << 15)].astype(np.float32), n)
+                for row in across(code, got.key[at], np.repeat(got.hash[b], n), np.repeat(got.ending[b], n)):
+                    np.add.at(table, (row - across_from) * 2 + got.bit[at], weight)
+        width = 2 << BLOCK_BITS
+        for b in range(0, len(table), width):
+            part = table[b : b + width]
+            if part.any():
+                yield from rows([(across_from >> BLOCK_BITS) + b // width], [zlib.compress(part.astype(np.uint16 if part.max() < 65536 else np.uint32).tobytes(), 1)])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
+        width = 2 << BLOCK_BITS
         for batch in batches:
             for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data = zlib.decompress(raw)
-                n = len(data) // 10
-                total = sums.setdefault(block, np.zeros((1 << BLOCK_BITS, 2)))
-                total[np.frombuffer(data, np.uint16, n)] += np.frombuffer(data, np.float32, 2 * n, 2 * n).reshape(-1, 2)
+                total = sums.setdefault(block, np.zeros(width, np.float32))
+                if block << BLOCK_BITS >= across_from:
+                    total += np.frombuffer(data, np.uint16 if len(data) == 2 * width else np.uint32)
+                else:
+                    n = len(data) // 8
+                    total[np.frombuffer(data, np.uint32, n)] += np.frombuffer(data, np.float32, n, 4 * n)
         for block, total in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([zlib.compress(total.astype(np.float32).tobytes(), 1)], pa.binary())], ["block", "data"])
+            yield from rows([block], [zlib.compress(quantised(total).tobytes(), 1)])
 
-    parts = counts.select("word", "n").mapInArrow(run, "block int, data binary")
-    merged = parts.repartition("block").mapInArrow(merge, "block int, data binary").collect()
-    out = np.zeros((SLOTS, 2), np.float32)
-    for r in merged:
+    parts = counts.select("word", "n").mapInArrow(inside, "block int, data binary").unionByName(docs.mapInArrow(between, "block int, data binary"))
+    merged = staged(parts.repartition("block").mapInArrow(merge, "block int, data binary"), "slots")
+    out = np.zeros((int(code.starts[-1]), 2), np.uint8)
+    for r in merged.toLocalIterator():
         at = r["block"] << BLOCK_BITS
-        got = np.frombuffer(zlib.decompress(bytes(r["data"])), np.float32).reshape(-1, 2)
-        out[at : at + (1 << BLOCK_BITS)] = got[: SLOTS - at]
+        out[at : at + (1 << BLOCK_BITS)] = np.frombuffer(zlib.decompress(bytes(r["data"])), np.uint8).reshape(-1, 2)
     return out
 
 
+def tokens_of(texts: list[str | None], common: dict[bytes, int]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """The words that ``common`` has not, in order, numbered after it; of all tokens their word's and previous word's numbers;
+    and each text's number of tokens. The empty word ends every text and stands before its first word."""
+    lists = [(t or "").encode().lower().split() for t in texts]
+    flat = []
+    for words in lists:
+        flat += words
+        flat.append(b"")
+    new = sorted({*flat, b""}.difference(common))
+    fresh = {w: i for i, w in enumerate(new, len(common))}
+    get = common.get
+    ids = np.fromiter([got if (got := get(w)) is not None else fresh[w] for w in flat], np.int64, len(flat))
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists)) + 1
+    empty = common[b""] if b"" in common else fresh[b""]
+    return new, ids, np.concatenate([np.full(1, empty), ids[:-1]])[: len(ids)], sizes
+
+
 # -- the mixer --------------------------------------------------------------------------------
 
 
@@ -245,7 +325,12 @@ def logits(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
 
 def seen(n: np.ndarray) -> np.ndarray:
     """Confidence class of a slot: never, rarely, some times, often."""
-    return ((n > 0).astype(np.int64) + (n > 2)) + (n > 15)
+    return ((n > 0).astype(np.uint8) + (n > 2)) + (n > 15)
+
+
+#: Logit and confidence class of each pair of quantised counts, read as 16 bits.
+_n0, _n1 = np.tile(VALUES, 256), np.repeat(VALUES, 256)
+LOGIT, SEEN = logits(_n0, _n1), seen(_n0 + _n1).astype(np.uint8)
 
 
 class Mixer:
@@ -256,6 +341,7 @@ class Mixer:
     def __init__(self):
         self.w = np.full((self.GATES, 6), 0.3, np.float32)
         self.w[:, 5] = 0
+        self.v = np.full((2, 17), 0.2, np.float32)  # 16: not in a word's head
         centre = 1 / (1 + np.exp(-(np.arange(self.LEVELS) - 16) / 2))
         self.hits = np.tile(centre * 16, (self.GATES, 1))
         self.total = np.full((self.GATES, self.LEVELS), 16.0)
@@ -265,63 +351,114 @@ class Mixer:
         """From the confidence classes (context, decision) of the three longest contexts."""
         return (conf[0] * 16 + conf[1] * 4 + conf[2]).astype(np.intp)
 
-    def mix(self, st: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Mixed probability, the refining table's level and the final probability that the bit is 1."""
+    def inside(self, st: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        """The mixed logit of the contexts inside the word."""
         w = np.ascontiguousarray(self.w.T)
         x = w[5][gate]
-        for k in range(5):
+        for k in range(INSIDE):
             x += w[k][gate] * st[k]
-        np.clip(x, -11, 11, out=x)
+        return x
+
+    def final(self, x: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Mixed probability, the refining table's level and the final probability that the bit is 1."""
+        x = np.clip(x, -11, 11)
         p = 1 / (1 + np.exp(-x))
         level = (x * 2 + 16.5).astype(np.int16).clip(0, self.LEVELS - 1)
-        refined = (self.hits / self.total).astype(np.float32).ravel()[gate * self.LEVELS + level]
+        refined = (self.hits / self.total).astype(np.float32).ravel()[gate * np.intp(self.LEVELS) + level]
         return p, level, np.clip((p + refined) / 2, 2e-5, 1 - 2e-5)
 
-    def learn(self, st: np.ndarray, gate: np.ndarray, bit: np.ndarray, rate: float = 1.0) -> float:
-        """One mini-batch: predict, then update; the bits that it cost."""
-        p, level, final = self.mix(st, gate)
+    def learn(self, st: np.ndarray, gate: np.ndarray, far: np.ndarray, bit: np.ndarray, rate: float = 1.0) -> float:
+        """One mini-batch: predict, then update; the bits that it cost. far: for both contexts across words their weight's place."""
+        x = self.inside(st, gate)
+        for k in range(2):
+            x += self.v[k][far[k]] * st[INSIDE + k]
+        p, level, final = self.final(x, gate)
         err = bit - p
         n = np.bincount(gate, minlength=self.GATES) + 8.0
-        for k in range(5):
+        for k in range(INSIDE):
             self.w[:, k] += rate * np.bincount(gate, weights=err * st[k], minlength=self.GATES) / n
         self.w[:, 5] += rate * np.bincount(gate, weights=err, minlength=self.GATES) / n
+        for k in range(2):
+            n = np.bincount(far[k], minlength=17) + 8.0
+            self.v[k] += rate * np.bincount(far[k], weights=err * st[INSIDE + k], minlength=17) / n
         np.add.at(self.hits, (gate, level), bit)
         np.add.at(self.total, (gate, level), 1.0)
         return float(-np.log2(np.where(bit == 1, final, 1 - final)).sum())
 
 
+class Words:
+    """What the model keeps of words: the decisions of their heads (logit inside the word, gate, bit, key), the natural log
+    probability of the rest, and what the next word's contexts take from them."""
+
+    FIELDS = ("x", "gate", "bit", "key", "per", "rest", "hash", "ending")
+
+    def __init__(self, **parts: np.ndarray):
+        self.__dict__.update(parts)
+        self.first = np.cumsum(self.per) - self.per
+
+    def plus(self, other: Words) -> Words:
+        return Words(**{f: np.concatenate([getattr(self, f), getattr(other, f)]) for f in self.FIELDS})
+
+
 class Model:
-    """Quantised slots, mixer and code: gives a word's natural log probability."""
+    """Quantised slots, mixer and code: gives a word's natural log probability after another word."""
 
     def __init__(self, code: Code, pairs: np.ndarray, mixer: Mixer):
-        q = np.clip(np.rint(logits(pairs[:, 0], pairs[:, 1]) * STEP), -8191, 8191).astype(np.int16)
-        self.slots = (q << 2) | seen(pairs.sum(1)).astype(np.int16)
+        self.slots = pairs.view(np.uint16).ravel()
         self.code, self.mixer = code, mixer
 
-    def words(self, words: list[bytes]) -> np.ndarray:
-        out = np.empty(len(words))
+    def words(self, words: list[bytes]) -> Words:
+        parts = []
         for i, j in slices(words):
-            slots, bit, per = decisions(self.code, words[i:j])
-            got = self.slots.take(slots)
-            _, _, p = self.mixer.mix((got >> 2) * np.float32(1 / STEP), self.mixer.gate(got[2:] & 3))
-            cost = np.log(np.abs(p + bit - 1))
-            out[i:j] = np.add.reduceat(cost, np.cumsum(per) - per)
+            b = Bits(self.code, words[i:j])
+            got = self.slots.take(b.slots)
+            gate = self.mixer.gate(SEEN[got[2:]])
+            x = self.mixer.inside(LOGIT[got], gate)
+            _, _, p = self.mixer.final(x, gate)
+            begin = np.cumsum(b.per) - b.per
+            rest = np.add.reduceat(np.where(b.head, 0, np.log(np.abs(p + b.bit - 1))), begin)
+            per = np.add.reduceat(b.head.astype(np.int64), begin)
+            h = b.head
+            parts.append((x[h], gate[h].astype(np.uint8), b.bit[h], b.key[h], per, rest, b.hash, b.ending))
+        kinds = (np.float32, np.uint8, np.uint8, np.uint64, np.int64, np.float64, np.uint64, np.uint64)
+        cols = list(zip(*parts)) or [()] * len(kinds)
+        return Words(**{f: np.concatenate([np.empty(0, t), *c]) for f, t, c in zip(Words.FIELDS, kinds, cols)})
+
+    def after(self, known: Words, before: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Natural log probability of each word after the word before, both as numbers into ``known``."""
+        out = np.empty(len(words))
+        for i in range(0, len(words), 1 << 13):
+            part = slice(i, i + (1 << 13))
+            at, n = spread(known.first, known.per, words[part])
+            x, gate = known.x[at], known.gate[at]
+            whole = (gate & 3) << 2
+            b = before[part]
+            slots = across(self.code, known.key[at], np.repeat(known.hash[b], n), np.repeat(known.ending[b], n))
+            for v, row in zip(self.mixer.v, slots):
+                got = self.slots.take(row)
+                x += v[whole + SEEN[got]] * LOGIT[got]
+            _, _, p = self.mixer.final(x, gate)
+            cost = np.log(np.abs(p + known.bit[at] - 1))
+            out[part] = np.add.reduceat(cost, np.cumsum(n) - n) + known.rest[words[part]]
         return out
 
 
-def train_mixer(words: list[bytes], code: Code, pairs: np.ndarray, batch: int = 512) -> Mixer:
-    """Online pass over sampled tokens, each without its own share of the counts; the rate falls from 2."""
+def train_mixer(tokens: list[tuple[bytes, bytes]], code: Code, pairs: np.ndarray, batch: int = 512) -> Mixer:
+    """Online pass over sampled (previous word, word), each without its own share of the counts; the rate falls from 2."""
     mixer = Mixer()
-    parts = list(slices(words, 1 << 15))
+    parts = list(slices([w for _, w in tokens], 1 << 15))
     for at, (i, j) in enumerate(parts):
-        slots, bit, _ = decisions(code, words[i:j])
-        n0 = np.maximum(pairs[slots, 0] - (bit == 0), 0)
-        n1 = np.maximum(pairs[slots, 1] - (bit == 1), 0)
+        b, prior = Bits(code, [w for _, w in tokens[i:j]]), Bits(code, [w for w, _ in tokens[i:j]], only_heads=True)
+        far = across(code, b.key, np.repeat(prior.hash, b.per), np.repeat(prior.ending, b.per))
+        slots = np.concatenate([b.slots, far])
+        n0, n1 = (np.maximum(VALUES[pairs[slots, k]] - (b.bit == k), 0) for k in (0, 1))
         st, conf = logits(n0, n1), seen(n0 + n1)
-        gate = mixer.gate(conf[2:])
-        for k in range(0, len(bit), batch):
+        st[INSIDE:, ~b.head] = 0
+        gate = mixer.gate(conf[2:INSIDE])
+        place = np.where(b.head, conf[INSIDE - 1] * 4 + conf[INSIDE:], 16).astype(np.intp)
+        for k in range(0, len(b.bit), batch):
             s = slice(k, k + batch)
-            mixer.learn(st[:, s], gate[s], bit[s].astype(np.float32), 2 / (1 + 8 * at / len(parts)))
+            mixer.learn(st[:, s], gate[s], place[:, s], b.bit[s].astype(np.float32), 2 / (1 + 8 * at / len(parts)))
     return mixer
 
 
@@ -342,33 +479,44 @@ def frequent(counts: DataFrame, most: int = FREQUENT) -> DataFrame:
     return counts.filter(F.col("n") >= least)
 
 
-def sample_tokens(counts: DataFrame, total: int, size: int = SAMPLE) -> list[bytes]:
-    """About ``size`` tokens, each word as often as its share says, in the order of a hash."""
-    u = (F.pmod(F.xxhash64("word"), F.lit(1 << 20)) + 0.5) / float(1 << 20)
-    drawn = counts.withColumn("copies", F.floor(F.col("n") * (size / max(total, 1)) + u)).filter("copies > 0")
-    rows = drawn.select("word", "copies").collect()
-    words = sorted(bytes(r["word"]) for r in rows for _ in range(r["copies"]))
-    return [words[i] for i in np.random.default_rng(11).permutation(len(words))]
+def sample_tokens(docs: DataFrame, total: int) -> list[tuple[bytes, bytes]]:
+    """(previous word, word) of about ``SAMPLE`` tokens of docs(text), in random order."""
+    rate = SAMPLE / max(total, 1)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            before, words = [], []
+            for text in batch.column(0).to_pylist():
+                raw = (text or "").encode().lower()
+                held = [b"", *raw.split(), b""]
+                take = np.flatnonzero(np.random.default_rng(zlib.crc32(raw)).random(len(held) - 1) < rate).tolist()
+                before += [held[i] for i in take]
+                words += [held[i + 1] for i in take]
+            yield pa.RecordBatch.from_arrays([pa.array(before, pa.binary()), pa.array(words, pa.binary())], ["before", "word"])
 
-def document_score(cost: np.ndarray, times: np.ndarray) -> float:
-    """log10 probability of a document from its distinct words' natural log probabilities and their counts.
+    rows = sorted((bytes(r["before"]), bytes(r["word"])) for r in docs.mapInArrow(run, "before binary, word binary").collect())
+    return [rows[i] for i in np.random.default_rng(11).permutation(len(rows))]
 
-    The cache is a Polya urn over the document's own words: a token is drawn anew from the model with weight
-    ``s``, or repeats an earlier token with that token's count as weight, so the probability does not depend on the words'
-    order: words seen n times give the product of (s p + i) over i < n, over the product of (s + i) over all places. ``SHARES``
+
+def document_scores(cost: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """log10 probability of documents from their tokens' natural log probabilities, words and numbers of tokens.
+
+    The cache is a Polya urn over the document's words so far: a token is drawn anew from the model with weight
+    ``s``, or repeats an earlier token: (s p + earlier tokens of the word) over (s + earlier tokens). ``SHARES``
     of s, and no cache at all, are mixed with equal weight.
     """
-    total = int(times.sum())
-    totals = [float(cost @ times)]
-    for s in SHARES:
-        w = s * np.exp(cost)
-        many = times > 1
-        single = np.log(w[~many]).sum()
-        repeats = (lgamma(w[many] + times[many]) - lgamma(w[many])).sum() if many.any() else 0.0
-        totals.append(float(single + repeats - (math.lgamma(s + total) - math.lgamma(s))))
-    top = max(totals)
-    return (top + math.log(sum(math.exp(t - top) for t in totals) / len(totals))) / math.log(10)
+    begin = np.cumsum(sizes) - sizes
+    place = np.arange(len(ids)) - np.repeat(begin, sizes)
+    owner = np.repeat(np.arange(len(sizes)), sizes) * (int(ids.max(initial=0)) + 1) + ids
+    order = np.argsort(owner, kind="stable")
+    new = np.concatenate([np.ones(1, bool), np.diff(owner[order]) != 0])[: len(ids)]
+    rank = np.arange(len(ids)) - np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0))
+    earlier = np.empty(len(ids))
+    earlier[order] = rank
+    p = np.exp(cost)
+    totals = np.array([np.add.reduceat(c, begin) for c in (cost, *(np.log((s * p + earlier) / (s + place)) for s in SHARES))])
+    top = totals.max(0)
+    return (top + np.log(np.exp(totals - top).mean(0))) / math.log(10)
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
@@ -383,53 +531,42 @@ def score(docs: DataFrame, teaches: Column, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     small_batches(spark)
     sc = spark.sparkContext
-    counts = staged(count_words(docs.filter(teaches).select(F.col(text_col).alias("text"))), "word-counts")
+    taught = docs.filter(teaches).select(F.col(text_col).alias("text"))
+    counts = staged(count_words(taught), "word-counts")
     total, distinct = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     total = total or 0
     code = Code(byte_counts(counts))
-    pairs = count_slots(counts, code)
-    model = Model(code, pairs, train_mixer(sample_tokens(counts, total), code, pairs))
+    pairs = count_slots(taught, counts, code)
+    model = Model(code, pairs, train_mixer(sample_tokens(taught, total), code, pairs))
     often = {bytes(r["word"]): r["n"] for r in frequent(counts).collect()}
-    costs = model.words(list(often))
-    common = {w: (math.log10(n + 1), cost) for (w, n), cost in zip(often.items(), costs.tolist())}
-    sent = sc.broadcast((model, common))
+    common = {w: i for i, w in enumerate(often)}
+    bases = np.log10(np.fromiter(often.values(), float, len(often)) + 1)
+    sent = sc.broadcast((model, common, bases, model.words(list(often))))
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_tokens long, n_known long, base double, score double, n_bytes long, rare array<struct<word:binary,n:long>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, common = sent.value
+        model, common, bases, often = sent.value
+        common_lengths = np.fromiter(map(len, common), np.int64, len(common))
         for batch in batches:
-            counts = []
-            for text in batch.column(1).to_pylist():
-                counts.append(Counter((text or "").encode().lower().split()))
-                counts[-1][b""] = 1
-            new = list(set().union(*counts).difference(common))
-            fresh = dict(zip(new, model.words(new).tolist())) if new else {}
-            out, ends, rare_words, rare_counts = [], [0], [], []
-            for held in counts:
-                base, n_known, costs = 0.0, 0, []
-                for w, n in held.items():
-                    got = common.get(w)
-                    if got is None:
-                        rare_words.append(w)
-                        rare_counts.append(n)
-                        costs.append(fresh[w])
-                    else:
-                        base += n * got[0]
-                        n_known += n
-                        costs.append(got[1])
-                ends.append(len(rare_words))
-                times = np.fromiter(held.values(), np.int64, len(held))
-                total = int(times.sum())
-                out.append((total, n_known, base, document_score(np.array(costs), times), int(times @ np.fromiter(map(len, held), np.int64, len(held))) + total))
-            cols = list(zip(*out)) or [()] * 5
-            rare = pa.ListArray.from_arrays(
-                pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int64())], ["word", "n"])
-            )
-            types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(c, t) for c, t in zip(cols, types)], rare], ["id", "n_tokens", "n_known", "base", "score", "n_bytes", "rare"]
-            )
+            new, ids, before, sizes = tokens_of(batch.column(1).to_pylist(), common)
+            known = often.plus(model.words(new))
+            width = len(common) + len(new)
+            pair, back = np.unique(before * width + ids, return_inverse=True)
+            cost = model.after(known, *np.divmod(pair, width))[back]
+            begin = np.cumsum(sizes) - sizes
+            is_known = ids < len(common)
+            base = np.zeros(len(ids))
+            base[is_known] = bases[ids[is_known]]
+            lengths = np.concatenate([common_lengths, np.fromiter(map(len, new), np.int64, len(new))])
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            rare, times = np.unique(owner[~is_known] * width + ids[~is_known], return_counts=True)
+            ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.bincount(rare // width, minlength=len(sizes)))])
+            words = pa.array(new, pa.binary()).take(pa.array(rare % width - len(common)))
+            held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([words, pa.array(times, pa.int64())], ["word", "n"]))
+            sums = lambda x: np.add.reduceat(x, begin)
+            cols = (sizes, sums(is_known.astype(np.int64)), sums(base), document_scores(cost, ids, sizes), sums(lengths[ids]) + sizes)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, cols), held], ["id", "n_tokens", "n_known", "base", "score", "n_bytes", "rare"])
 
     scored = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
     scored = staged(scored.withColumn("row", F.monotonically_increasing_id()), "scored")  # written once: row is fixed from here on

@@ -216,6 +216,17 @@ def test_lm_score_is_the_models_own(docs):
     assert -sum(out[i].score for i in held) / math.log10(2) < 2.6 * sum(size[i] for i in held)
 
 
+def test_lm_score_depends_on_word_order(spark, docs):
+    texts = [" ".join((r.text or "").split()[:200]) for r in docs.limit(60).collect()]
+    rows = [(i, t, True) for i, t in enumerate(texts)] + [(1000 + i, " ".join(sorted(t.split())), False) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, teaches boolean")
+    out = {r.doc_id: r for r in lm_scoring.score(df, F.col("teaches")).collect()}
+    long = [i for i, t in enumerate(texts) if len(set(t.split())) > 20]
+    assert long and all(math.isclose(out[i].base_score, out[1000 + i].base_score, rel_tol=1e-9) for i in long)
+    assert all(abs(out[i].score - out[1000 + i].score) > 1e-3 for i in long)
+    assert sum(out[i].score for i in long) > sum(out[1000 + i].score for i in long)
+
+
 # -- MinHash ------------------------------------------------------------------------------------------------
 
 

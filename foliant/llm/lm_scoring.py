@@ -9,8 +9,9 @@ contexts were seen), and a table indexed by gate and logit refines the result.
 
 *What the corpus gives.* Words are counted over all training texts. Slots inside words are filled from the counted words, each weighted
 by its count, which equals a pass over all training bits; slots across words are filled from all training texts. Blocks of slots are summed
-by key. Table sizes are fixed (``LEAST_BITS``). Weights and the refining table learn online, a mini-batch of decisions at a time, each
-predicted before it is learnt from, over ``SAMPLE`` tokens; a token's own counts are taken out of its slots first.
+by key. Tables grow with the corpus (``slot_bits``): inside words with its distinct words, across words with its tokens. Weights and the
+refining table learn online, a mini-batch of decisions at a time, each predicted before it is learnt from, over a sample of
+tokens that grows with the corpus too (``SAMPLE`` at least); a token's own counts are taken out of its slots first.
 
 *Scoring.* A token's bits depend on its word and the one before; each such pair is computed once per batch. Inside a document
 the score adapts: a Bayesian mixture over several strengths of a cache of the words that the document had so far, whose weights move with every
@@ -42,8 +43,10 @@ from foliant.llm.common import crc_of_id, small_batches, staged, table
 
 INSIDE, HEAD = 5, 3
 LEAST_BITS = (16, 18, 20, 20, 21, 20, 18)
+SLOTS_A_WORD = (0, 0.25, 1, 3, 6)
+SLOTS_A_TOKEN = (1 / 8, 1 / 32)
 BLOCK_BITS = 16
-SAMPLE = 100_000
+SAMPLE, SAMPLE_SHARE = 100_000, 1024
 FREQUENT = 1 << 17
 FLUSH = 200_000
 SHARES = (30.0, 300.0, 3000.0, 30000.0)
@@ -59,6 +62,12 @@ def quantised(n: np.ndarray) -> np.ndarray:
     return np.where(n <= 32, n, 32 + np.rint(16 * np.log2(np.maximum(n, 32) / 32)).clip(0, 223)).astype(np.uint8)
 
 
+def slot_bits(distinct: int, tokens: int) -> tuple[int, ...]:
+    """Bits of each context's table: a power of two of slots over its share of the distinct words or the tokens."""
+    need = [*(k * distinct for k in SLOTS_A_WORD), *(k * tokens for k in SLOTS_A_TOKEN)]
+    return tuple(max(least, math.ceil(math.log2(max(n, 1)))) for least, n in zip(LEAST_BITS, need))
+
+
 # -- the code of bytes ------------------------------------------------------------------------
 
 
@@ -480,8 +489,8 @@ def frequent(counts: DataFrame, most: int = FREQUENT) -> DataFrame:
 
 
 def sample_tokens(docs: DataFrame, total: int) -> list[tuple[bytes, bytes]]:
-    """(previous word, word) of about ``SAMPLE`` tokens of docs(text), in random order."""
-    rate = SAMPLE / max(total, 1)
+    """(previous word, word) of about ``SAMPLE`` tokens of docs(text), or one in ``SAMPLE_SHARE`` where that is more, in random order."""
+    rate = max(SAMPLE, total // SAMPLE_SHARE) / max(total, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -535,7 +544,7 @@ def score(docs: DataFrame, teaches: Column, id_col: str = "doc_id", text_col: st
     counts = staged(count_words(taught), "word-counts")
     total, distinct = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     total = total or 0
-    code = Code(byte_counts(counts))
+    code = Code(byte_counts(counts), slot_bits(distinct, total))
     pairs = count_slots(taught, counts, code)
     model = Model(code, pairs, train_mixer(sample_tokens(taught, total), code, pairs))
     often = {bytes(r["word"]): r["n"] for r in frequent(counts).collect()}

@@ -227,6 +227,16 @@ def test_lm_score_depends_on_word_order(spark, docs):
     assert sum(out[i].score for i in long) > sum(out[1000 + i].score for i in long)
 
 
+def test_lm_tables_grow_with_the_corpus():
+    small, large = lm_scoring.slot_bits(87_000, 400_000), lm_scoring.slot_bits(3_400_000, 116_000_000)
+    assert 1 << large[4] >= 6 * 3_400_000 and 1 << large[5] >= 116_000_000 // 8
+    assert all(a <= b for a, b in zip(small, large)) and sum(a < b for a, b in zip(small, large)) >= 5
+    code = lm_scoring.Code(np.ones(256), large)
+    assert int(code.starts[-1]) == sum(1 << b for b in large)
+    n = np.array([0, 1, 7, 32, 1000, 400_000])
+    assert np.allclose(lm_scoring.VALUES[lm_scoring.quantised(n)], n, rtol=0.03)
+
+
 # -- MinHash ------------------------------------------------------------------------------------------------
 
 

@@ -204,13 +204,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     wanted = shared.select(F.col("node").alias("_node")).distinct()
     texts = docs.join(wanted, F.col(id_col) == F.col("_node"), "left_semi").select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sets = staged(shingle_sets(texts, width), "sets")
+    every_set = staged(shingle_sets(texts, width), "every-set")
+    repeated = every_set.groupBy("id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("id")
+    repeated_sets = staged(every_set.join(repeated, "id", "left_semi").distinct(), "repeated-sets")
+    sets = every_set.join(repeated_sets.select("id").distinct(), "id", "left_anti").unionByName(repeated_sets)
+    several = repeated_sets.groupBy("id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(F.col("id").alias("node"), F.lit(True).alias("several"))
     links = staged(reaching(overlaps(first, sets), percent), "links")
     labels = staged(components(links), "labels")
 
     # links across components that share a bucket
     mixed_buckets = staged(members_of_mixed(shared, labels), "mixed-buckets")
-    stats = staged(crowd_stats(mixed_buckets, sets), "crowd-stats")
+    stats = staged(crowd_stats(mixed_buckets, sets).join(several, "node", "left"), "crowd-stats")
     centred = staged(centres(mixed_buckets, stats), "centres")
     pairs = centred.select(F.col("centre").alias("a"), F.col("node").alias("b")).filter("a <> b").distinct()
     to_centre = staged(overlaps(pairs, sets), "to-centre")
@@ -223,7 +227,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = staged(reaching(overlaps(second, sets), percent), "links-across")
     if not more.isEmpty():
         labels = staged(components(links.unionByName(more)), "labels")
-    discard(shared, first, second, sets, sigs, mixed_buckets, again, stats, centred, to_centre)
+    discard(shared, first, second, every_set, repeated_sets, sigs, mixed_buckets, again, stats, centred, to_centre)
 
     of_set = nodes.select("set_key", "node").join(labels, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
     joined = signed.select("id", "n_shingles", "set_key").join(of_set, "set_key", "left")
@@ -277,22 +281,24 @@ def crossing_pairs(members: DataFrame, stats: DataFrame, centred: DataFrame, to_
     In crowded buckets a pair drops out where its intersection is bound too low: inside the centre's set it is at most the smaller
     of the two nodes' intersections with that set, and outside it at most the smaller number of the shingles that
     either shares with anyone. With x as that bound, (100 + percent) * x has to reach percent * (n_a + n_b). A pair that
-    shares several buckets comes from the one with the smallest key only.
+    shares several buckets comes from the one with the smallest key only. Nodes whose id has several different sets (``several``) are
+    not bound.
     """
     common = to_centre.select(F.col("a").alias("centre"), F.col("b").alias("node"), "common")
     held = centred.join(common, ["centre", "node"], "left")
-    bound = members.join(held, ["key", "node"], "left").join(stats.select("node", "n", "shared"), "node", "left")
+    bound = members.join(held, ["key", "node"], "left").join(stats.select("node", "n", "shared", "several"), "node", "left")
     inside = F.when(F.col("node") == F.col("centre"), F.col("n")).otherwise(F.col("common"))
     bound = bound.withColumn("i", inside).withColumn("o", F.greatest(F.lit(0), F.col("shared") - F.col("i")))
     small = F.col("size") <= CROWD
+    free = small | F.coalesce("several", F.lit(False))
     bound = bound.join(members.groupBy("node").agg(F.collect_set("key").alias("ks")), "node")
-    worth = bound.filter(small | (100 * F.col("shared") >= percent * F.col("n")))
-    left = worth.select("key", "size", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("o").alias("oa"), F.col("ks").alias("ka"))
-    right = worth.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("o").alias("ob"), F.col("ks").alias("kb"))
-    can = small | ((100 + percent) * (F.least("ia", "ib") + F.least("oa", "ob")) >= percent * (F.col("na") + F.col("nb")))
+    worth = bound.filter(free | (100 * F.col("shared") >= percent * F.col("n")))
+    left = worth.select("key", "size", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("o").alias("oa"), F.col("ks").alias("ka"), free.alias("fa"))
+    right = worth.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("o").alias("ob"), F.col("ks").alias("kb"), free.alias("fb"))
+    can = F.col("fa") | F.col("fb") | ((100 + percent) * (F.least("ia", "ib") + F.least("oa", "ob")) >= percent * (F.col("na") + F.col("nb")))
     once = F.array_min(F.array_intersect("ka", "kb")) == left["key"]
     apart = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & can & once)
-    return apart.select("a", "b")
+    return apart.select("a", "b").distinct()
 
 
 def shingle_sets(texts: DataFrame, width: int) -> DataFrame:

@@ -276,6 +276,31 @@ def test_minhash_brute_force(spark, odd):
     assert minhash.near_duplicates(odd.filter("false")).count() == 0
 
 
+def test_minhash_repeated_rows_in_a_crowd(spark):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(300)}" for _ in range(90)]
+    texts = {}
+    for i in range(150):
+        words = list(base)
+        for _ in range(rng.randrange(2, 12)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(40)}"
+        texts[i + 1] = " ".join(words)
+    rows = list(texts.items())
+    df = spark.createDataFrame(rows + [r for r in rows if r[0] % 2], "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, width=4).collect()}
+    assert got == brute_components(texts, 4, 80)
+
+
+def test_crowd_bound_spares_ids_with_several_sets(spark):
+    ids = list(range(20))
+    members = spark.createDataFrame([(7, i, i, 20) for i in ids], "key long, node long, label long, size long")
+    stats = spark.createDataFrame([(i, 100 + 100 * (i == 0), 90, 1.0, True if i == 0 else None) for i in ids], "node long, n long, shared long, centrality double, several boolean")
+    centred = minhash.centres(members, stats.withColumn("centrality", F.col("node").cast("double")))
+    to_centre = spark.createDataFrame([(19, i, 10) for i in ids if i != 19], "a long, b long, common long")
+    pairs = [(r.a, r.b) for r in minhash.crossing_pairs(members, stats, centred, to_centre, 80).collect()]
+    assert {b for a, b in pairs if a == 0} == set(ids[1:]) and len(pairs) == len(set(pairs))
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 200), (200, 300)], "a long, b long")
     assert {r.node: r.component for r in minhash.components(edges).collect()} == {**{i: 0 for i in range(41)}, 100: 100, 200: 100, 300: 100}

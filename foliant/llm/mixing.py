@@ -7,8 +7,8 @@ weight among the others until none is above.
 A source's rate is target / words. Its whole part is taken of every document for certain. The rest
 is a fixed-size sample: with inclusion probability p (the rate's fraction) and a uniform u that depends on id
 and text alone, documents rank by ``(u/(1-u)) / (p/(1-p))``, and the smallest ranks are taken while
-their words come nearest to what is left of the target. ``rate`` may differ from document to document
-by a weight column; the odds of inclusion then do so too.
+their words come nearest to what is left of the target. All documents of a source have the same p, so inside a source
+the rank orders as u does; odds of inclusion differ between sources only.
 
 A source may hold a third of all rows, so no task sorts a source. Ranks fall into cells by the
 quantile of u; sums by (source, cell), taken before any shuffle of rows, tell the one cell in which the

@@ -11,7 +11,9 @@ Texts are equal when identical after lower-casing A-Z; a null text counts as emp
    rises with the number of entries instead), so it may be broadcast.
 3. *Files.* Entries go, bucket by bucket, to the owner task of that range of keys, which writes them
    to the shared folder in key order.
-4. *Lookup.* Every row finds its entry by (bucket, key, SHA-256 of the text).
+4. *Lookup.* Every row finds its entry by (key, SHA-256 of the text).
+
+The group-by of step 1 is what dedups; directory and bucket files keep its result and decide nothing.
 
 Defined results: rows with a null id take part, but never stay unless the whole group has null
 ids; rows repeated with the id of the row that stays are all marked kept; an empty table gives no

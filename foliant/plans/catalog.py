@@ -450,5 +450,12 @@ def stream_sample_dedup(spark, sf):
     """Throttled frames of each session, each with the hash of a vector, deduplicated: the batch twin of the streaming operators."""
     taken = folds.gap_sample(fx.frames(spark, sf), ["session"], "ts", GAP, ["event_id"], ["event_id"])
     h = fx.hashes(spark, sf).select("vec_id", "words")
-    keyed = taken.withColumn("vec_id", F.col("event_id") % 500).join(h, "vec_id")
+    cell = F.floor(F.col("vec_id") / 1024)
+    per = h.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("k"))
+    ahead = F.coalesce(F.sum("k").over(W.orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    cells = per.select("cell", ahead.alias("before"))
+    placed = h.withColumn("cell", cell).withColumn("at", F.row_number().over(W.partitionBy("cell").orderBy("vec_id")) - 1)
+    placed = placed.join(cells, "cell").select((F.col("before") + F.col("at")).alias("place"), "vec_id", "words")
+    n = h.count()
+    keyed = taken.withColumn("place", F.col("event_id") % n if n else F.lit(None).cast("long")).join(placed, "place").drop("place")
     return folds.greedy_dedup(keyed, ["session"], [F.col("ts"), F.col("event_id")], "words", DEDUP_BITS, ["event_id", "ts"]).select("session", "event_id", "ordinal")

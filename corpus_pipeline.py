@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import bpe, language_id, line_dedup, minhash, mixing
-from foliant.llm.common import discard, small_batches, staged, table
+from foliant.llm.common import discard, staged, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Clean documents score 0.45 and more; this leaves room for short ones.
@@ -26,7 +26,6 @@ MIN_SCORE = 0.25
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     profiles = language_id.learn(docs, F.lit(True))
     known = language_id.identify(docs.select(*COLUMNS), profiles)
     kept = known.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_SCORE))
@@ -55,7 +54,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.digests(bpe.tokenize(docs, bpe.default_tokenizer()))
+    return bpe.digests(docs, bpe.default_tokenizer())
 
 
 STAGES = [

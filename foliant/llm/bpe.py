@@ -10,10 +10,11 @@ length is thus encoded in a window of fixed size.
 incomplete character waits in the state for its next bytes.
 
 Words between white space are encoded once and kept in a bounded table. Texts are cut into blocks at white
-space; beside the row itself, memory holds one block and one word.
+space; beside the row itself, memory holds one block and one word, and digests are fed block by block. (A caller who asks for a
+text's ids or decoded text gets them whole.)
 
 Defined results: null texts count as empty; an empty text has no ids and decodes to an empty text; special tokens' strings
-in a text are special tokens; repeated rows give repeated results; other columns are ignored. Letters and digits are
+in a text are special tokens; repeated rows give repeated results; an empty table gives no rows; other columns are ignored. Letters and digits are
 those of this machine's Unicode tables: characters that are newer than the tokenizers library's tables
 may be cut otherwise.
 """
@@ -21,6 +22,7 @@ may be cut otherwise.
 from __future__ import annotations
 
 import codecs
+import hashlib
 import heapq
 import json
 import unicodedata
@@ -33,7 +35,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import small_batches, table
+from foliant.llm.common import map_arrow, spread, table
 
 #: Unicode's White_Space characters: what the pre-tokenizer's \s means.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -246,60 +248,88 @@ class Decoder:
         self.start()
         return out
 
-    def text(self, ids: np.ndarray, step: int = 1 << 18) -> str:
-        parts = [self.feed(ids[i : i + step].tolist()) for i in range(0, len(ids), step)]
-        return "".join([*parts, self.end()])
+    def pieces(self, blocks: Iterable[bytes], step: int = 1 << 16) -> Iterator[str]:
+        """The text, piece by piece, of ids that come as blocks of int32."""
+        for block in blocks:
+            ids = np.frombuffer(block, "<i4")
+            for i in range(0, len(ids), step):
+                yield self.feed(ids[i : i + step].tolist())
+        yield self.end()
 
+    def text(self, ids: np.ndarray, step: int = 1 << 16) -> str:
+        return "".join(self.pieces([ids.astype("<i4").tobytes()], step))
 
-_loaded: dict[int, tuple[Bpe, Decoder]] = {}
 
+_loaded: dict[int, tuple[Bpe, Decoder, Digest]] = {}
 
-def _loaded_once(spec: bytes, surface: bool) -> tuple[Bpe, Decoder]:
+
+def _loaded_once(spec: bytes, surface: bool) -> tuple[Bpe, Decoder, Digest]:
     key = hash((spec, surface))
     if key not in _loaded:
         bpe = Bpe(spec)
-        _loaded[key] = bpe, Decoder(bpe, surface)
+        _loaded[key] = bpe, Decoder(bpe, surface), Digest(bpe)
     return _loaded[key]
 
 
-def tokenize(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", surface: bool = True) -> DataFrame:
-    """id_col, ids (array of int) and decoded (text) for every row.
+class Digest:
+    """SHA-256 of decimal ids joined by a space, and of the decoded text, fed piece by piece."""
+
+    def __init__(self, bpe: Bpe):
+        self.decimal = [b"%d" % i for i in range(max(bpe.pieces) + 1)]
+
+    def of(self, blocks: Iterable[bytes], decoder: Decoder, step: int = 1 << 16) -> tuple[int, str, str]:
+        """Number of ids and both digests; holds one block of ids and one piece of text at a time."""
+        n, ids_sha, text_sha = 0, hashlib.sha256(), hashlib.sha256()
+        for block in blocks:
+            ids = np.frombuffer(block, "<i4")
+            for i in range(0, len(ids), step):
+                part = ids[i : i + step].tolist()
+                ids_sha.update((b" " if n else b"") + b" ".join(map(self.decimal.__getitem__, part)))
+                text_sha.update(decoder.feed(part).encode())
+                n += len(part)
+        text_sha.update(decoder.end().encode())
+        return n, ids_sha.hexdigest(), text_sha.hexdigest()
+
+
+OUTPUTS = {"ids": "array<int>", "decoded": "string", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}
+
+
+def tokenize(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", surface: bool = True, outputs: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+    """id_col and the ``outputs`` for every row: ids, decoded (text), n_tokens, ids_sha256, decoded_sha256.
 
-    The tokenizer file is read once on the driver and sent to the workers; its size is the vocabulary's, whatever
-    the corpus.
+    Counts and digests are fed block by block, so that without ids and decoded a text of any length is coded in constant memory
+    beside the row itself. The tokenizer file is read once on the driver and sent to the workers; its size is the vocabulary's,
+    whatever the corpus.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     with open(tokenizer_path, "rb") as f:
         spec = spark.sparkContext.broadcast(f.read())
     kind = docs.schema[id_col].dataType
+    types = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64()}
+    whole = "ids" in outputs or "decoded" in outputs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, decoder = _loaded_once(spec.value, surface)
+        bpe, decoder, digest = _loaded_once(spec.value, surface)
         for batch in batches:
-            all_ids, ends, texts = [], [0], []
+            rows = []
             for text in batch.column(1).to_pylist():
-                ids = np.frombuffer(b"".join(bpe.encode(text or "")), "<i4")
-                all_ids.append(ids)
-                ends.append(ends[-1] + len(ids))
-                texts.append(decoder.text(ids))
-            flat = np.concatenate(all_ids) if all_ids else np.empty(0, "<i4")
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(texts, pa.string())], ["id", "ids", "decoded"])
-
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = picked.mapInArrow(run, f"id {kind.simpleString()}, ids array<int>, decoded string")
+                blocks = bpe.encode(text or "")
+                held = [b"".join(blocks)] if whole else blocks
+                row = dict(zip(("n_tokens", "ids_sha256", "decoded_sha256"), digest.of(held, decoder))) if set(outputs) - {"ids", "decoded"} else {}
+                if whole:
+                    row |= {"ids": np.frombuffer(held[0], "<i4"), "decoded": "".join(decoder.pieces(held)) if "decoded" in outputs else None}
+                rows.append(row)
+            cols = [pa.array([r[o] for r in rows], types.get(o, pa.string())) for o in outputs]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["id", *outputs])
+
+    picked = spread(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    out = map_arrow(picked, run, ", ".join([f"id {kind.simpleString()}", *(f"{o} {OUTPUTS[o]}" for o in outputs)]))
     return out.withColumnRenamed("id", id_col)
 
 
-def digests(tokenized: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """id_col, n_tokens, ids_sha256, decoded_sha256 from what ``tokenize`` gives."""
-    return tokenized.select(
-        id_col,
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+def digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of docs."""
+    return tokenize(docs, tokenizer_path, outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
 def default_tokenizer() -> str:
@@ -309,4 +339,4 @@ def default_tokenizer() -> str:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(tokenize(table(spark, sf_dir, "documents"), default_tokenizer()))
+    return digests(table(spark, sf_dir, "documents"), default_tokenizer())

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.shipping import ship
+
 #: A word is a longest run of characters other than space and U+0009..U+000D.
 WORD_GAP = "[ \\x09-\\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -44,14 +49,27 @@ def crc_of_id(id_col: str = "doc_id") -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, read from ``spark.checkpoint.dir``.
 
-    Only where that setting is missing (tests on one machine) a folder of our own is used.
+    Only where that setting is missing and Spark runs in one process (tests) a folder of our own is used; on a cluster
+    without the setting this raises, since executors would write to disks that others don't see.
     """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    conf = spark.sparkContext.getConf()
+    found = conf.get("spark.checkpoint.dir")
+    if not found and not re.match(r"local(\[|$)", conf.get("spark.master", "")):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     return (found or f"file://{tempfile.gettempdir()}/foliant-shared").rstrip("/")
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/foliant-{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is written there goes at the latest when the driver ends."""
+    path = f"{shared_dir(spark)}/foliant-{label}-{uuid.uuid4().hex}"
+    p, fs = _hadoop(spark, path)
+    fs.deleteOnExit(p)
+    return path
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
@@ -70,12 +88,26 @@ def discard(*frames: DataFrame) -> None:
     for df in frames:
         path = getattr(df, "_foliant_path", None)
         if path:
-            spark = df.sparkSession
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            p, fs = _hadoop(df.sparkSession, path)
+            fs.delete(p, True)
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = 1024) -> DataFrame:
+    """``df.mapInArrow`` with this package on the workers, and with batches of bounded rows and bytes, so that a run of very
+    long texts fits a worker."""
+    ship(df.sparkSession)
+    return df.mapInArrow(lambda batches: run(parts(batches, rows)), schema)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out anew where it has fewer partitions than Spark has cores (one small file); larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound what one Arrow batch holds, so that a run of very long texts fits a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 1024, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices (no copies); a slice has over one row only within ``rows`` and about ``size`` bytes. Empty batches stay out."""
+    for batch in batches:
+        step = max(1, min(rows, int(size / max(1, batch.nbytes) * batch.num_rows)))
+        for i in range(0, batch.num_rows, step):
+            yield batch.slice(i, step)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliant.llm.common import crc_of_id, small_batches, staged, table
+from foliant.llm.common import crc_of_id, discard, map_arrow, spread, staged, table
 
 PROFILE = 400
 UNKNOWN = "und"
@@ -99,11 +99,12 @@ def learn(docs: DataFrame, may_teach: Column, text_col: str = "text", lang_col:
                 yield from hand_on()
         yield from hand_on()
 
-    taught = docs.filter(may_teach).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
-    sums = staged(taught.mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")), "language-grams")
+    taught = spread(docs).filter(may_teach).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
+    sums = staged(map_arrow(taught, run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")), "language-grams")
     cut = lambda *by: W.partitionBy("lang", *by).orderBy(F.desc("n"), "code")
     best = sums.withColumn("s", F.pmod(F.hash("code"), F.lit(64))).withColumn("r", F.row_number().over(cut("s"))).filter(F.col("r") <= most)
     best = best.withColumn("r", F.row_number().over(cut())).filter(F.col("r") <= most).select("lang", "code", "r").collect()
+    discard(sums)
     out: dict[str, list] = defaultdict(list)
     for r in sorted(best, key=lambda r: (r["lang"], r["r"])):
         out[r["lang"]].append(r["code"])
@@ -134,7 +135,6 @@ class Profiles:
 
 def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score; every column of docs stays."""
-    small_batches(docs.sparkSession)
     table_of = Profiles(profiles)
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
     at = names.index(text_col)
@@ -146,7 +146,7 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "
             more = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*names, "lang_pred", "score"])
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return map_arrow(spread(docs).select(*names), run, schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -154,7 +154,6 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     profiles = learn(docs, ~held_out())
     out = identify(docs.select("doc_id", "text", held_out().alias("held_out")), profiles)

@@ -1,29 +1,34 @@
-"""Language-model scoring by logistic context mixing over bits.
+"""Language-model scoring by online logistic context mixing over bits.
 
-A text is its words in lower case, each ended by a space byte, and one empty word as its end. Bytes are
-coded by a Huffman code of the training bytes, so one binary decision is one node of the code's tree. Predictors
-count, in hashed slots, how decisions went in seven contexts: inside the word the last 1, 2, 3 and 5 bytes and all bytes
-since its start; and for a word's first ``HEAD`` bytes, across the space, the previous word or its last two bytes, with all bytes since
-the word's start. Their logits are mixed by weights that a gate picks (how often the longest
-contexts were seen), and a table indexed by gate and logit refines the result.
+A text is its words in lower case and one end. Every word is coded in binary decisions, and each decision's probability is
+mixed in the logistic domain from several hashed-context predictors, with weights that a gate picks (how often the contexts were seen), and
+refined by a table indexed by gate and mixed logit.
 
-*What the corpus gives.* Words are counted over all training texts. Slots inside words are filled from the counted words, each weighted
-by its count, which equals a pass over all training bits; slots across words are filled from all training texts. Blocks of slots are summed
-by key. Tables grow with the corpus (``slot_bits``): inside words with its distinct words, across words with its tokens. Weights and the
-refining table learn online, a mini-batch of decisions at a time, each predicted before it is learnt from, over a sample of
-tokens that grows with the corpus too (``SAMPLE`` at least); a token's own counts are taken out of its slots first.
+*Words.* A Huffman code of the training words has a leaf for each frequent word (``FREQUENT`` at most, none that occurs once) and two for all others:
+"new in this text" and "again". One decision is one node of the code's tree. The first ``HEAD`` decisions of every word are mixed; below them the
+word's share of its subtree's count is its probability. Predictors of a decision: the node alone; the previous word; the endings of the two
+previous words; and the text's own earlier decisions at this node, which are counted online, decision by decision. A word that comes again
+costs its share of the text's earlier rare words.
 
-*Scoring.* A token's bits depend on its word and the one before; each such pair is computed once per batch. Inside a document
-the score adapts: a Bayesian mixture over several strengths of a cache of the words that the document had so far, whose weights move with every
-token. ``score`` is the log10 probability that this model gives the text, and ``bits_per_byte`` says the same a byte.
-``joint_score`` mixes it in equal parts with the unigram score; that unigram is no distribution over strings.
+*Letters.* A new rare word is spelled in bytes, by a Huffman code of the bytes of the distinct training words: contexts are the last 1, 2, 3
+and 5 bytes and all bytes since the word's start. What it costs depends on the word alone, so it is computed once for each distinct
+word of the corpus and joined to the texts.
 
-The unigram score with add-one smoothing needs every word's count. Frequent words (``FREQUENT`` at most, by a count threshold that
-a histogram gives) go to the workers; the others are joined by word, one row for each document and word.
+*What the corpus gives.* All counts cover all training texts. Hashed tables have check bits: of the contexts that fall into one
+slot the one counted most keeps it. Tables and word counts grow with the corpus's distinct words and nothing caps them; at most the
+tables, ``FREQUENT`` words and their code are sent to the workers. Weights and refining tables learn online over all
+training texts (letters: over all distinct training words), a mini-batch at a time, each decision predicted before it is learnt
+from and without its own count in its slots; tasks learn side by side and their results are averaged by decisions.
+
+*Scoring* is online too: beside the online counts each text adapts the weights to itself by gradient steps after its first
+``FIRST_BLOCK`` words and after blocks that double in length. ``score`` is the log10 probability that the model gives the text,
+``bits_per_byte`` says the same a byte of its words with one byte after each.
+
+The base score is a unigram with add-one smoothing; rare words' counts are joined exactly.
 
 Defined results: a null text is an empty one and scores its end alone; a null id hashes as an empty string; rows repeated are scored
 alike; without training rows base_score is null and the model knows only its uniform start; very long
-words are scored whole; an empty table gives no rows.
+texts and words are scored whole, in slices; an empty table gives no rows; columns of other names are ignored.
 """
 
 from __future__ import annotations
@@ -39,20 +44,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import crc_of_id, small_batches, staged, table
+from foliant.llm.common import crc_of_id, discard, map_arrow, spread, staged, table
 
-INSIDE, HEAD = 5, 3
-LEAST_BITS = (16, 18, 20, 20, 21, 20, 18)
-SLOTS_A_WORD = (0, 0.25, 1, 3, 6)
-SLOTS_A_TOKEN = (1 / 8, 1 / 32)
+FREQUENT = 1 << 16
+HEAD = 7
+NEW, AGAIN = 0, 1
+LETTERS = 5
+LEAST_BITS = 18
+#: Slots for each distinct training word: spelling contexts, then the previous word and the two endings.
+SLOTS_A_WORD = (0, 0.25, 1, 2, 4)
+WORD_SLOTS_A_WORD = (1, 1)
 BLOCK_BITS = 16
-SAMPLE, SAMPLE_SHARE = 100_000, 1024
-FREQUENT = 1 << 17
 FLUSH = 200_000
-SHARES = (30.0, 300.0, 3000.0, 30000.0)
+KEYS = 1 << 22
+SLICE, TEXTS = 1 << 17, 256
+FIRST_BLOCK = 32
+OWN_STEP = 0.5
 _rng = np.random.default_rng(7)
 _odd = lambda n: _rng.integers(0, 1 << 64, n, np.uint64) | np.uint64(1)
-ODD, NODE_MIX, POWERS, ACROSS = _odd(8), _odd(512), _odd(64), _odd(4)
+ODD, NODE_MIX, POWERS = _odd(8), _odd(512), _odd(64)
 
 #: Counts are kept as a byte: exact up to 32, then 16 steps for each doubling.
 VALUES = np.concatenate([np.arange(33.0), 32 * 2 ** (np.arange(1, 224) / 16)]).astype(np.float32)
@@ -62,107 +72,235 @@ def quantised(n: np.ndarray) -> np.ndarray:
     return np.where(n <= 32, n, 32 + np.rint(16 * np.log2(np.maximum(n, 32) / 32)).clip(0, 223)).astype(np.uint8)
 
 
-def slot_bits(distinct: int, tokens: int) -> tuple[int, ...]:
-    """Bits of each context's table: a power of two of slots over its share of the distinct words or the tokens."""
-    need = [*(k * distinct for k in SLOTS_A_WORD), *(k * tokens for k in SLOTS_A_TOKEN)]
-    return tuple(max(least, math.ceil(math.log2(max(n, 1)))) for least, n in zip(LEAST_BITS, need))
+def slot_bits(shares: tuple[float, ...], distinct: int) -> tuple[int, ...]:
+    """Bits of each hashed table: a power of two of slots over its share of the distinct words."""
+    return tuple(max(LEAST_BITS, math.ceil(math.log2(max(k * distinct, 1)))) for k in shares)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * ODD[7]
+    return h ^ (h >> np.uint64(29))
+
+
+def place(h: np.ndarray, bits: int, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slot and check (1 to 255) of a well-mixed hash."""
+    return (h >> np.uint64(64 - bits)).astype(np.int64) + start, np.maximum((h >> np.uint64(16)).astype(np.uint8), 1)
 
 
-# -- the code of bytes ------------------------------------------------------------------------
+# -- codes --------------------------------------------------------------------------------------
 
 
 class Code:
-    """Huffman code of the 256 bytes: for each byte its length, and node and bit of every decision; and the tables' sizes."""
+    """Huffman code of symbols 0..n-1 with positive counts, its paths cut after ``most`` decisions.
 
-    def __init__(self, counts: np.ndarray, bits: tuple[int, ...] = LEAST_BITS):
-        self.bits = bits
-        self.starts = np.cumsum([0, *(1 << b for b in bits)]).astype(np.int64)
-        heap = [(int(c) + 1, b, b) for b, c in enumerate(counts)]
+    ``leaf``: each symbol's leaf of the cut tree; ``share``: natural log of its share of what its leaf holds. ``length`` and ``first``
+    of each leaf's path, and its ``node`` and ``bit``.
+    """
+
+    def __init__(self, counts: np.ndarray, most: int = 1 << 20):
+        n = len(counts)
+        heap = [(int(c), s) for s, c in enumerate(counts)]
         heapq.heapify(heap)
-        tree: dict[int, tuple[int, int]] = {}
+        children: list[tuple[int, int]] = []
+        sums = [int(c) for c in counts]
         while len(heap) > 1:
-            (n0, _, a), (n1, _, b) = heapq.heappop(heap), heapq.heappop(heap)
-            new = 256 + len(tree)
-            tree[new] = (a, b)
-            heapq.heappush(heap, (n0 + n1, new, new))
-        paths: list[list[tuple[int, int]]] = [[] for _ in range(256)]
-        todo: list[tuple[int, list]] = [(heap[0][2], [])]
+            (n0, a), (n1, b) = heapq.heappop(heap), heapq.heappop(heap)
+            heapq.heappush(heap, (n0 + n1, n + len(children)))
+            children.append((a, b))
+            sums.append(n0 + n1)
+        self.leaf, self.share, paths = np.zeros(n, np.int64), np.zeros(n), []
+        self.nodes = 0
+        todo: list[tuple[int, list]] = [(heap[0][1], [])]
         while todo:
             at, path = todo.pop()
-            if at < 256:
-                paths[at] = path
-            else:
-                todo += [(child, [*path, (at - 256, bit)]) for bit, child in enumerate(tree[at])]
+            if at >= n and len(path) < most:
+                todo += [(child, [*path, (self.nodes, bit)]) for bit, child in enumerate(children[at - n])]
+                self.nodes += 1
+                continue
+            below = [at]
+            while below:
+                x = below.pop()
+                if x >= n:
+                    below += children[x - n]
+                else:
+                    self.leaf[x], self.share[x] = len(paths), math.log(sums[x] / sums[at])
+            paths.append(path)
+        self.nodes = max(self.nodes, 1)
         self.length = np.array([len(p) for p in paths], np.int64)
         self.first = np.cumsum(self.length) - self.length
-        self.node = np.array([n for p in paths for n, _ in p], np.int64)
+        self.node = np.array([x for p in paths for x, _ in p], np.int32)
         self.bit = np.array([b for p in paths for _, b in p], np.uint8)
 
+    def spell(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of all decisions of the symbols: the symbol's index, node and bit; and the decisions of each symbol."""
+        leaf = self.leaf[symbols]
+        per = self.length[leaf]
+        rep = np.repeat(np.arange(len(symbols), dtype=np.int32), per)
+        at = np.arange(len(rep)) + np.repeat(self.first[leaf] - (np.cumsum(per) - per), per)
+        return rep, self.node.take(at), self.bit.take(at), per
 
-class Bits:
-    """The decisions of words: slots (context inside the word, decision), bit, number of decisions a word, and what contexts across
-    words need: key of prefix and node, whether it lies in the word's head, and each word's hash and last two bytes. ``only_heads``: the heads'
-    decisions, without slots."""
 
-    def __init__(self, code: Code, words: list[bytes], only_heads: bool = False):
-        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        x = np.frombuffer(b" ".join([*words, b""]), np.uint8)
-        begin = np.cumsum(sizes) - sizes
-        start = np.repeat(begin, sizes)
-        pos = np.arange(len(x)) - start
-        terms = (x.astype(np.uint64) + np.uint64(1)) * POWERS[pos & 63]
-        run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms)])
-        whole = (run[:-1] - run[start]) ^ (pos.astype(np.uint64) << np.uint64(56))
-        back = []
-        for k in range(1, 3 if only_heads else 6):
-            c = np.zeros(len(x), np.uint64)
-            c[k:] = x[:-k] if k <= len(x) else 0
-            c[pos < k] = 0
-            back.append(c)
-        two = back[0] | back[1] << np.uint64(8)
-        steps = np.where(pos < HEAD, code.length[x], 0) if only_heads else code.length[x]
-        rep = np.repeat(np.arange(len(x)), steps)
-        at = np.arange(len(rep)) - np.repeat(np.cumsum(steps) - steps, steps) + code.first[x][rep]
-        node, self.bit = code.node[at], code.bit[at]
-        mix = NODE_MIX[node]
-        if not only_heads:
-            three = two | back[2] << np.uint64(16)
-            five = three | back[3] << np.uint64(24) | back[4] << np.uint64(32)
-            self.slots = np.empty((INSIDE, len(rep)), np.int64)
-            self.slots[0] = (back[0].astype(np.int64) << 8)[rep] + node
-            for k, ctx in enumerate((two, three, five, whole), 1):
-                h = ctx * ODD[k]
-                h ^= h >> np.uint64(29)
-                h = (h[rep] + mix) * ODD[k + 3]
-                self.slots[k] = (h >> np.uint64(64 - code.bits[k])).astype(np.int64) + code.starts[k]
-        self.key = mixed(whole * ACROSS[0])[rep] + mix
-        self.head = (pos < HEAD)[rep]
-        self.per = np.add.reduceat(steps, begin) if len(words) else np.empty(0, np.int64)
-        last = begin + sizes - 1
-        self.hash = mixed(whole[last]) if len(words) else np.empty(0, np.uint64)
-        self.ending = mixed(two[last] + np.uint64(1)) if len(words) else np.empty(0, np.uint64)
+# -- tables of counts ---------------------------------------------------------------------------
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * ODD[7]
-    return h ^ (h >> np.uint64(29))
+class Table:
+    """Counts by slot: two quantised counts as 16 bits, and the check of the context that holds the slot."""
+
+    def __init__(self, slots: int):
+        self.pair, self.check = np.zeros(slots, np.uint16), np.zeros(slots, np.uint8)
+
+    def get(self, slot: np.ndarray, check: np.ndarray) -> np.ndarray:
+        return np.where(self.check.take(slot) == check, self.pair.take(slot), np.uint16(0))
+
+
+def runs(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and how often each occurs or the sum of its weights."""
+    if weights is None:
+        keys = np.sort(keys)
+    else:
+        order = np.argsort(keys)
+        keys = keys[order]
+    begin = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+    return keys[begin], np.diff(begin, append=len(keys)) if weights is None else np.add.reduceat(weights[order], begin) if len(begin) else weights[:0]
+
+
+def packed(slot: np.ndarray, check: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    return slot.astype(np.uint64) << np.uint64(9) | check.astype(np.uint64) << np.uint64(1) | bit
+
+
+def batch_of(cols: list, kinds: list, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+
 
+def block_rows(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Sorted keys and their counts as rows (block, data)."""
+    shift = np.uint64(BLOCK_BITS + 9)
+    edges = np.flatnonzero(np.diff(keys >> shift)) + 1
+    block, data = [], []
+    for k, m in zip(np.split(keys, edges), np.split(n, edges)):
+        if len(k):
+            block.append(int(k[0] >> shift))
+            low = (k & ((np.uint64(1) << shift) - np.uint64(1))).astype(np.uint32)
+            data.append(zlib.compress(np.diff(low, prepend=np.uint32(0)).tobytes() + m.astype(np.uint32).tobytes(), 1))
+    for i in range(0, len(block), 64):
+        yield batch_of([block[i : i + 64], data[i : i + 64]], [pa.int32(), pa.binary()], ["block", "data"])
 
-def across(code: Code, key: np.ndarray, before: np.ndarray, ending: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of decisions in the two contexts across words."""
-    out = []
-    for k, h in ((5, before), (6, ending)):
-        h = (h + key) * ACROSS[k - 4]
-        h ^= h >> np.uint64(32)
-        h *= ACROSS[3]
-        out.append((h >> np.uint64(64 - code.bits[k])).astype(np.int64) + code.starts[k])
-    return out[0], out[1]
 
+def filled(parts: DataFrame, slots: int) -> Table:
+    """Sums the rows (block, data) by key, gives each slot to its heaviest context, and brings the table to the driver.
+
+    The table has ``slots`` slots, set by the number of distinct words; tasks sum the blocks.
+    """
+    width = 1 << BLOCK_BITS
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        size: Counter = Counter()
+        for batch in batches:
+            for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                both = np.frombuffer(zlib.decompress(raw), np.uint32).reshape(2, -1)
+                held.setdefault(block, []).append((np.cumsum(both[0], dtype=np.uint32), both[1]))
+                size[block] += both.shape[1]
+                if size[block] > 1 << 20 and len(held[block]) > 8:
+                    held[block] = [runs(*(np.concatenate(x) for x in zip(*held[block])))]
+                    size[block] = 0
+        for block, pieces in held.items():
+            key, n = runs(*(np.concatenate(x) for x in zip(*pieces)))
+            context, begin = np.unique(key >> 1, return_index=True)
+            ones = np.add.reduceat(np.where(key & 1, n, 0), begin)
+            total = np.add.reduceat(n, begin)
+            slot, check = context >> 8, context & 255
+            best = np.lexsort((check, total, slot))
+            best = best[np.append(slot[best][1:] != slot[best][:-1], True)]
+            pair, checks = np.zeros(width, np.uint16), np.zeros(width, np.uint8)
+            pair[slot[best]] = quantised(total[best] - ones[best]).astype(np.uint16) | quantised(ones[best]).astype(np.uint16) << 8
+            checks[slot[best]] = check[best]
+            yield batch_of([[block], [zlib.compress(pair.tobytes() + checks.tobytes(), 1)]], [pa.int32(), pa.binary()], ["block", "data"])
+
+    merged = staged(map_arrow(parts.repartition("block"), merge, "block int, data binary"), "slots")
+    out = Table(-(-slots // width) * width)
+    for r in merged.toLocalIterator():
+        raw, at = zlib.decompress(bytes(r["data"])), r["block"] * width
+        out.pair[at : at + width] = np.frombuffer(raw, np.uint16, width)
+        out.check[at : at + width] = np.frombuffer(raw, np.uint8, width, 2 * width)
+    discard(merged)
+    return out
+
+
+# -- the mixer ----------------------------------------------------------------------------------
+
+
+def seen(n: np.ndarray) -> np.ndarray:
+    """Confidence class of a count: never, rarely, some times, often."""
+    return ((n > 0).astype(np.uint8) + (n > 2)) + (n > 15)
+
+
+_n0, _n1 = np.tile(VALUES, 256), np.repeat(VALUES, 256)
+logit = lambda n0, n1: np.log((n1 + 0.05) / (n0 + 0.05)).astype(np.float32)
+#: Logit and confidence class of each pair of quantised counts, read as 16 bits; and of the same without one 0 and without one 1.
+LOGIT = np.concatenate([logit(_n0, _n1), logit(np.maximum(_n0 - 1, 0), _n1), logit(_n0, np.maximum(_n1 - 1, 0))])
+SEEN = np.concatenate([seen(_n0 + _n1), seen(np.maximum(_n0 - 1, 0) + _n1), seen(_n0 + np.maximum(_n1 - 1, 0))])
 
-def spread(first: np.ndarray, per: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the picked words' decisions, and how many each has."""
-    n = per[picked]
-    return np.arange(int(n.sum())) + np.repeat(first[picked] - (np.cumsum(n) - n), n), n
+
+class Mixer:
+    """Weights of ``inputs`` predictors and a bias by gate, and the refining table; ``learn`` is online, a mini-batch at a time."""
+
+    GATES, LEVELS, PRIOR = 64, 33, 16.0
+
+    def __init__(self, inputs: int):
+        self.inputs = inputs
+        self.w = np.full((inputs + 1, self.GATES), 0.3, np.float32)
+        self.w[inputs] = 0
+        self.done = np.zeros(self.GATES)
+        self.hits, self.total = np.zeros((2, self.GATES * self.LEVELS))
+        self.start = np.tile(self.PRIOR / (1 + np.exp(-(np.arange(self.LEVELS) - 16) / 2)), self.GATES)
+
+    def mix(self, st: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        x = self.w[self.inputs].take(gate)
+        for w, s in zip(self.w, st):
+            x += w.take(gate) * s
+        return x
+
+    def final(self, x: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Mixed probability, the refining table's cell and the final probability that the bit is 1."""
+        x = np.clip(x, -11, 11)
+        p = 1 / (1 + np.exp(-x))
+        cell = gate * np.intp(self.LEVELS) + (x * 2 + 16.5).astype(np.int16).clip(0, self.LEVELS - 1)
+        refined = ((self.hits + self.start) / (self.total + self.PRIOR)).astype(np.float32).take(cell)
+        return p, cell, np.clip((p + refined) / 2, 2e-5, 1 - 2e-5)
+
+    def learn(self, st: np.ndarray, gate: np.ndarray, bit: np.ndarray) -> None:
+        """One mini-batch: predict, then update. A gate's step falls with the decisions that it has learnt from."""
+        p, cell, _ = self.final(self.mix(st, gate), gate)
+        err = bit - p
+        n = np.bincount(gate, minlength=self.GATES)
+        step = (0.05 + 2 / (1 + self.done / 4000)) / (n + 8)
+        for k in range(self.inputs):
+            self.w[k] += step * np.bincount(gate, weights=err * st[k], minlength=self.GATES)
+        self.w[self.inputs] += step * np.bincount(gate, weights=err, minlength=self.GATES)
+        self.done += n
+        self.hits += np.bincount(cell, weights=bit, minlength=len(self.hits))
+        self.total += np.bincount(cell, minlength=len(self.hits))
+
+    def rows(self) -> pa.RecordBatch:
+        """part, at, value: what a task learnt, as sums over tasks."""
+        parts = [self.w * self.done, self.done, self.hits, self.total]
+        cols = [np.repeat(range(4), [x.size for x in parts]), np.concatenate([np.arange(x.size) for x in parts]), np.concatenate([x.ravel() for x in parts])]
+        return batch_of(cols, [pa.int32(), pa.int32(), pa.float64()], ["part", "at", "value"])
+
+    @classmethod
+    def averaged(cls, rows: DataFrame, inputs: int) -> Mixer:
+        """Of the tasks' rows; the driver gets a few thousand sums, whatever the corpus."""
+        out = cls(inputs)
+        into = [np.zeros(out.w.size), out.done, out.hits, out.total]
+        for r in rows.groupBy("part", "at").agg(F.sum("value").alias("value")).collect():
+            into[r["part"]][r["at"]] = r["value"]
+        known = out.done > 0
+        out.w[:, known] = (into[0].reshape(out.w.shape)[:, known] / out.done[known]).astype(np.float32)
+        return out
+
+
+# -- letters ------------------------------------------------------------------------------------
 
 
 def slices(words: list[bytes], most: int = 1 << 16) -> Iterator[tuple[int, int]]:
@@ -177,425 +315,482 @@ def slices(words: list[bytes], most: int = 1 << 16) -> Iterator[tuple[int, int]]
         yield first, len(words)
 
 
-# -- counting ---------------------------------------------------------------------------------
+class Speller:
+    """Decisions of words' bytes, and their hashed contexts inside the word."""
+
+    def __init__(self, code: Code, bits: tuple[int, ...]):
+        self.code, self.bits = code, bits
+        self.starts = np.cumsum([0, *(1 << b for b in bits)])
+
+    def decisions(self, words: list[bytes]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+        """(slot, check) for each context, bits, and the number of decisions of each word."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        x = np.frombuffer(b" ".join([*words, b""]), np.uint8)
+        begin = np.cumsum(sizes) - sizes
+        start = np.repeat(begin, sizes)
+        pos = np.arange(len(x)) - start
+        run = np.concatenate([np.zeros(1, np.uint64), np.cumsum((x.astype(np.uint64) + np.uint64(1)) * POWERS[pos & 63])])
+        whole = (run[:-1] - run[start]) ^ (pos.astype(np.uint64) << np.uint64(56))
+        context, so_far = [], np.zeros(len(x), np.uint64)
+        for k in range(1, 6):
+            c = np.zeros(len(x), np.uint64)
+            c[k:] = x[:-k] if k <= len(x) else 0
+            c[pos < k] = 0
+            so_far = so_far | c << np.uint64(8 * k - 8)
+            if k != 4:
+                context.append(so_far)
+        rep, node, bit, per = self.code.spell(x)
+        mix = NODE_MIX[node]
+        found = []
+        for k, c in enumerate([*context, whole]):
+            h = mixed(mixed(c * ODD[k])[rep] + mix)
+            found.append(place(h, self.bits[k], int(self.starts[k])))
+        return found, bit, np.add.reduceat(per, begin) if len(words) else per
+
+    def predict(self, table: Table, words: list[bytes], own: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Logits, gate, bits and decisions a word; ``own``: one own count is taken out of the slots."""
+        found, bit, per = self.decisions(words)
+        less = (bit.astype(np.int32) + 1) << 16 if own else np.int32(0)
+        got = [table.get(*f) + less for f in found]
+        a, b, c = (SEEN.take(g) for g in got[2:])
+        return np.array([LOGIT.take(g) for g in got]), a * np.intp(16) + b * np.intp(4) + c, bit, per
+
+
+# -- words --------------------------------------------------------------------------------------
+
+
+class Speech:
+    """The code of words, and the hashed contexts of its decisions across words."""
+
+    def __init__(self, code: Code, words: list[bytes], bits: tuple[int, ...]):
+        self.code, self.bits = code, bits
+        self.starts = np.cumsum([code.nodes, *(1 << b for b in bits)])
+        self.ending = np.array([0, 1, *(zlib.crc32(w[-2:]) % 4093 + 2 for w in words)], np.uint64)
+        self.last = words.index(b"") + 2 if b"" in words else NEW
+
+    def decisions(self, ids: np.ndarray, before: tuple[int, int], fresh: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Token, node and bit of all decisions, and slot and check in the two contexts across words.
+
+        fresh: the tokens that begin a text; ``before``: the two words before the first token.
+        """
+        rep, node, bit, _ = self.code.spell(ids)
+        one = np.concatenate([[before[1]], ids[:-1]])[: len(ids)]
+        two = np.concatenate([[before[0]], one[:-1]])[: len(ids)]
+        one[fresh] = self.last
+        two[fresh] = self.last
+        two[(fresh + 1)[fresh + 1 < len(ids)]] = self.last
+        mix = NODE_MIX[node]
+        found = []
+        for k, c in enumerate((one.astype(np.uint64), self.ending[one] << np.uint64(13) | self.ending[two])):
+            h = mixed((c + np.uint64(1)) * ODD[k + 5])[rep]
+            h += mix
+            h *= ODD[k + 3]
+            h ^= h >> np.uint64(32)
+            h *= ODD[6]
+            found.append(place(h, self.bits[k], int(self.starts[k])))
+        return rep, node, bit, *found
+
+
+class Own:
+    """The open texts' earlier decisions at each node: counts of 0 and 1 before each decision of a slice."""
+
+    def __init__(self, nodes: int):
+        self.nodes = nodes
+        self.carry: np.ndarray | None = None
+
+    def before(self, text: np.ndarray, node: np.ndarray, bit: np.ndarray, goes_on: bool) -> tuple[np.ndarray, np.ndarray]:
+        """text: of each decision, below ``TEXTS``. ``goes_on``: the slice is part of one long text, and not its last."""
+        n = len(node)
+        key = (text << 8 | node).astype(np.uint16)
+        order = np.argsort(key, kind="stable")
+        ordered, b = key[order], bit[order]
+        ones = np.cumsum(b, dtype=np.int32) - b
+        opens = np.flatnonzero(np.concatenate([np.ones(min(n, 1), bool), ordered[1:] != ordered[:-1]]))
+        per = np.diff(opens, append=n)
+        mine = ones - np.repeat(ones[opens], per)
+        n1, n0 = np.empty((2, n), np.int32)
+        n1[order] = mine
+        n0[order] = np.arange(n, dtype=np.int32) - np.repeat(opens, per) - mine
+        if self.carry is not None:
+            n0 += self.carry[0][node]
+            n1 += self.carry[1][node]
+        if goes_on:
+            more = np.bincount(node * 2 + bit, minlength=2 * self.nodes).reshape(-1, 2).T.astype(np.int32)
+            self.carry = more if self.carry is None else self.carry + more
+        else:
+            self.carry = None
+        return n0, n1
+
+
+def text_slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int, int, int, bool]]:
+    """(first text, end text, first token, end token, goes on): up to ``TEXTS`` whole texts and ``most`` tokens together; longer texts in parts."""
+    ends = np.cumsum(sizes)
+    i = 0
+    while i < len(sizes):
+        at = int(ends[i] - sizes[i])
+        if sizes[i] > most:
+            for k in range(at, int(ends[i]), most):
+                end = min(k + most, int(ends[i]))
+                yield i, i + 1, k, end, bool(end < ends[i])
+            i += 1
+            continue
+        j = i
+        while j < min(len(sizes), i + TEXTS) and ends[j] - at <= most:
+            j += 1
+        yield i, j, at, int(ends[j - 1]), False
+        i = j
+
+
+def own_logit(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """Logit of the text's own counts."""
+    return np.log((n1 + np.float32(0.4)) / (n0 + np.float32(0.4)))
+
+
+class Reader:
+    """Predicts the decisions of texts, slice by slice."""
+
+    def __init__(self, speech: Speech, table: Table, most: int = SLICE):
+        self.speech, self.table, self.most = speech, table, most
+        self.own = Own(speech.code.nodes)
+
+    def slices(self, ids: np.ndarray, sizes: np.ndarray, own: bool) -> Iterator[tuple]:
+        """first text, end text, goes on, tokens' places, text of each decision, logits, gate, bits, token of each decision; ``own``: one own
+        count is taken out of the slots."""
+        begin = np.cumsum(sizes) - sizes
+        for i, j, at, end, goes_on in text_slices(sizes, self.most):
+            starts = begin[i:j] - at
+            before = (int(ids[at - 2]), int(ids[at - 1])) if at > begin[i] else (self.speech.last,) * 2
+            rep, node, bit, *found = self.speech.decisions(ids[at:end], before, starts[starts >= 0])
+            owner = np.repeat(np.arange(j - i, dtype=np.int32), np.diff(np.append(np.maximum(starts, 0), end - at)))
+            text = owner[rep]
+            n0, n1 = self.own.before(text, node, bit, goes_on)
+            st = np.empty((4, len(node)), np.float32)
+            gate = seen(n0 + n1).astype(np.intp)
+            less = (bit.astype(np.int32) + 1) << 16 if own else np.int32(0)
+            st[0] = LOGIT.take(self.table.pair.take(node) + less)
+            for k, f in enumerate(found):
+                got = self.table.get(*f) + less
+                st[k + 1] = LOGIT.take(got)
+                gate += SEEN.take(got).astype(np.intp) << (2 * k + 2)
+            st[3] = own_logit(n0, n1)
+            yield i, j, goes_on, np.arange(at, end) - begin[i:j][owner], text, st, gate, bit, rep
+
+
+class Scorer:
+    """Natural log probability of texts; the weights adapt to each text."""
+
+    def __init__(self, reader: Reader, mixer: Mixer):
+        self.reader, self.mixer = reader, mixer
+
+    def texts(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(sizes))
+        carried = None
+        for i, j, goes_on, place, text, st, gate, bit, rep in self.reader.slices(ids, sizes, own=False):
+            own = carried if carried is not None else np.zeros((len(st) + 1, j - i), np.float32)
+            x = self.mixer.mix(st, gate)
+            block = np.frexp((place // FIRST_BLOCK + 1).astype(np.float32))[1].astype(np.uint8)[rep]
+            for b in range(1, int(block.max(initial=0)) + 1):
+                at = np.flatnonzero(block == b)
+                if not len(at):
+                    continue
+                who, s, g, t = text[at], st[:, at], gate[at], bit[at]
+                begin = np.flatnonzero(np.concatenate([np.ones(1, bool), who[1:] != who[:-1]]))
+                per, mine = np.diff(begin, append=len(who)), who[begin]
+                y = x[at]
+                if b > 1 or carried is not None:
+                    for k in range(len(st)):
+                        y += np.repeat(own[k][mine], per) * s[k]
+                    y += np.repeat(own[-1][mine], per)
+                p, _, final = self.mixer.final(y, g)
+                out[i + mine] += np.add.reduceat(np.log(np.abs(final + t - 1)), begin, dtype=np.float64)
+                err = t - p
+                step = OWN_STEP / (per + 64).astype(np.float32)
+                own[:-1, mine] += step * np.add.reduceat(s * err, begin, axis=1)
+                own[-1, mine] += step * np.add.reduceat(err, begin)
+            carried = own if goes_on else None
+        return out
+
+
+# -- from texts to tokens -----------------------------------------------------------------------
+
+
+def words_of(text: bytes | None) -> list[bytes]:
+    return (text or b"").lower().split()
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """word, n over docs(text); the empty word counts the texts' ends."""
+    """word, n (in the texts that teach) over all of docs(text, teaches); the empty word counts the texts' ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
+        others: set[bytes] = set()
 
         def hand_on() -> Iterator[pa.RecordBatch]:
-            items = list(counts.items())
+            items = [*counts.items(), *((w, 0) for w in others if w not in counts)]
             counts.clear()
+            others.clear()
             for i in range(0, len(items), 20_000):
-                w, n = zip(*items[i : i + 20_000])
-                yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(n, pa.int64())], ["word", "n"])
+                yield batch_of(list(zip(*items[i : i + 20_000])), [pa.binary(), pa.int64()], ["word", "n"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update((text or "").encode().lower().split())
-            counts[b""] += batch.num_rows
-            if len(counts) > FLUSH:
-                yield from hand_on()
+            for text, teaches in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = words_of(text)
+                if teaches:
+                    counts.update(words)
+                    counts[b""] += 1
+                else:
+                    others.update(words)
+                    others.add(b"")
+                if len(counts) + len(others) > FLUSH:
+                    yield from hand_on()
         yield from hand_on()
 
-    return docs.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return map_arrow(docs, run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def byte_counts(counts: DataFrame) -> np.ndarray:
-    """How often each byte stands in the training words and their ends: 256 sums."""
+def byte_counts(words: DataFrame) -> np.ndarray:
+    """How often each byte stands in words(word) and their ends: 256 sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(256)
-        for batch in batches:
-            words, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-            x = np.frombuffer(b"".join(words), np.uint8)
-            total += np.bincount(x, weights=np.repeat(n, [len(w) for w in words]), minlength=256)
-            total[32] += n.sum()
-        yield pa.RecordBatch.from_arrays([pa.array(range(256), pa.int32()), pa.array(total.astype(np.int64))], ["byte", "n"])
-
-    got = counts.select("word", "n").mapInArrow(run, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(256)
-    for r in got:
-        out[r["byte"]] = r["n"]
-    return out
-
-
-def count_slots(docs: DataFrame, counts: DataFrame, code: Code) -> np.ndarray:
-    """(slots, 2): how often each slot's decision was 0 and 1, over all training words and pairs of words, as quantised bytes.
-
-    Tasks send the slots that they filled, block by block; blocks are summed by key.
-    """
-    across_from = int(code.starts[INSIDE])
-
-    def rows(block: list[int], data: list[bytes]) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(block), 16):
-            yield pa.RecordBatch.from_arrays([pa.array(block[i : i + 16], pa.int32()), pa.array(data[i : i + 16], pa.binary())], ["block", "data"])
-
-    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def add(words: list[bytes], n: list[int]) -> Iterator[pa.RecordBatch]:
-            keys, sums = [], []
-            for i, j in slices(words, 1 << 17):
-                got = Bits(code, words[i:j])
-                weight = np.repeat(np.array(n[i:j], float), got.per)
-                for row in got.slots:
-                    key, back = np.unique(row * 2 + got.bit, return_inverse=True)
-                    keys.append(key)
-                    sums.append(np.bincount(back, weights=weight))
-            key, back = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.bincount(back, weights=np.concatenate(sums)).astype(np.float32)
-            edges = np.flatnonzero(np.diff(key >> (BLOCK_BITS + 1))) + 1
-            block, data = [], []
-            for k, t in zip(np.split(key, edges), np.split(total, edges)):
-                block.append(int(k[0] >> (BLOCK_BITS + 1)))
-                data.append(zlib.compress((k & ((2 << BLOCK_BITS) - 1)).astype(np.uint32).tobytes() + t.tobytes(), 1))
-            yield from rows(block, data)
-
-        words, n, size = [], [], 0
+        total = np.zeros(256, np.int64)
         for batch in batches:
-            for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words.append(w)
-                n.append(c)
-                size += len(w) + 1
-                if size >= 1 << 20:
-                    yield from add(words, n)
-                    words, n, size = [], [], 0
-        if words:
-            yield from add(words, n)
-
-    def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(2 * (int(code.starts[-1]) - across_from), np.float32)
-        for batch in batches:
-            words, ids, before, _ = tokens_of(batch.column(0).to_pylist(), {})
-            got = Bits(code, words, only_heads=True)
-            first = np.cumsum(got.per) - got.per
-            pair, times = np.unique(before * len(words) + ids, return_counts=True)
-            for i in range(0, len(pair), 1 << 15):
-                b, w = np.divmod(pair[i : i + (1 << 15)], len(words))
-                at, n = spread(first, got.per, w)
-                weight = np.repeat(times[i : i + (1 << 15)].astype(np.float32), n)
-                for row in across(code, got.key[at], np.repeat(got.hash[b], n), np.repeat(got.ending[b], n)):
-                    np.add.at(table, (row - across_from) * 2 + got.bit[at], weight)
-        width = 2 << BLOCK_BITS
-        for b in range(0, len(table), width):
-            part = table[b : b + width]
-            if part.any():
-                yield from rows([(across_from >> BLOCK_BITS) + b // width], [zlib.compress(part.astype(np.uint16 if part.max() < 65536 else np.uint32).tobytes(), 1)])
+            total += np.bincount(np.frombuffer(b" ".join([*batch.column(0).to_pylist(), b""]), np.uint8), minlength=256)
+        yield batch_of([range(256), total], [pa.int32(), pa.int64()], ["byte", "n"])
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        width = 2 << BLOCK_BITS
-        for batch in batches:
-            for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = zlib.decompress(raw)
-                total = sums.setdefault(block, np.zeros(width, np.float32))
-                if block << BLOCK_BITS >= across_from:
-                    total += np.frombuffer(data, np.uint16 if len(data) == 2 * width else np.uint32)
-                else:
-                    n = len(data) // 8
-                    total[np.frombuffer(data, np.uint32, n)] += np.frombuffer(data, np.float32, n, 4 * n)
-        for block, total in sums.items():
-            yield from rows([block], [zlib.compress(quantised(total).tobytes(), 1)])
-
-    parts = counts.select("word", "n").mapInArrow(inside, "block int, data binary").unionByName(docs.mapInArrow(between, "block int, data binary"))
-    merged = staged(parts.repartition("block").mapInArrow(merge, "block int, data binary"), "slots")
-    out = np.zeros((int(code.starts[-1]), 2), np.uint8)
-    for r in merged.toLocalIterator():
-        at = r["block"] << BLOCK_BITS
-        out[at : at + (1 << BLOCK_BITS)] = np.frombuffer(zlib.decompress(bytes(r["data"])), np.uint8).reshape(-1, 2)
+    out = np.zeros(256, np.int64)
+    for r in map_arrow(words.select("word"), run, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
+        out[r["byte"]] = r["n"]
     return out
 
 
-def tokens_of(texts: list[str | None], common: dict[bytes, int]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """The words that ``common`` has not, in order, numbered after it; of all tokens their word's and previous word's numbers;
-    and each text's number of tokens. The empty word ends every text and stands before its first word."""
-    lists = [(t or "").encode().lower().split() for t in texts]
-    flat = []
-    for words in lists:
-        flat += words
-        flat.append(b"")
-    new = sorted({*flat, b""}.difference(common))
-    fresh = {w: i for i, w in enumerate(new, len(common))}
-    get = common.get
-    ids = np.fromiter([got if (got := get(w)) is not None else fresh[w] for w in flat], np.int64, len(flat))
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists)) + 1
-    empty = common[b""] if b"" in common else fresh[b""]
-    return new, ids, np.concatenate([np.full(1, empty), ids[:-1]])[: len(ids)], sizes
+def least_frequent(counts: DataFrame, most: int) -> int:
+    """The count, 2 or more, from which on at most ``most`` words are frequent; a histogram of a few thousand cells tells it.
 
+    Words that occur once stay rare: they tell how often a word is new."""
+    cell = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2("n"))).cast("long"))
+    found = counts.filter("n > 1").groupBy(cell.alias("n")).agg(F.count(F.lit(1)).alias("words")).collect()
+    least, held = (1 << 63) - 1, 0
+    for r in sorted(found, key=lambda r: -r["n"]):
+        held += r["words"]
+        if held > most:
+            break
+        least = r["n"]
+    return least
 
-# -- the mixer --------------------------------------------------------------------------------
 
+def tokenised(docs: DataFrame, often: dict[bytes, int], code: Code) -> DataFrame:
+    """row, id, teaches, n_tokens, n_known and base (of frequent words), n_bytes, fixed (natural log probability of words within their leaves
+    and of what comes again), ids (symbols) and rare (its distinct rare words with their times) of docs(id, text, teaches), written once."""
+    spark = docs.sparkSession
+    number = {w: i for i, w in enumerate(often, 2)}
+    log_counts = np.log10(np.fromiter(often.values(), float, len(often)) + 1)
+    sent = spark.sparkContext.broadcast((number, np.concatenate([[0.0, 0.0], log_counts]), code.share))
+    kind = docs.schema["id"].dataType.simpleString()
 
-def logits(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    return np.log((n1 + 0.05) / (n0 + 0.05)).astype(np.float32)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, logs, share = sent.value
+        get = number.get
+        for batch in batches:
+            lists = list(map(words_of, batch.column(1).cast(pa.binary()).to_pylist()))
+            sizes = np.fromiter(map(len, lists), np.int64, len(lists)) + 1
+            flat: list[bytes] = []
+            for words in lists:
+                flat += words
+                flat.append(b"")
+            ids = np.fromiter([get(w, 0) for w in flat], np.int32, len(flat))
+            lengths = np.fromiter(map(len, flat), np.int64, len(flat))
+            begin = np.cumsum(sizes) - sizes
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            at = np.flatnonzero(ids == 0)
+            fresh: dict[bytes, int] = {}
+            rid = np.fromiter([fresh.setdefault(flat[i], len(fresh)) for i in at.tolist()], np.int64, len(at))
+            mine = owner[at]
+            key = mine * (len(fresh) + 1) + rid
+            order = np.argsort(key, kind="stable")
+            opens = np.concatenate([np.ones(min(1, len(at)), bool), np.diff(key[order]) != 0])
+            first = np.flatnonzero(opens)
+            times = np.diff(first, append=len(at))
+            rank = np.empty(len(at))
+            rank[order] = np.arange(len(at)) - np.repeat(first, times)
+            so_far = np.arange(len(at)) - np.searchsorted(mine, mine)
+            again = rank > 0
+            ids[at[again]] = AGAIN
+            fixed = np.bincount(mine[again], weights=np.log(rank[again] / so_far[again]), minlength=len(sizes)) + np.add.reduceat(share[ids], begin)
+            known = ids > AGAIN
+            words = pa.array(list(fresh), pa.binary()).take(pa.array(rid[order][first]))
+            ends = np.searchsorted(mine[order][first], np.arange(len(sizes) + 1))
+            rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([words, pa.array(times, pa.int64())], ["word", "n"]))
+            tokens = pa.ListArray.from_arrays(pa.array(np.append(begin, len(ids)), pa.int32()), pa.array(ids))
+            sums = lambda x: np.add.reduceat(x, begin)
+            cols = (sizes, sums(known.astype(np.int64)), sums(logs[ids]), sums(lengths) + sizes, fixed)
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64())
+            got = [pa.array(c, k) for c, k in zip(cols, kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *got, tokens, rare], ["id", "teaches", "n_tokens", "n_known", "base", "n_bytes", "fixed", "ids", "rare"])
 
+    schema = f"id {kind}, teaches boolean, n_tokens long, n_known long, base double, n_bytes long, fixed double, ids array<int>, rare array<struct<word:binary,n:long>>"
+    return staged(map_arrow(docs.select("id", "text", "teaches"), run, schema).withColumn("row", F.monotonically_increasing_id()), "tokens")
 
-def seen(n: np.ndarray) -> np.ndarray:
-    """Confidence class of a slot: never, rarely, some times, often."""
-    return ((n > 0).astype(np.uint8) + (n > 2)) + (n > 15)
 
+def flat_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
 
-#: Logit and confidence class of each pair of quantised counts, read as 16 bits.
-_n0, _n1 = np.tile(VALUES, 256), np.repeat(VALUES, 256)
-LOGIT, SEEN = logits(_n0, _n1), seen(_n0 + _n1).astype(np.uint8)
 
+# -- training -----------------------------------------------------------------------------------
 
-class Mixer:
-    """Weights by gate and the refining table; ``learn`` is online, a mini-batch at a time."""
-
-    GATES, LEVELS = 64, 33
-
-    def __init__(self):
-        self.w = np.full((self.GATES, 6), 0.3, np.float32)
-        self.w[:, 5] = 0
-        self.v = np.full((2, 17), 0.2, np.float32)  # 16: not in a word's head
-        centre = 1 / (1 + np.exp(-(np.arange(self.LEVELS) - 16) / 2))
-        self.hits = np.tile(centre * 16, (self.GATES, 1))
-        self.total = np.full((self.GATES, self.LEVELS), 16.0)
-
-    @staticmethod
-    def gate(conf: np.ndarray) -> np.ndarray:
-        """From the confidence classes (context, decision) of the three longest contexts."""
-        return (conf[0] * 16 + conf[1] * 4 + conf[2]).astype(np.intp)
-
-    def inside(self, st: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        """The mixed logit of the contexts inside the word."""
-        w = np.ascontiguousarray(self.w.T)
-        x = w[5][gate]
-        for k in range(INSIDE):
-            x += w[k][gate] * st[k]
-        return x
 
-    def final(self, x: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Mixed probability, the refining table's level and the final probability that the bit is 1."""
-        x = np.clip(x, -11, 11)
-        p = 1 / (1 + np.exp(-x))
-        level = (x * 2 + 16.5).astype(np.int16).clip(0, self.LEVELS - 1)
-        refined = (self.hits / self.total).astype(np.float32).ravel()[gate * np.intp(self.LEVELS) + level]
-        return p, level, np.clip((p + refined) / 2, 2e-5, 1 - 2e-5)
-
-    def learn(self, st: np.ndarray, gate: np.ndarray, far: np.ndarray, bit: np.ndarray, rate: float = 1.0) -> float:
-        """One mini-batch: predict, then update; the bits that it cost. far: for both contexts across words their weight's place."""
-        x = self.inside(st, gate)
-        for k in range(2):
-            x += self.v[k][far[k]] * st[INSIDE + k]
-        p, level, final = self.final(x, gate)
-        err = bit - p
-        n = np.bincount(gate, minlength=self.GATES) + 8.0
-        for k in range(INSIDE):
-            self.w[:, k] += rate * np.bincount(gate, weights=err * st[k], minlength=self.GATES) / n
-        self.w[:, 5] += rate * np.bincount(gate, weights=err, minlength=self.GATES) / n
-        for k in range(2):
-            n = np.bincount(far[k], minlength=17) + 8.0
-            self.v[k] += rate * np.bincount(far[k], weights=err * st[INSIDE + k], minlength=17) / n
-        np.add.at(self.hits, (gate, level), bit)
-        np.add.at(self.total, (gate, level), 1.0)
-        return float(-np.log2(np.where(bit == 1, final, 1 - final)).sum())
-
-
-class Words:
-    """What the model keeps of words: the decisions of their heads (logit inside the word, gate, bit, key), the natural log
-    probability of the rest, and what the next word's contexts take from them."""
-
-    FIELDS = ("x", "gate", "bit", "key", "per", "rest", "hash", "ending")
-
-    def __init__(self, **parts: np.ndarray):
-        self.__dict__.update(parts)
-        self.first = np.cumsum(self.per) - self.per
-
-    def plus(self, other: Words) -> Words:
-        return Words(**{f: np.concatenate([getattr(self, f), getattr(other, f)]) for f in self.FIELDS})
-
-
-class Model:
-    """Quantised slots, mixer and code: gives a word's natural log probability after another word."""
-
-    def __init__(self, code: Code, pairs: np.ndarray, mixer: Mixer):
-        self.slots = pairs.view(np.uint16).ravel()
-        self.code, self.mixer = code, mixer
-
-    def words(self, words: list[bytes]) -> Words:
-        parts = []
-        for i, j in slices(words):
-            b = Bits(self.code, words[i:j])
-            got = self.slots.take(b.slots)
-            gate = self.mixer.gate(SEEN[got[2:]])
-            x = self.mixer.inside(LOGIT[got], gate)
-            _, _, p = self.mixer.final(x, gate)
-            begin = np.cumsum(b.per) - b.per
-            rest = np.add.reduceat(np.where(b.head, 0, np.log(np.abs(p + b.bit - 1))), begin)
-            per = np.add.reduceat(b.head.astype(np.int64), begin)
-            h = b.head
-            parts.append((x[h], gate[h].astype(np.uint8), b.bit[h], b.key[h], per, rest, b.hash, b.ending))
-        kinds = (np.float32, np.uint8, np.uint8, np.uint64, np.int64, np.float64, np.uint64, np.uint64)
-        cols = list(zip(*parts)) or [()] * len(kinds)
-        return Words(**{f: np.concatenate([np.empty(0, t), *c]) for f, t, c in zip(Words.FIELDS, kinds, cols)})
-
-    def after(self, known: Words, before: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """Natural log probability of each word after the word before, both as numbers into ``known``."""
-        out = np.empty(len(words))
-        for i in range(0, len(words), 1 << 13):
-            part = slice(i, i + (1 << 13))
-            at, n = spread(known.first, known.per, words[part])
-            x, gate = known.x[at], known.gate[at]
-            whole = (gate & 3) << 2
-            b = before[part]
-            slots = across(self.code, known.key[at], np.repeat(known.hash[b], n), np.repeat(known.ending[b], n))
-            for v, row in zip(self.mixer.v, slots):
-                got = self.slots.take(row)
-                x += v[whole + SEEN[got]] * LOGIT[got]
-            _, _, p = self.mixer.final(x, gate)
-            cost = np.log(np.abs(p + known.bit[at] - 1))
-            out[part] = np.add.reduceat(cost, np.cumsum(n) - n) + known.rest[words[part]]
-        return out
+def train_letters(words: DataFrame, distinct: int) -> tuple[Speller, Table, Mixer]:
+    """Over all distinct training words(word), each counted once: new words are like other words, not like other tokens."""
+    sc = words.sparkSession.sparkContext
+    speller = Speller(Code(byte_counts(words) + 1), slot_bits(SLOTS_A_WORD, distinct))
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column(0).to_pylist()
+            for i, j in slices(held, 1 << 18):
+                found, bit, _ = speller.decisions(held[i:j])
+                for f in found:
+                    yield from block_rows(*runs(packed(*f, bit)))
 
-def train_mixer(tokens: list[tuple[bytes, bytes]], code: Code, pairs: np.ndarray, batch: int = 512) -> Mixer:
-    """Online pass over sampled (previous word, word), each without its own share of the counts; the rate falls from 2."""
-    mixer = Mixer()
-    parts = list(slices([w for _, w in tokens], 1 << 15))
-    for at, (i, j) in enumerate(parts):
-        b, prior = Bits(code, [w for _, w in tokens[i:j]]), Bits(code, [w for w, _ in tokens[i:j]], only_heads=True)
-        far = across(code, b.key, np.repeat(prior.hash, b.per), np.repeat(prior.ending, b.per))
-        slots = np.concatenate([b.slots, far])
-        n0, n1 = (np.maximum(VALUES[pairs[slots, k]] - (b.bit == k), 0) for k in (0, 1))
-        st, conf = logits(n0, n1), seen(n0 + n1)
-        st[INSIDE:, ~b.head] = 0
-        gate = mixer.gate(conf[2:INSIDE])
-        place = np.where(b.head, conf[INSIDE - 1] * 4 + conf[INSIDE:], 16).astype(np.intp)
-        for k in range(0, len(b.bit), batch):
-            s = slice(k, k + batch)
-            mixer.learn(st[:, s], gate[s], place[:, s], b.bit[s].astype(np.float32), 2 / (1 + 8 * at / len(parts)))
-    return mixer
+    table = filled(map_arrow(words.select("word"), count, "block int, data binary", rows=1 << 16), int(speller.starts[-1]))
+    sent = sc.broadcast(table)
 
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mixer = Mixer(LETTERS)
+        for batch in batches:
+            held = batch.column(0).to_pylist()
+            for i, j in slices(held):
+                st, gate, bit, _ = speller.predict(sent.value, held[i:j], own=True)
+                for k in range(0, len(bit), 8192):
+                    s = slice(k, k + 8192)
+                    mixer.learn(st[:, s], gate[s], bit[s].astype(np.float32))
+        yield mixer.rows()
+
+    mixer = Mixer.averaged(map_arrow(words.select("word"), learn, "part int, at int, value double"), LETTERS)
+    sent.destroy()
+    return speller, table, mixer
+
+
+def code_of_words(often: dict[bytes, int], total: int) -> Code:
+    """Rare words are taken to come again one time in eight; what they do is counted at the code's nodes."""
+    others = max(total - sum(often.values()), 0)
+    return Code(np.array([others - others // 8 + 1, others // 8 + 1, *often.values()]), HEAD)
+
+
+def train_words(tokens: DataFrame, often: dict[bytes, int], code: Code, distinct: int) -> tuple[Speech, Table, Mixer]:
+    """Over all texts that teach."""
+    sc = tokens.sparkSession.sparkContext
+    speech = Speech(code, list(often), slot_bits(WORD_SLOTS_A_WORD, distinct))
+    taught = tokens.filter("teaches").select("ids")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone = np.zeros(2 * code.nodes, np.int64)
+        keys, held = [], 0
+        for batch in batches:
+            ids, sizes = flat_ids(batch.column(0))
+            begin = np.cumsum(sizes) - sizes
+            for at in range(0, len(ids), SLICE):
+                end = min(at + SLICE, len(ids))
+                starts = begin[(begin >= at) & (begin < end)] - at
+                before = (int(ids[at - 2]) if at > 1 else speech.last, int(ids[at - 1]) if at else speech.last)
+                if at and at - 1 in begin:
+                    before = (speech.last, before[1])
+                _, node, bit, *found = speech.decisions(ids[at:end], before, starts)
+                alone += np.bincount(node * 2 + bit, minlength=len(alone))
+                for f in found:
+                    keys.append(packed(*f, bit))
+                    held += len(bit)
+                if held >= KEYS:
+                    yield from block_rows(*runs(np.concatenate(keys)))
+                    keys, held = [], 0
+        if keys:
+            yield from block_rows(*runs(np.concatenate(keys)))
+        at = np.flatnonzero(alone)
+        yield from block_rows((at.astype(np.uint64) >> np.uint64(1)) << np.uint64(9) | (at & 1).astype(np.uint64), alone[at])
+
+    table = filled(map_arrow(taught, count, "block int, data binary"), int(speech.starts[-1]))
+    sent = sc.broadcast(table)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mixer, reader = Mixer(4), Reader(speech, sent.value)
+        for batch in batches:
+            for _, _, _, _, _, st, gate, bit, _ in reader.slices(*flat_ids(batch.column(0)), own=True):
+                for k in range(0, len(bit), 16384):
+                    s = slice(k, k + 16384)
+                    mixer.learn(st[:, s], gate[s], bit[s].astype(np.float32))
+        yield mixer.rows()
 
-# -- scoring ----------------------------------------------------------------------------------
+    mixer = Mixer.averaged(map_arrow(taught, learn, "part int, at int, value double"), 4)
+    sent.destroy()
+    return speech, table, mixer
 
 
-def frequent(counts: DataFrame, most: int = FREQUENT) -> DataFrame:
-    """word, n of the words from a count on that at most ``most`` words reach; a histogram of a few thousand
-    cells tells the count."""
-    cell = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2("n"))).cast("long"))
-    found = counts.groupBy(cell.alias("n")).agg(F.count(F.lit(1)).alias("words")).collect()
-    least, held = 1 << 62, 0
-    for r in sorted(found, key=lambda r: -r["n"]):
-        held += r["words"]
-        if held > most:
-            break
-        least = r["n"]
-    return counts.filter(F.col("n") >= least)
+# -- scoring ------------------------------------------------------------------------------------
 
 
-def sample_tokens(docs: DataFrame, total: int) -> list[tuple[bytes, bytes]]:
-    """(previous word, word) of about ``SAMPLE`` tokens of docs(text), or one in ``SAMPLE_SHARE`` where that is more, in random order."""
-    rate = max(SAMPLE, total // SAMPLE_SHARE) / max(total, 1)
+def spelled(rare: DataFrame, speller: Speller, table: Table, mixer: Mixer) -> DataFrame:
+    """word, n and cost (natural log probability of its bytes) of rare(word, n)."""
+    sent = rare.sparkSession.sparkContext.broadcast((speller, table, mixer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        speller, table, mixer = sent.value
         for batch in batches:
-            before, words = [], []
-            for text in batch.column(0).to_pylist():
-                raw = (text or "").encode().lower()
-                held = [b"", *raw.split(), b""]
-                take = np.flatnonzero(np.random.default_rng(zlib.crc32(raw)).random(len(held) - 1) < rate).tolist()
-                before += [held[i] for i in take]
-                words += [held[i + 1] for i in take]
-            yield pa.RecordBatch.from_arrays([pa.array(before, pa.binary()), pa.array(words, pa.binary())], ["before", "word"])
+            words, costs = batch.column(0).to_pylist(), [np.empty(0)]
+            for i, j in slices(words):
+                st, gate, bit, per = speller.predict(table, words[i:j], own=False)
+                p = mixer.final(mixer.mix(st, gate), gate)[2]
+                costs.append(np.add.reduceat(np.log(np.abs(p + bit - 1), dtype=np.float64), np.cumsum(per) - per))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.concatenate(costs))], ["word", "n", "cost"])
 
-    rows = sorted((bytes(r["before"]), bytes(r["word"])) for r in docs.mapInArrow(run, "before binary, word binary").collect())
-    return [rows[i] for i in np.random.default_rng(11).permutation(len(rows))]
+    return map_arrow(rare.select("word", "n"), run, "word binary, n long, cost double")
 
 
-def document_scores(cost: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """log10 probability of documents from their tokens' natural log probabilities, words and numbers of tokens.
-
-    The cache is a Polya urn over the document's words so far: a token is drawn anew from the model with weight
-    ``s``, or repeats an earlier token: (s p + earlier tokens of the word) over (s + earlier tokens). ``SHARES``
-    of s, and no cache at all, are mixed with equal weight.
-    """
-    begin = np.cumsum(sizes) - sizes
-    place = np.arange(len(ids)) - np.repeat(begin, sizes)
-    owner = np.repeat(np.arange(len(sizes)), sizes) * (int(ids.max(initial=0)) + 1) + ids
-    order = np.argsort(owner, kind="stable")
-    new = np.concatenate([np.ones(1, bool), np.diff(owner[order]) != 0])[: len(ids)]
-    rank = np.arange(len(ids)) - np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0))
-    earlier = np.empty(len(ids))
-    earlier[order] = rank
-    p = np.exp(cost)
-    totals = np.array([np.add.reduceat(c, begin) for c in (cost, *(np.log((s * p + earlier) / (s + place)) for s in SHARES))])
-    top = totals.max(0)
-    return (top + np.log(np.exp(totals - top).mean(0))) / math.log(10)
-
-
-def lgamma(x: np.ndarray) -> np.ndarray:
-    """Log gamma of positive numbers: Stirling's series at x + 8, taken back by the recurrence."""
-    y = x + 8
-    series = (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
-    return series - np.log(x * (x + 1) * (x + 2) * (x + 3)) - np.log((x + 4) * (x + 5) * (x + 6) * (x + 7))
-
-
-def score(docs: DataFrame, teaches: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte and joint_score for every row."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    sc = spark.sparkContext
-    taught = docs.filter(teaches).select(F.col(text_col).alias("text"))
-    counts = staged(count_words(taught), "word-counts")
-    total, distinct = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
-    total = total or 0
-    code = Code(byte_counts(counts), slot_bits(distinct, total))
-    pairs = count_slots(taught, counts, code)
-    model = Model(code, pairs, train_mixer(sample_tokens(taught, total), code, pairs))
-    often = {bytes(r["word"]): r["n"] for r in frequent(counts).collect()}
-    common = {w: i for i, w in enumerate(often)}
-    bases = np.log10(np.fromiter(often.values(), float, len(often)) + 1)
-    sent = sc.broadcast((model, common, bases, model.words(list(often))))
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, n_tokens long, n_known long, base double, score double, n_bytes long, rare array<struct<word:binary,n:long>>"
+def said(tokens: DataFrame, speech: Speech, table: Table, mixer: Mixer) -> DataFrame:
+    """tokens without ids and rare, and with ln: the natural log probability of the texts' symbols."""
+    sent = tokens.sparkSession.sparkContext.broadcast((speech, table, mixer))
+    names = ["row", "id", "n_tokens", "n_known", "base", "n_bytes", "fixed"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, common, bases, often = sent.value
-        common_lengths = np.fromiter(map(len, common), np.int64, len(common))
+        speech, table, mixer = sent.value
+        scorer = Scorer(Reader(speech, table), mixer)
         for batch in batches:
-            new, ids, before, sizes = tokens_of(batch.column(1).to_pylist(), common)
-            known = often.plus(model.words(new))
-            width = len(common) + len(new)
-            pair, back = np.unique(before * width + ids, return_inverse=True)
-            cost = model.after(known, *np.divmod(pair, width))[back]
-            begin = np.cumsum(sizes) - sizes
-            is_known = ids < len(common)
-            base = np.zeros(len(ids))
-            base[is_known] = bases[ids[is_known]]
-            lengths = np.concatenate([common_lengths, np.fromiter(map(len, new), np.int64, len(new))])
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            rare, times = np.unique(owner[~is_known] * width + ids[~is_known], return_counts=True)
-            ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.bincount(rare // width, minlength=len(sizes)))])
-            words = pa.array(new, pa.binary()).take(pa.array(rare % width - len(common)))
-            held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([words, pa.array(times, pa.int64())], ["word", "n"]))
-            sums = lambda x: np.add.reduceat(x, begin)
-            cols = (sizes, sums(is_known.astype(np.int64)), sums(base), document_scores(cost, ids, sizes), sums(lengths[ids]) + sizes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, cols), held], ["id", "n_tokens", "n_known", "base", "score", "n_bytes", "rare"])
-
-    scored = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
-    scored = staged(scored.withColumn("row", F.monotonically_increasing_id()), "scored")  # written once: row is fixed from here on
-    pieces = scored.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.n").alias("k"))
-    hit = pieces.join(counts, "word").groupBy("row").agg(F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("more"), F.sum("k").alias("more_known"))
-    full = scored.drop("rare").join(hit, "row", "left")
+            ln = scorer.texts(*flat_ids(batch.column(len(names))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(ln, pa.float64())], [*names, "ln"])
+
+    picked = tokens.select(*names, "ids")
+    kinds = ", ".join(f"{n} {picked.schema[n].dataType.simpleString()}" for n in names)
+    return map_arrow(picked, run, f"{kinds}, ln double")
+
+
+def score(docs: DataFrame, teaches: Column, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
+    """id_col, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte for every row."""
+    picked = spread(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), F.coalesce(teaches, F.lit(False)).alias("teaches"))
+    counts = staged(count_words(picked.select("text", "teaches")), "word-counts")
+    total, distinct = counts.filter("n > 0").agg(F.sum("n"), F.count(F.lit(1))).first()
+    total, least = total or 0, least_frequent(counts, frequent)
+    often = {bytes(r["word"]): r["n"] for r in counts.filter(F.col("n") >= least).collect()}
+    often = dict(sorted(often.items(), key=lambda x: (-x[1], x[0])))
+    rare = counts.filter(F.col("n") < least)
+    code = code_of_words(often, total)
+    tokens = tokenised(picked, often, code)
+    speller = train_letters(counts.filter("n > 0 AND word <> X''"), distinct)
+    costs = staged(spelled(rare, *speller), "spelled")
+    pieces = tokens.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.n").alias("k"))
+    hit = pieces.join(costs, "word").groupBy("row").agg(
+        F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("more_known"), F.sum("cost").alias("cost")
+    )
+    full = staged(said(tokens, *train_words(tokens, often, code, distinct)).join(hit, "row", "left"), "scored")
+    discard(counts, tokens, costs)
     lowest = math.log10(total + distinct + 1) if total else None
-    base = F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(lowest).cast("double")
-    full = full.withColumn("base_score", base)
-    high, low = F.greatest("score", "base_score"), F.least("score", "base_score")  # both skip a null
-    joint = high + F.log10((F.lit(1.0) + F.pow(F.lit(10.0), low - high)) / 2)
+    none = F.lit(0.0)
+    result = (F.col("ln") + F.col("fixed") + F.coalesce("cost", none)) / math.log(10)
     return full.select(
         F.col("id").alias(id_col),
         "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        "base_score",
-        "score",
-        (-F.col("score") * math.log2(10) / F.col("n_bytes")).alias("bits_per_byte"),
-        joint.alias("joint_score"),
+        (F.col("base") + F.coalesce("more", none) - F.col("n_tokens") * F.lit(lowest).cast("double")).alias("base_score"),
+        result.alias("score"),
+        (-result * math.log2(10) / F.col("n_bytes")).alias("bits_per_byte"),
     )
 
 
@@ -605,4 +800,4 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = score(table(spark, sf_dir, "documents"), ~held_out())
-    return out.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte", "joint_score")
+    return out.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import discard, small_batches, staged, table
+from foliant.llm.common import discard, map_arrow, spread, staged, table
 
 BANDS, ROWS = 40, 5
 SLACK = 0.15
@@ -118,8 +118,8 @@ def sign(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
                 ["id", "n_shingles", "set_key", "sig", "keys"],
             )
 
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(run, f"id {kind}, n_shingles long, set_key binary, sig binary, keys array<long>")
+    picked = spread(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return map_arrow(picked, run, f"id {kind}, n_shingles long, set_key binary, sig binary, keys array<long>")
 
 
 def likely(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -134,7 +134,7 @@ def likely(pairs: DataFrame, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([c.filter(keep) for c in batch.columns[:2]], ["a", "b"])
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, f"a {kind}, b {kind}")
+    return map_arrow(pairs.select("a", "b", "sig_a", "sig_b"), run, f"a {kind}, b {kind}")
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -152,7 +152,7 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     kind = pairs.schema["a"].dataType.simpleString()
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}, na long, nb long, common long")
+    return map_arrow(both.select("a", "b", "x", "y"), run, f"a {kind}, b {kind}, na long, nb long, common long")
 
 
 def reaching(found: DataFrame, percent: int) -> DataFrame:
@@ -187,7 +187,6 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """id_col, n_shingles, component_id and kept for every row of docs."""
-    small_batches(docs.sparkSession)
     signed = staged(sign(docs, id_col, text_col, width), "signed")
     filled = signed.filter("id IS NOT NULL AND set_key IS NOT NULL")
     nodes = filled.groupBy("set_key").agg(F.min("id").alias("node"), F.any_value("sig").alias("sig"), F.any_value("keys").alias("keys"))
@@ -262,7 +261,7 @@ def crowd_stats(members: DataFrame, sets: DataFrame) -> DataFrame:
                     part = s[i : i + 50_000]
                     yield pa.RecordBatch.from_arrays([pa.array([node] * len(part)).cast(batch.schema.field(0).type), pa.array(part)], ["id", "s"])
 
-    pieces = sets.join(crowd, "id", "left_semi").mapInArrow(run, f"id {kind}, s long")
+    pieces = map_arrow(sets.join(crowd, "id", "left_semi"), run, f"id {kind}, s long")
     held = pieces.groupBy("s").agg(F.count(F.lit(1)).alias("d"))
     joined = pieces.join(held, "s").groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("d") > 1).alias("shared"), F.avg("d").alias("centrality"))
     return joined.withColumnRenamed("id", "node")
@@ -310,7 +309,7 @@ def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
             got = [shingles.of(t or "").tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary())], ["id", "shingles"])
 
-    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, shingles binary").filter("shingles <> X''")
+    return map_arrow(texts, run, f"id {texts.schema['id'].dataType.simpleString()}, shingles binary").filter("shingles <> X''")
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliant.llm.common import small_batches, staged, table
+from foliant.llm.common import discard, map_arrow, spread, staged, table
 
 MIN_WORDS, MIN_CHARS = 40, 200
 COMMON = 40
@@ -92,8 +92,8 @@ def learn(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
         yield from hand_on()
         yield rows("class", [(lang, CLASSES[i].encode(), int(n)) for lang, v in classes.items() for i, n in enumerate(v)])
 
-    known = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
-    parts = known.mapInArrow(run, "lang string, kind string, item binary, n long")
+    known = spread(docs).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
+    parts = map_arrow(known, run, "lang string, kind string, item binary, n long")
     return parts.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
 
 
@@ -184,7 +184,6 @@ def repeated_lines(text: str) -> int:
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """id_col, the base counts, base_failed, class_distance, word_distance and kept, for every row."""
     spark = docs.sparkSession
-    small_batches(spark)
     rules = Rules(references(docs, text_col, lang_col))
     kind = docs.schema[id_col].dataType.simpleString()
     counts = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -207,8 +206,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             cols = list(zip(*out)) or [()] * len(types)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(cols, types)]], names)
 
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    picked = spread(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return map_arrow(picked, run, schema).withColumnRenamed("id", id_col)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

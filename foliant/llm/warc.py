@@ -42,7 +42,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from foliant.llm.common import shared_path, small_batches, table, text_of
+from foliant.llm.common import shared_path, table, text_of
 
 NAME = "foliant_warc"
 MANIFEST = "_manifest.json"
@@ -371,7 +371,6 @@ def write_pages(pages: DataFrame, path: str, min_revisit: int = 100, id_col: str
     """
     spark = pages.sparkSession
     register(spark)
-    small_batches(spark)
     body = text_of(html_col)
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("target_uri"), body.cast("binary").alias("payload"))
     rows = rows.withColumn("payload_digest", F.sha2("payload", 256)).withColumn("http_length", F.octet_length("payload").cast("long"))

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
 import random
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -14,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from foliant.llm import bpe, language_id, lm_scoring, minhash, quality, warc
+from foliant.llm import bpe, language_id, minhash, quality, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -181,62 +179,6 @@ def test_warc_foreign_members(tmp_path):
         list(warc.records(f"file://{tmp_path}/bad.warc", lambda r: True, True))
 
 
-# -- LM ---------------------------------------------------------------------------------------------------
-
-
-def test_code_is_a_prefix_code():
-    code = lm_scoring.Code(np.arange(256.0) ** 2)
-    assert abs(sum(2.0 ** -int(n) for n in code.length) - 1) < 1e-12
-    assert np.allclose(lm_scoring.lgamma(np.array([0.01, 1.0, 50.0])), [math.lgamma(v) for v in (0.01, 1.0, 50.0)])
-
-
-def test_lm_base_and_score(docs, odd):
-    rows = docs.collect()
-    out = {r.doc_id: r for r in lm_scoring.score(docs, ~lm_scoring.held_out()).collect()}
-    tok = lambda t: [*(t or "").encode().lower().split(), b""]
-    held = {r.doc_id for r in rows if zlib.crc32(str(r.doc_id).encode()) % 7 == 2}
-    c = Counter(w for r in rows if r.doc_id not in held for w in tok(r.text))
-    n, v = sum(c.values()), len(c)
-    for r in rows:
-        words, o = tok(r.text), out[r.doc_id]
-        assert (o.n_tokens, o.n_known, o.train_tokens) == (len(words), sum(w in c for w in words), n)
-        assert math.isclose(o.base_score, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in words), rel_tol=1e-9)
-    assert sum(out[i].score for i in held) > sum(out[i].base_score for i in held) - 0.31 * len(held)
-    got = lm_scoring.score(odd, F.lit(True)).collect()
-    assert len(got) == 7 and all(r.score < 0 for r in got)
-
-
-def test_lm_score_is_the_models_own(docs):
-    rows = {r.doc_id: [*(r.text or "").encode().lower().split(), b""] for r in docs.collect()}
-    out = {r.doc_id: r for r in lm_scoring.score(docs, ~lm_scoring.held_out()).collect()}
-    size = {i: sum(len(w) + 1 for w in words) for i, words in rows.items()}
-    for i, o in out.items():
-        assert math.isclose(o.score, -o.bits_per_byte * size[i] * math.log10(2), rel_tol=1e-9)
-    held = [i for i in rows if zlib.crc32(str(i).encode()) % 7 == 2]
-    assert -sum(out[i].score for i in held) / math.log10(2) < 2.6 * sum(size[i] for i in held)
-
-
-def test_lm_score_depends_on_word_order(spark, docs):
-    texts = [" ".join((r.text or "").split()[:200]) for r in docs.limit(60).collect()]
-    rows = [(i, t, True) for i, t in enumerate(texts)] + [(1000 + i, " ".join(sorted(t.split())), False) for i, t in enumerate(texts)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, teaches boolean")
-    out = {r.doc_id: r for r in lm_scoring.score(df, F.col("teaches")).collect()}
-    long = [i for i, t in enumerate(texts) if len(set(t.split())) > 20]
-    assert long and all(math.isclose(out[i].base_score, out[1000 + i].base_score, rel_tol=1e-9) for i in long)
-    assert all(abs(out[i].score - out[1000 + i].score) > 1e-3 for i in long)
-    assert sum(out[i].score for i in long) > sum(out[1000 + i].score for i in long)
-
-
-def test_lm_tables_grow_with_the_corpus():
-    small, large = lm_scoring.slot_bits(87_000, 400_000), lm_scoring.slot_bits(3_400_000, 116_000_000)
-    assert 1 << large[4] >= 6 * 3_400_000 and 1 << large[5] >= 116_000_000 // 8
-    assert all(a <= b for a, b in zip(small, large)) and sum(a < b for a, b in zip(small, large)) >= 5
-    code = lm_scoring.Code(np.ones(256), large)
-    assert int(code.starts[-1]) == sum(1 << b for b in large)
-    n = np.array([0, 1, 7, 32, 1000, 400_000])
-    assert np.allclose(lm_scoring.VALUES[lm_scoring.quantised(n)], n, rtol=0.03)
-
-
 # -- MinHash ------------------------------------------------------------------------------------------------
 
 

@@ -2,17 +2,17 @@
 
 Reading plans partitions over files (small files share one), takes predicates on the record type
 and on header columns from Spark, parses a record's header first, and neither decompresses nor
-reads on through a payload that a predicate or ``payload=false`` makes unwanted. Members written
-here carry their compressed length in gzip's extra field, so the next record is found by seeking; archives of
-other writers, compressed by record or plain, are read too.
+keeps a payload that a predicate or ``payload=false`` makes unwanted. Members written here carry their compressed length in gzip's
+extra field, so the next record is found by seeking. Archives of other writers are read too: in plain ones the next record is found by
+seeking, and members compressed without that field are inflated piece by piece to find their end, and the pieces thrown away.
 
 Writing gives each task attempt files of its own, which count only once the driver has committed a
 manifest of them: files of lost executors or of second attempts are never read. The folder has to be one that all
 machines share.
 
 Defined results: a null payload is written as an empty one; a null URL leaves its header out and reads as null; control
-characters in a URL are percent-encoded; records are read whole, however long; a damaged file raises
-with its name and offset; no rows give no records.
+characters in a URL are percent-encoded; ids are written as text (percent-encoded) and read back as text, a null id as null; records are
+read whole, however long; a damaged file raises with its name and offset; no rows give no records; columns of other names are ignored.
 """
 
 from __future__ import annotations
@@ -42,10 +42,15 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from foliant.llm.common import shared_path, table, text_of
+from foliant.llm.common import discard, parts, shared_path, staged, table, text_of
+from foliant.shipping import ship
 
 NAME = "foliant_warc"
 MANIFEST = "_manifest.json"
+STEP = 1 << 16
+#: Bits of a bitmap of keys: 8 MB, and 17 MB as the table of words that is broadcast.
+MARKS = 1 << 26
+BIT = "shiftleft(1L, CAST({} & 63 AS INT))"
 READ_SCHEMA = (
     "file string, offset long, record_type string, record_id string, target_uri string, warc_date string, refers_to string, "
     "payload_digest string, content_length long, http_length long, headers map<string,string>, payload binary"
@@ -130,7 +135,7 @@ class Content:
     """A record's bytes from an offset of a file, unpacked only as far as they are asked for."""
 
     def __init__(self, window: Window, offset: int):
-        self.w, self.offset, self.got, self.read = window, offset, b"", 0
+        self.w, self.offset, self.got, self.read = window, offset, bytearray(), 0
         first = window.at(offset, 24)
         self.packed = first[:2] == b"\x1f\x8b"
         self.total = 0
@@ -139,33 +144,33 @@ class Content:
             if len(first) == 24 and first[3] & 4 and first[12:14] == b"sl":
                 self.total = struct.unpack("<I", first[16:20])[0]
 
+    def piece(self, most: int) -> bytes | None:
+        """The next bytes of a packed member, ``most`` at most; None at the end of the file."""
+        raw = self.z.unconsumed_tail
+        if not raw:
+            step = min(STEP, self.total - self.read) if self.total else STEP
+            raw = self.w.at(self.offset + self.read, step)
+            self.read += len(raw)
+        return self.z.decompress(raw, most) if raw else None
+
     def upto(self, n: int) -> bytes:
         """The first n bytes, or all if there are fewer."""
         while len(self.got) < n and not (self.packed and self.z.eof):
-            step = 1 << 16
-            if self.packed:
-                raw = self.z.unconsumed_tail or self.w.at(self.offset + self.read, min(step, self.total - self.read) if self.total else step)
-                if not self.z.unconsumed_tail:
-                    self.read += len(raw)
-                if not raw:
-                    break
-                self.got += self.z.decompress(raw, max(n - len(self.got), 4096))
-            else:
-                raw = self.w.at(self.offset + len(self.got), max(n - len(self.got), 4096))
-                if not raw:
-                    break
-                self.got += raw
-        return self.got[:n]
+            want = max(n - len(self.got), 4096)
+            more = self.piece(want) if self.packed else self.w.at(self.offset + len(self.got), want)
+            if more is None or not self.packed and not more:
+                break
+            self.got += more
+        return bytes(memoryview(self.got)[:n])
 
     def after(self, length: int) -> int:
-        """Offset of what follows this record, whose content has ``length`` bytes."""
+        """Offset of what follows this record, whose content has ``length`` bytes. Nothing that is passed over is kept."""
         if not self.packed:
             return self.offset + length
         if self.total:
             return self.offset + self.total
         while not self.z.eof:
-            self.upto(len(self.got) + (1 << 16))
-            if not self.z.eof and self.w.at(self.offset + self.read, 1) == b"" and not self.z.unconsumed_tail:
+            if self.piece(STEP) is None:
                 raise ValueError("member is cut short")
         return self.offset + self.read - len(self.z.unused_data)
 
@@ -263,7 +268,7 @@ class WarcReader(DataSourceReader):
                 held, total = [], 0
             held.append(base + path)
             total += size
-        return [*out, Files(tuple(held))] if held else out
+        return [*out, Files(tuple(held))]  # one without files where there are none
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
@@ -295,7 +300,7 @@ class WarcWriter(DataSourceArrowWriter):
         fs, root = pafs.FileSystem.from_uri(self.path)
         fs.create_dir(root, recursive=True)
         out, name, size, done = None, "", 0, []
-        for batch in batches:
+        for batch in parts(batches):
             for r in batch.to_pylist():
                 if out is None:
                     name, size = f"part-{uuid.uuid4().hex}.warc.gz", 0
@@ -345,6 +350,7 @@ class WarcSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ship(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
 
@@ -355,54 +361,79 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
 
 
 def urn(page: Column) -> Column:
-    return F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("none")), F.lit(">"))
+    return F.coalesce(F.concat(F.lit("<urn:page:"), F.url_encode(page.cast("string")), F.lit(">")), F.lit("<urn:page>"))
 
 
 def page_of(record_id: Column) -> Column:
-    return F.regexp_extract(record_id, "^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
+    """The page's id as text; null for a null id and for records of other writers."""
+    return F.try_url_decode(F.nullif(F.regexp_extract(record_id, "^<urn:page:([^>]*)>$", 1), F.lit("")))
+
+
+def marks(df: DataFrame, *key: Column) -> DataFrame:
+    """A bitmap of the keys' hashes: word, bits; at most ``MARKS / 64`` rows, whatever the number of keys."""
+    at = df.select(F.pmod(F.xxhash64(*key), F.lit(MARKS)).alias("at"))
+    return at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr(BIT.format("at"))).alias("bits"))
+
+
+def marked(df: DataFrame, bitmap: DataFrame, name: str, *key: Column) -> DataFrame:
+    """df with a flag that is true for every key of the bitmap, and for others that share a bit with one."""
+    with_at = df.withColumn("_at", F.pmod(F.xxhash64(*key), F.lit(MARKS))).withColumn("_word", F.shiftright("_at", 6))
+    joined = with_at.join(F.broadcast(bitmap), F.col("_word") == F.col("word"), "left")
+    return joined.withColumn(name, F.coalesce(F.expr(f"bits & {BIT.format('_at')}") != 0, F.lit(False))).drop("_at", "_word", "word", "bits")
 
 
 def write_pages(pages: DataFrame, path: str, min_revisit: int = 100, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """One record per page. Of equal payloads of at least ``min_revisit`` bytes the smallest id is the
-    response; rows repeated under that id are responses too.
+    response; rows repeated under that id are responses too; a null id is never the smallest unless all are null.
 
-    Groups are found on digests alone, combined before the shuffle; only digests that occur twice or
-    more are joined to the pages, so a corpus without copies shuffles no payload.
+    Groups are found on digests alone, combined before the shuffle. Bitmaps of fixed size tell each scan task which payloads surely occur
+    once (they are written where they are read) and which surely are revisits (their payload is left behind). What is shuffled with its
+    payload is about one row for each payload that occurs twice or more.
     """
     spark = pages.sparkSession
     register(spark)
     body = text_of(html_col)
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("target_uri"), body.cast("binary").alias("payload"))
     rows = rows.withColumn("payload_digest", F.sha2("payload", 256)).withColumn("http_length", F.octet_length("payload").cast("long"))
-    groups = rows.filter(F.col("http_length") >= min_revisit).groupBy("payload_digest").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-    twice = groups.filter("n > 1").select(F.col("payload_digest").alias("_d"), "first_id", F.lit(True).alias("shared"))
-    rows = rows.join(twice, F.col("payload_digest") == F.col("_d"), "left")
-    again = F.coalesce(F.col("shared"), F.lit(False)) & ~F.col("id").eqNullSafe(F.col("first_id"))
-    rows.select(
-        F.when(again, "revisit").otherwise("response").alias("record_type"),
-        urn(F.col("id")).alias("record_id"),
-        "target_uri",
-        "payload_digest",
-        F.when(again, F.lit(b"")).otherwise(F.col("payload")).alias("payload"),
-        "http_length",
-        F.when(again, urn(F.col("first_id"))).alias("refers_to"),
-    ).write.format(NAME).mode("append").save(path)
+    long = rows.filter(F.col("http_length") >= min_revisit)
+    groups = long.groupBy("payload_digest").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    twice = staged(groups.filter("n > 1").select(F.col("payload_digest").alias("_d"), "first_id"), "warc-twice")
+    digest, own = (F.col("payload_digest"),), (F.col("payload_digest"), F.col("id").cast("string"))
+    flagged = marked(rows, marks(twice, F.col("_d")), "maybe", *digest).withColumn("maybe", F.col("maybe") & (F.col("http_length") >= min_revisit))
+
+    narrow = flagged.filter("maybe").drop("payload", "maybe").join(twice, F.col("payload_digest") == F.col("_d"), "left")
+    narrow = narrow.withColumn("again", F.col("_d").isNotNull() & ~F.col("id").eqNullSafe(F.col("first_id")))
+    decided = staged(narrow.drop("_d"), "warc-decided")
+    firsts = decided.filter("NOT again").select(F.col("id").alias("_id"), F.col("payload_digest").alias("_d")).distinct()
+    with_body = marked(flagged.filter("maybe"), marks(firsts, F.col("_d"), F.col("_id").cast("string")), "wanted", *own).filter("wanted")
+    with_body = with_body.join(firsts, (F.col("payload_digest") == F.col("_d")) & F.col("id").eqNullSafe(F.col("_id")), "left_semi")
+
+    def response(df: DataFrame) -> DataFrame:
+        return df.select(F.lit("response").alias("record_type"), urn(F.col("id")).alias("record_id"), "target_uri", "payload_digest", "payload", "http_length", F.lit(None).cast("string").alias("refers_to"))
+
+    revisits = decided.filter("again").select(
+        F.lit("revisit").alias("record_type"), urn(F.col("id")).alias("record_id"), "target_uri", "payload_digest", F.lit(b"").alias("payload"), "http_length", urn(F.col("first_id")).alias("refers_to")
+    )
+    records = response(flagged.filter("NOT maybe")).unionByName(response(with_body)).unionByName(revisits)
+    records.write.format(NAME).mode("append").save(path)
+    discard(twice, decided)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Writes the pages' archives to the shared folder and reads them back; a response's length and digest
-    are taken from the payload that was read, a revisit's from its headers."""
+    """Writes the pages' archives to the shared folder and reads them back by record type, both pushed down to the reader: of a response
+    length and digest are taken from the payload that was read; a revisit's come from its headers, and responses' payloads are passed over."""
     path = shared_path(spark, "warc")
-    write_pages(table(spark, sf_dir, "pages"), path)
-    got = read_warc(spark, path)
-    full = F.col("record_type") == "response"
-    return got.select(
-        page_of(F.col("record_id")).alias("page_id"),
-        F.when(full, F.octet_length("payload").cast("long")).otherwise(F.col("http_length")).alias("payload_bytes"),
-        F.when(full, F.sha2("payload", 256)).otherwise(F.regexp_replace("payload_digest", "^sha256:", "")).alias("payload_digest"),
-        "record_type",
-        F.when(~full, page_of(F.col("refers_to"))).alias("refers_to"),
-    )
+    pages = table(spark, sf_dir, "pages")
+    write_pages(pages, path)
+    kind = pages.schema["page_id"].dataType
+    page = page_of(F.col("record_id")).cast(kind).alias("page_id")
+    full = read_warc(spark, path).filter("record_type = 'response'").select(
+        page, F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type", F.lit(None).cast(kind).alias("refers_to")
+    )
+    again = read_warc(spark, path, payload=False).filter("record_type = 'revisit'").select(
+        page, F.col("http_length").alias("payload_bytes"), F.regexp_replace("payload_digest", "^sha256:", "").alias("payload_digest"), "record_type", page_of(F.col("refers_to")).cast(kind).alias("refers_to")
+    )
+    return full.unionByName(again)
 
 
 OP5_SQL = """

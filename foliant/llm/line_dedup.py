@@ -10,12 +10,14 @@ to many sites.
    aggregation, so a line with a third of all rows costs one sketch per task.
 2. Estimates decide where they are far from the threshold. Between ``1 - BAND`` and ``1 + BAND`` times the threshold the
    line's exact number of distinct sites is counted, for those lines only.
-3. The boilerplate keys are joined to (document, line) pairs without texts; each document gets the
-   positions to drop, and its text is rebuilt in place.
+3. The boilerplate keys are joined to (document, line) pairs without texts. A boilerplate line stands in very many documents, so each
+   key is dealt out over ``SALTS`` tasks. Each document gets the positions to drop, and its text is put together from the others in
+   time proportional to its lines.
 
 Defined results: null text stays null and has no lines; a null site counts as no site; null ids
 order first and never hold the first occurrence if another document has an id; rows repeated with the same id and text
-are treated alike; an empty table gives no rows.
+are treated alike; an empty table gives no rows; columns of any names may be there and stay, but for ``n_lines`` and ``n_removed``,
+which give way to the result's.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ MIN_SITES = 8
 #: Sketches of 2**11 registers have a standard error of 2.3 %; the band is over four of them.
 LOG2_REGISTERS = 11
 BAND = 0.125
+SALTS = 16
 TRIM = "^[ \\x09-\\x0D]+|[ \\x09-\\x0D]+$"
 
 
@@ -63,27 +66,31 @@ def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
 
 def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
     """docs with its columns, text_col cleaned, and two more: n_lines and n_removed (non-blank lines)."""
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     keyed = docs.select(
         F.col(id_col).alias("id"), F.col(site_col).alias("site"), F.xxhash64(text_col).alias("th"), F.explode(line_keys(F.col(text_col))).alias("k")
     ).select("id", "site", "th", "k.pos", "k.a", "k.b")
     lines = staged(keyed, "lines")
-    flagged = staged(boilerplate(lines, min_sites), "boilerplate")
+    flagged = boilerplate(lines, min_sites).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = lines.select("id", "th", "pos", "a", "b", F.pmod(F.xxhash64("id", "th"), F.lit(SALTS)).cast("int").alias("salt"))
     # one row for each (document, line), whatever the number of repeats inside the document
-    held = lines.groupBy("a", "b", "id", "th").agg(F.collect_set("pos").alias("at"))
+    held = salted.join(flagged, ["a", "b", "salt"]).groupBy("a", "b", "id", "th").agg(F.collect_set("pos").alias("at"), F.first("first_id").alias("first_id"))
     at = F.array_sort("at")
     mine = F.col("id").eqNullSafe(F.col("first_id"))
-    hit = held.join(flagged, ["a", "b"]).select("id", "th", F.when(mine, F.slice(at, F.lit(2), F.greatest(F.size(at) - 1, F.lit(0)))).otherwise(at).alias("gone"))
-    gone = hit.filter(F.size("gone") > 0).groupBy("id", "th").agg(F.flatten(F.collect_list("gone")).alias("_gone"))
-    gone = gone.withColumnsRenamed({"id": "_id", "th": "_th"})
-    joined = docs.withColumn("_h", F.xxhash64(text_col)).join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left")
-    parts = F.split(text_col, "\n", -1)
-    stays = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    out = joined.withColumns({
-        "n_lines": F.coalesce(F.size(F.filter(lines_of(F.col(text_col)), lambda x: x != "")), F.lit(0)).cast("long"),
-        "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
-        text_col: F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(stays),
-    })
-    return out.drop("_h", "_id", "_th", "_gone")
+    hit = held.select("id", "th", F.when(mine, F.slice(at, F.lit(2), F.greatest(F.size(at) - 1, F.lit(0)))).otherwise(at).alias("gone"))
+    gone = hit.filter(F.size("gone") > 0).groupBy("id", "th").agg(F.flatten(F.collect_list("gone")).alias("gone"))
+    # the caller's columns travel as one struct, so no name can clash; lines are cut before the join and so only once
+    cut = docs.select(
+        F.struct(*[F.col(c) for c in names]).alias("row"), F.col(id_col).alias("key_id"), F.xxhash64(text_col).alias("key_th"),
+        F.split(text_col, "\n", -1).alias("parts"), F.coalesce(F.size(F.filter(lines_of(F.col(text_col)), lambda x: x != "")), F.lit(0)).cast("long").alias("n_lines"),
+    )
+    joined = cut.join(gone, F.col("key_id").eqNullSafe(F.col("id")) & (F.col("key_th") == F.col("th")), "left")
+    stays = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "gone")
+    cleaned = F.array_join(F.transform(stays, lambda i: F.get("parts", i)), "\n")
+    text = F.when(F.col("gone").isNull(), F.col("row")[text_col]).otherwise(cleaned)
+    return joined.select(
+        *[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names], "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed")
+    )
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,11 +40,13 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows repeated under one id are one document; rows without an id stay."""
-    found = minhash.near_duplicates(docs)
-    kept = found.filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    one = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.select(*COLUMNS).filter("doc_id IS NULL"))
+    """Rows are numbered, so rows of one id with different texts, and rows without an id, take part on their own. Of each group the row
+    with the smallest id stays (null last), then the first by number."""
+    numbered = staged(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "near-rows")
+    groups = minhash.near_duplicates(numbered.select("_row", "text"), id_col="_row").select("_row", "component_id")
+    named = numbered.select("_row", "doc_id").join(groups, "_row")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row"))
+    return numbered.join(first.select("_row"), "_row", "left_semi").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,10 @@
 With 40 bands of 5, a pair at 0.8 misses every bucket with probability 1e-7.
 
 Components are found by alternating large-star and small-star; each round is written to the shared folder, and only
-a row count and a checksum reach the driver.
+a row count and a checksum reach the driver. Later links are put on the components so far.
+
+A bucket, a head or a component may hold a third of all nodes. Joins on such keys deal a key's rows out over ``SALTS`` tasks, and the pairs of a
+crowded bucket are dealt out by blocks of ``BLOCK`` nodes.
 
 Defined results: null texts and texts without words have an empty set and stay alone; rows with a null id get
 their set size, a null component, and stay; rows repeated under one id are one node (with different texts, its links are
@@ -38,6 +41,7 @@ BANDS, ROWS = 40, 5
 SLACK = 0.15
 #: Mixed buckets with more members are crowded: their nodes are first compared with the most central one.
 CROWD = 16
+SALTS, BLOCK = 32, 256
 MOST_WORDS = 200_000
 _rng = np.random.default_rng(20240501)
 FACTORS = _rng.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
@@ -98,6 +102,13 @@ def buckets_of(sig: np.ndarray) -> np.ndarray:
     return mixed(total).view(np.int64)
 
 
+def salted_join(many: DataFrame, one: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """many joined to ``one`` (one row for each key), with the rows of a key dealt out by ``by`` over ``SALTS`` tasks."""
+    many = many.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    wanted = many.select(key, "_salt").distinct()
+    return many.join(wanted.join(one, key), [key, "_salt"], how).drop("_salt")
+
+
 def sign(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """id, n_shingles, set_key (128 bits), sig (16 bits of each minimum), keys (one for each band)."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -151,7 +162,8 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(v, pa.int64()) for v in (na, nb, common)]], ["a", "b", "na", "nb", "common"])
 
     kind = pairs.schema["a"].dataType.simpleString()
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    repeated = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
+    both = salted_join(pairs, repeated, "a", "b").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     return map_arrow(both.select("a", "b", "x", "y"), run, f"a {kind}, b {kind}, na long, nb long, common long")
 
 
@@ -171,10 +183,10 @@ def components(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = salted_join(both, low, "u", "v").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = staged(large, "large-star")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(low, "u").filter("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+        moved = salted_join(large, low, "u", "v").filter("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         small = moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         after = staged(small, "small-star")
         discard(now, large)
@@ -185,6 +197,20 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(heads).distinct()
 
 
+def extended(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels(node, component) after more links(a, b): components of components."""
+    of = labels.select(F.col("node").alias("a"), F.col("component").alias("la"))
+    named = links.join(of, "a", "left").join(of.withColumnsRenamed({"a": "b", "la": "lb"}), "b", "left")
+    named = staged(named.select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")), "named-links")
+    moved = staged(components(named.select(F.col("la").alias("a"), F.col("lb").alias("b"))), "moved")
+    fresh = named.select(F.col("a").alias("node")).union(named.select("b")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("component"))
+    to = moved.select(F.col("node").alias("component"), F.col("component").alias("now"))
+    out = salted_join(labels.unionByName(fresh), to, "component", "node", "left").select("node", F.coalesce("now", "component").alias("component"))
+    out = staged(out, "labels")
+    discard(named, moved)
+    return out
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """id_col, n_shingles, component_id and kept for every row of docs."""
     signed = staged(sign(docs, id_col, text_col, width), "signed")
@@ -199,7 +225,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sigs = nodes.select("node", "sig").join(shared.select("node").distinct(), "node", "left_semi")
     sigs = staged(sigs, "signatures")
     sig_a, sig_b = (sigs.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
-    first = staged(likely(stars.join(sig_a, "a").join(sig_b, "b"), percent / 100), "likely")
+    first = staged(likely(salted_join(stars, sig_a, "a", "b").join(sig_b, "b"), percent / 100), "likely")
 
     wanted = shared.select(F.col("node").alias("_node")).distinct()
     texts = docs.join(wanted, F.col(id_col) == F.col("_node"), "left_semi").select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -217,19 +243,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     centred = staged(centres(mixed_buckets, stats), "centres")
     pairs = centred.select(F.col("centre").alias("a"), F.col("node").alias("b")).filter("a <> b").distinct()
     to_centre = staged(overlaps(pairs, sets), "to-centre")
-    central = reaching(to_centre, percent)
-    links = links.unionByName(central)
-    labels = staged(components(links), "labels")
+    before, labels = labels, extended(labels, staged(reaching(to_centre, percent), "links-central"))
+    discard(before)
     again = staged(members_of_mixed(mixed_buckets, labels), "mixed-buckets")
     across = crossing_pairs(again, stats, centred, to_centre, percent).join(first, ["a", "b"], "left_anti")
-    second = staged(likely(across.join(sig_a, "a").join(sig_b, "b"), percent / 100), "likely-across")
+    second = staged(likely(salted_join(across, sig_a, "a", "b").join(sig_b, "b"), percent / 100), "likely-across")
     more = staged(reaching(overlaps(second, sets), percent), "links-across")
     if not more.isEmpty():
-        labels = staged(components(links.unionByName(more)), "labels")
-    discard(shared, first, second, every_set, repeated_sets, sigs, mixed_buckets, again, stats, centred, to_centre)
+        labels = extended(labels, more)
+    discard(shared, first, second, every_set, repeated_sets, sigs, mixed_buckets, again, stats, centred, to_centre, links, more)
 
     of_set = nodes.select("set_key", "node").join(labels, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
-    joined = signed.select("id", "n_shingles", "set_key").join(of_set, "set_key", "left")
+    joined = salted_join(signed.select("id", "n_shingles", "set_key").withColumn("_n", F.monotonically_increasing_id()), of_set, "set_key", "_n", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return joined.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.col(id_col).isNull() | (F.col(id_col) == F.col("component_id"))
@@ -241,7 +266,7 @@ def members_of_mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
     label = F.coalesce("component", "node").alias("label")
     named = members.select("key", "node").join(labels, "node", "left").select("key", "node", label)
     per = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi")
-    return named.join(per.select("key", "size"), "key")
+    return salted_join(named, per.select("key", "size"), "key", "node")
 
 
 def crowd_stats(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -263,7 +288,7 @@ def crowd_stats(members: DataFrame, sets: DataFrame) -> DataFrame:
 
     pieces = map_arrow(sets.join(crowd, "id", "left_semi"), run, f"id {kind}, s long")
     held = pieces.groupBy("s").agg(F.count(F.lit(1)).alias("d"))
-    joined = pieces.join(held, "s").groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("d") > 1).alias("shared"), F.avg("d").alias("centrality"))
+    joined = salted_join(pieces, held, "s", "id").groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("d") > 1).alias("shared"), F.avg("d").alias("centrality"))
     return joined.withColumnRenamed("id", "node")
 
 
@@ -271,7 +296,7 @@ def centres(members: DataFrame, stats: DataFrame) -> DataFrame:
     """key, node, centre: for the members of crowded buckets the bucket's most central node."""
     crowd = members.filter(F.col("size") > CROWD).join(stats.select("node", "centrality"), "node")
     best = crowd.groupBy("key").agg(F.max(F.struct("centrality", "node"))["node"].alias("centre"))
-    return crowd.join(best, "key").select("key", "node", "centre")
+    return salted_join(crowd, best, "key", "node").select("key", "node", "centre")
 
 
 def crossing_pairs(members: DataFrame, stats: DataFrame, centred: DataFrame, to_centre: DataFrame, percent: int) -> DataFrame:
@@ -292,12 +317,18 @@ def crossing_pairs(members: DataFrame, stats: DataFrame, centred: DataFrame, to_
     free = small | F.coalesce("several", F.lit(False))
     bound = bound.join(members.groupBy("node").agg(F.collect_set("key").alias("ks")), "node")
     worth = bound.filter(free | (100 * F.col("shared") >= percent * F.col("n")))
-    left = worth.select("key", "size", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("o").alias("oa"), F.col("ks").alias("ka"), free.alias("fa"))
-    right = worth.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("o").alias("ob"), F.col("ks").alias("kb"), free.alias("fb"))
+    # a row meets each block of its bucket once: as the left side those from its own on, as the right side those up to its own
+    worth = worth.withColumn("n_blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
+    onwards = F.explode(F.sequence(F.col("block"), F.col("n_blocks") - 1)).alias("j")
+    upto = F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i")
+    left = worth.select("key", F.col("block").alias("i"), onwards, F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("o").alias("oa"), F.col("ks").alias("ka"), free.alias("fa"))
+    right = worth.select("key", upto, F.col("block").alias("j"), F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("o").alias("ob"), F.col("ks").alias("kb"), free.alias("fb"))
     can = F.col("fa") | F.col("fb") | ((100 + percent) * (F.least("ia", "ib") + F.least("oa", "ob")) >= percent * (F.col("na") + F.col("nb")))
     once = F.array_min(F.array_intersect("ka", "kb")) == left["key"]
-    apart = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & can & once)
-    return apart.select("a", "b").distinct()
+    same = (left["key"] == right["key"]) & (left["i"] == right["i"]) & (left["j"] == right["j"])
+    ordered = (left["i"] != left["j"]) | (F.col("a") < F.col("b"))
+    apart = left.join(right, same & ordered & (F.col("a") != F.col("b")) & (F.col("la") != F.col("lb")) & can & once)
+    return apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def shingle_sets(texts: DataFrame, width: int) -> DataFrame:

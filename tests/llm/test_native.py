@@ -46,14 +46,31 @@ def test_exact_dedup_odd(odd):
     assert (6, 6, 1, True) in got and (7, 7, 1, True) in got  # only A-Z is lowered
 
 
-def test_directory_splits(spark):
-    entries = spark.range(5000).select(F.xxhash64("id").alias("key"))
-    buckets = exact_dedup.plan_directory(entries, capacity=80)
-    assert buckets[0][0] == 0 and buckets[-1][1] == (1 << exact_dedup.MAX_DEPTH) - 1
-    assert all(b[0] == a[1] + 1 for a, b in zip(buckets, buckets[1:]))
-    sized = exact_dedup.bucket_of(F.col("key"), buckets, spark, entries).groupBy("bucket").count().collect()
-    assert max(r["count"] for r in sized) <= 80 and sum(r["count"] for r in sized) == 5000
-    assert len({b[1] - b[0] for b in buckets}) > 1  # not all at one depth
+def test_index_grows_by_batches(spark):
+    """Buckets of files split when a later batch overfills them; others keep their files; lookups see all batches."""
+    rows = [(i, f"text {i % 700}", "en", "s", 0) for i in range(1500)]
+    first, second, third = (spark.createDataFrame(x, DOCS) for x in (rows[:300], rows[300:1400], [(5000, "TEXT 3", "en", "s", 0)]))
+    one = exact_dedup.insert(exact_dedup.Index(spark, capacity=60), first)
+    two = exact_dedup.insert(one, second)
+    assert one.depth >= 3 and len(two.buckets) > len(one.buckets) and two.depth > one.depth
+    three = exact_dedup.insert(two, third)
+    kept = {b.folder for b in two.buckets} & {b.folder for b in three.buckets}
+    assert len(kept) == len(two.buckets) - 1  # one bucket was touched
+    for index in (one, two, three):
+        assert sum(2.0**-b.depth for b in index.buckets) == 1  # the prefixes cover all keys once
+        sizes = [index.entries([b]).count() for b in index.buckets]
+        assert max(sizes) <= 60 and sum(sizes) == index.entries().count()
+        for b in index.buckets:
+            assert {r[0] for r in index.entries([b]).select(exact_dedup.slot_of(F.col("key"), b.depth)).distinct().collect()} <= {b.prefix}
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.lookup(three, spark.createDataFrame(rows, DOCS)).collect()}
+    assert len(got) == 1500 and got[3] == (5000, 3, False) and got[1390] == (1390, 2, True) and got[10] == (710, 2, False)
+    assert exact_dedup.lookup(three, spark.createDataFrame([(1, "not there", None, None, None)], DOCS)).collect()[0].group_size == 0
+
+
+def test_exact_dedup_hot_text(spark):
+    rows = [(i, "Hot" if i % 3 else f"own {i}", "en", "s", 0) for i in range(3000)]
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[1] == (2999, 2000, False) and got[2999] == (2999, 2000, True) and got[0] == (0, 1, True)
 
 
 def reference_jump(key, n):
@@ -103,6 +120,85 @@ def test_mixing_closeness_and_odd(spark, odd):
     assert len(got) == 10 and all(r.taken <= 3 * r.size for r in got) and {r.size for r in got if r.doc_id in (3, 4)} == {0}
 
 
+def test_mixing_inclusion_frequencies(spark):
+    """One source of many equal documents for each size: of every class the share that the level and its weight ask for is taken."""
+    docs = spark.range(30_000).select(
+        F.col("id").alias("doc_id"), F.repeat(F.lit("w "), F.when(F.col("id") % 3 == 0, 2).when(F.col("id") % 3 == 1, 20).otherwise(200).cast("int")).alias("text"),
+        F.when(F.col("id") < 15_000, "a").otherwise("b").alias("source"), F.lit(9).alias("p"), F.lit(8).alias("copies"), F.lit(7).alias("words"),
+    )
+    rows = mixing.mix(docs, keep=("source", "words", "p")).collect()
+    assert {r.words for r in rows} == {7} and len(rows) == 30_000
+    for source in "ab":
+        mine = [r for r in rows if r.source == source]
+        whole = min(r.copies for r in mine)
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 100
+        for size in (2, 20, 200):
+            group = [r for r in mine if r.size == size]
+            p = group[0].p
+            share = sum(r.copies - whole for r in group) / len(group)
+            assert {r.p for r in group} == {p} and abs(share - p) < 4 * (p * (1 - p) / len(group)) ** 0.5 + 0.005
+        weights = {r.size: r.p for r in mine if r.p > 0}
+        assert len(weights) == 3 and abs(weights[20] / weights[2] - 5 / 2) < 1e-9 and abs(weights[200] / weights[2] - 8 / 2) < 1e-9
+    again = {(r.doc_id, r.copies) for r in mixing.mix(docs, seed="other").collect()}
+    assert again != {(r.doc_id, r.copies) for r in rows}
+
+
+def brute_pareto(rows, limit=3):
+    """rows: (id, text, source) to copies, by sorting every source whole."""
+    import hashlib
+    import re
+
+    size = {r: len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for r in rows}
+    names = sorted({r[2] for r in rows}, key=lambda s: (s is None, s or ""))
+    words = {s: sum(n for r, n in size.items() if r[2] == s) for s in names}
+    weight = {s: i % 3 + 1 for i, s in enumerate(names)}
+    stopped: set = set()
+    while True:
+        level = (sum(words.values()) - sum(limit * words[s] for s in stopped)) / max(1, sum(weight[s] for s in names if s not in stopped))
+        more = {s for s in names if s not in stopped and limit * words[s] <= level * weight[s]}
+        if not more:
+            break
+        stopped |= more
+    out = {}
+    for s in names:
+        mine = [r for r in rows if r[2] == s]
+        target = limit * words[s] if s in stopped else level * weight[s]
+        whole = min(limit, int(target / words[s])) if words[s] else 0
+        left, sure = target - whole * words[s], set()
+        digits = {r: size[r].bit_length() for r in mine}
+        while True:
+            share = sum(size[r] * digits[r] for r in mine if r not in sure)
+            lam = (left - sum(size[r] for r in sure)) / share if share else 0.0
+            top = max((digits[r] for r in mine if r not in sure), default=0)
+            if not top or lam * top < 1:
+                break
+            sure |= {r for r in mine if digits[r] == top}
+        left -= sum(size[r] for r in sure)
+
+        def rank(r):
+            md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+            u = (int(md5(f"mix|{r[0]}|{md5(r[1] or '')}")[:13], 16) + 0.5) / (1 << 52)
+            return u / (1 - u) / (lam * digits[r] / (1 - lam * digits[r]))
+
+        run, extra = 0, set()
+        for r in sorted((r for r in mine if r not in sure and lam * digits[r] > 0), key=rank):
+            if run + size[r] / 2 > left:
+                break
+            extra.add(r)
+            run += size[r]
+        out |= {r[0]: whole + (r in sure) + (r in extra) for r in mine}
+    return out
+
+
+def test_mixing_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = [(i, "w " * int(rng.expovariate(0.02)) if i % 11 else None, rng.choice(["a", "a", "a", "b", "c", "d", None])) for i in range(900)] + [(2000, "w " * 5000, "e"), (2001, "w", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r.doc_id: r.copies for r in mixing.mix(docs).collect()} == brute_pareto(rows)
+
+
 def test_line_dedup_first_stays(spark):
     rows = [(i, f"shared line\nown {i}\nshared line", None, f"s{i % 9}", 0) for i in range(30)] + [(50, None, None, "s1", 0), (51, "", None, None, 0), (None, "shared line", None, "s2", 0)]
     docs = spark.createDataFrame(rows, DOCS)
@@ -113,6 +209,23 @@ def test_line_dedup_first_stays(spark):
     assert kept == 0
 
 
+def test_line_dedup_odd(spark, odd):
+    clash = odd.withColumns({c: F.lit(7) for c in ("n_lines", "n_removed", "_id", "_th", "_h", "_gone", "gone", "th", "parts", "row", "a", "b", "salt", "first_id", "at")})
+    for sites in (1, 2, 8):
+        got = line_dedup.drop_boilerplate(clash, min_sites=sites)
+        assert sorted(got.columns) == sorted({*clash.columns}) and len(got.collect()) == 10
+        assert {r.gone for r in got.collect()} == {7} and {r.text for r in got.collect() if r.doc_id == 3} == {None}
+    got = {(r.doc_id, r.text, r.n_lines, r.n_removed) for r in line_dedup.drop_boilerplate(clash, min_sites=2).collect()}
+    assert (1, "Hello\nWorld", 2, 0) in got and (8, "new line\n", 3, 2) in got  # "Hello" on sites a and b; ids order before texts
+
+
+def test_line_dedup_many_lines(spark):
+    lines = "\n".join(f"line {i}" for i in range(20_000))
+    docs = spark.createDataFrame([(i, lines + f"\nown {i}", "en", f"s{i}", 0) for i in range(10)], DOCS)
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.drop_boilerplate(docs).collect()}
+    assert got[0] == (lines + "\nown 0", 0) and all(got[i] == (f"own {i}", 20_000) for i in range(1, 10))
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], DOCS)
     for f in (exact_dedup.exact_dedup, sharding.shard, mixing.mix, line_dedup.drop_boilerplate):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -88,6 +90,25 @@ def test_byte_decoder_round_trip(both):
 def test_bpe_odd(odd):
     got = bpe.tokenize(odd, bpe.default_tokenizer()).collect()
     assert len(got) == 7 and all(r.ids == [] and r.decoded == "" for r in got if r.doc_id in (1, 2))
+    assert bpe.tokenize(odd.filter("false"), bpe.default_tokenizer()).count() == 0 and bpe.digests(odd.filter("false"), bpe.default_tokenizer()).count() == 0
+
+
+def test_bpe_digests_equal_library(spark, both, docs, odd):
+    """All result columns of the query, over the whole table and the odd rows, against the tokenizers library."""
+    import hashlib
+
+    _, lib = both
+    names = DOCS.replace(" long", "").replace(" string", "").split(", ")
+    table = docs.select(*names).unionByName(odd.select(*names)).unionByName(spark.createDataFrame([(77_001, "é" * 3_000_000 + " tail", None, None, None)], DOCS).filter("true"))
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = []
+    for r in table.filter("doc_id <> 77001 OR doc_id IS NULL").collect():
+        ids = lib.encode(r.text or "", add_special_tokens=False).ids
+        want.append((r.doc_id, len(ids), sha(" ".join(map(str, ids))), sha(lib.decode(ids, skip_special_tokens=False))))
+    got = bpe.digests(table, bpe.default_tokenizer()).collect()
+    key = lambda r: tuple(map(str, r))
+    assert sorted((tuple(r) for r in got if r.doc_id != 77_001), key=key) == sorted(want, key=key)
+    assert [r.n_tokens > 1 for r in got if r.doc_id == 77_001] == [True]
 
 
 # -- quality --------------------------------------------------------------------------------------
@@ -108,12 +129,77 @@ def test_js_distance():
     assert quality.js_distance(np.array([1.0, 0]), np.array([0.0, 1])) == 1 and quality.js_distance(np.array([0.5, 0.5]), np.array([0.5, 0.5])) == 0
 
 
-def test_quality_counts_and_verdict(spark, docs, sf, odd):
+def brute_quality(rows):
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance, kept) of (text, lang) rows."""
+    import re
+    import unicodedata
+
+    gap = "[\\x20\\x09-\\x0D]+"
+    of = {"Ll": "lower", "Lu": "upper", "Lt": "upper", "Nd": "digit", "Zs": "space", "Zl": "space", "Zp": "space"}
+    main = {"L": "other_letter", "M": "other_letter", "N": "digit", "P": "punctuation", "S": "symbol", "C": "control"}
+
+    def kind(c):
+        if c in "#*$%&|<>":
+            return "symbol"
+        if c in "\t\n\x0b\x0c\r":
+            return "space"
+        return of.get(unicodedata.category(c)) or main[unicodedata.category(c)[0]]
+
+    def js(p, q):
+        m = {k: (p.get(k, 0) + q.get(k, 0)) / 2 for k in {*p, *q}}
+        kl = lambda x: sum(v * math.log2(v / m[k]) for k, v in x.items() if v > 0)
+        return math.sqrt(max(0.0, (kl(p) + kl(q)) / 2))
+
+    share = lambda c: {k: v / max(1, sum(c.values())) for k, v in c.items()}
+    lettered = lambda w: any(ord(c) > 127 or c.isalpha() for c in w)
+    facts = []
+    for text, lang in rows:
+        words = [w for w in re.split(gap, text or "") if w]
+        lines = [x for x in (text or "").split("\n") if re.sub(gap, "", x)]
+        repeats = brute_repeats(words)
+        failed = len(words) < 10 or 100 * repeats > 20 * len(words)
+        facts.append((words, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), repeats, failed, Counter(map(kind, text or ""))))
+    langs = {lang for _, lang in rows if lang}
+    teach = {x: [i for i, (t, lang) in enumerate(rows) if lang == x and t is not None and not facts[i][5]] for x in langs}
+    langs = {x for x in langs if len({t for t, lang in rows if lang == x and t is not None}) >= 20 and sum(len(facts[i][0]) for i in teach[x]) >= 2000}
+    classes = {x: sum((facts[i][6] for i in teach[x]), Counter()) for x in langs}
+    counts = {x: sum((Counter(facts[i][0]) for i in teach[x]), Counter()) for x in langs}
+    common = {x: [w for w, _ in sorted(((w, n) for w, n in counts[x].items() if lettered(w)), key=lambda v: (-v[1], v[0].encode()))[:40]] for x in langs}
+
+    def bins(c, x):
+        out = Counter({w: c[w] for w in common[x]})
+        out["bare"] = sum(n for w, n in c.items() if not lettered(w))
+        out["rest"] = sum(c.values()) - sum(out.values())
+        return out
+
+    for i, (words, chars, symbols, dup, repeats, failed, own) in enumerate(facts):
+        mine = Counter(words)
+        minus = lambda c, x, part: Counter({k: v - (part[k] if i in teach[x] else 0) for k, v in c.items()})
+        by_class = min((js(share(own), share(minus(classes[x], x, own))) for x in langs), default=0.0)
+        by_word = min((js(share(bins(mine, x)), share(minus(bins(counts[x], x), x, bins(mine, x)))) for x in langs), default=0.0)
+        fits = (chars < 200 or by_class <= 0.28) and (len(words) < 40 or by_word <= 0.42)
+        yield len(words), chars, symbols, dup, repeats, failed, by_class, by_word, fits and not failed
+
+
+def test_quality_equals_brute_force(spark, docs, odd):
+    rng = random.Random(3)
+    junk = " ".join("".join(rng.choice("@{}~^01") for _ in range(7)) for _ in range(400))
+    extra = [(9001, junk, "xx", None, 0), (9002, junk, None, None, 0), (9003, "a|b <c>\x1f d\u00a0e\n\n a\n a\n", "en", None, 0), (9004, "\u2028 \x85 word " * 30, "fr", None, 0)]
+    table = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame(extra, DOCS)).unionByName(odd.select("doc_id", "text", "lang", "source", "n_chars"))
+    rows = table.withColumn("classes", F.lit(1)).collect()
+    got = sorted(quality.judge(table.withColumn("words", F.lit(1))).collect(), key=lambda r: (str(r.doc_id), r.n_words))
+    order = sorted(range(len(rows)), key=lambda i: (str(rows[i].doc_id), len([w for w in (rows[i].text or "").encode().split()])))
+    want = list(brute_quality([(r.text, r.lang) for r in rows]))
+    for g, i in zip(got, order):
+        w = want[i]
+        assert (g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words, g.base_failed, g.kept) == (*w[:6], w[8]), g.doc_id
+        assert math.isclose(g.class_distance, w[6], abs_tol=1e-6) and math.isclose(g.word_distance, w[7], abs_tol=1e-6), g.doc_id
+    said = {g.doc_id: g.kept for g in got}
+    assert said[9001] is said[9002] is False  # a junk text is no reference for itself or for its copy
+
+
+def test_quality_verdict(spark, docs, sf, odd):
     got = {r.doc_id: r for r in quality.judge(docs).collect()}
-    for r in docs.collect():
-        words, g = (r.text or "").encode().split(), got[r.doc_id]
-        assert (g.n_words, g.n_repeat_words) == (len(words), brute_repeats(words))
-        assert g.base_failed == (len(words) < 10 or 100 * g.n_repeat_words > 20 * len(words))
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     fresh = [(q, got[i].kept) for i, q in labels.items() if not got[i].base_failed]
     assert sum(k for q, k in fresh if q) >= 0.98 * sum(q for q, _ in fresh)
@@ -133,14 +219,65 @@ def test_grams():
     assert got == want
 
 
+def brute_language(teach, texts):
+    """(language, score) of texts by dictionaries; teach: (text, lang)."""
+    import unicodedata
+
+    def grams(text):
+        low = "".join(c.lower()[0] if unicodedata.category(c)[0] in "LM" else " " for c in unicodedata.normalize("NFC", text or ""))
+        if not any(unicodedata.category(c)[0] == "L" for c in unicodedata.normalize("NFC", text or "")):
+            return Counter()
+        out = Counter()
+        for w in low.split():
+            p = f" {w} "
+            out.update(w)
+            out.update(p[i : i + 2] for i in range(len(p) - 1))
+            out.update(p[i : i + 3] for i in range(len(p) - 2))
+        return out
+
+    code = lambda g: sum(ord(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+    ranked = lambda c: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], code(x[0])))[:400]]
+    totals: dict = {}
+    for text, lang in teach:
+        if text is not None and lang is not None:
+            totals.setdefault(lang, Counter()).update(grams(text))
+    profiles = {lang: {g: k for k, g in enumerate(ranked(c))} for lang, c in sorted(totals.items()) if c}
+    for text in texts:
+        mine = ranked(grams(text))
+        if not mine or not profiles:
+            yield "und", 0.0
+            continue
+        costs = {lang: sum(abs(p[g] - k) if g in p else 400 for k, g in enumerate(mine)) for lang, p in profiles.items()}
+        best = min(costs, key=lambda x: (costs[x], x))
+        yield best, 1 - costs[best] / (400 * len(mine))
+
+
+def test_language_equals_brute_force(spark, docs, odd):
+    names = DOCS.replace(" long", "").replace(" string", "").split(", ")
+    table = docs.select(*names).unionByName(odd.select(*names))
+    rows = table.collect()
+    held = lambda i: zlib.crc32(str(i if i is not None else "").encode()) % 4 == 2
+    want = dict(zip([r.text for r in rows], brute_language([(r.text, r.lang) for r in rows if not held(r.doc_id)], [r.text for r in rows])))
+    text_of = {(r.doc_id, r.text): r.text for r in rows}
+    profiles = language_id.learn(table, ~language_id.held_out())
+    got = language_id.identify(table, profiles).collect()
+    assert len(got) == len(rows)
+    for g in got:
+        lang, score = want[text_of[g.doc_id, g.text]]
+        assert g.lang_pred == lang and math.isclose(g.score, score, abs_tol=1e-12), g.doc_id
+
+
 def test_language_held_out(spark, docs, odd):
     profiles = language_id.learn(docs, ~language_id.held_out())
     out = language_id.identify(docs, profiles)
     held = out.filter(language_id.held_out()).select((F.col("lang") == F.col("lang_pred")).alias("ok"), "score").collect()
     assert sum(r.ok for r in held) >= 0.97 * len(held) and all(0 <= r.score <= 1 for r in held)
-    said = {r.doc_id: r.lang_pred for r in language_id.identify(odd, profiles).collect()}
+    clash = odd.withColumns({"lang_pred": F.lit("zz"), "code": F.lit(1), "r": F.lit(2)})
+    said = {r.doc_id: r.lang_pred for r in language_id.identify(clash, profiles).collect()}
     assert said[1] == said[2] == said[5] == "und" and said[4] != "und"
     assert {r.lang_pred for r in language_id.identify(odd, {}).collect()} == {"und"}
+    empty = odd.filter("false")
+    assert language_id.learn(empty, F.lit(True)) == {} and language_id.identify(empty, profiles).count() == 0
 
 
 # -- WARC -----------------------------------------------------------------------------------------------
@@ -179,6 +316,48 @@ def test_warc_foreign_members(tmp_path):
         list(warc.records(f"file://{tmp_path}/bad.warc", lambda r: True, True))
 
 
+def test_warc_passes_over_a_large_foreign_payload(tmp_path):
+    import gzip
+    import time
+    import tracemalloc
+
+    rng = random.Random(1)
+    body = rng.randbytes(1 << 20) * 60
+    rec = lambda i, b: warc.record("response", f"<urn:page:{i}>", "http://x", "0", b, len(b), None, "2024-01-01T00:00:00Z")
+    (tmp_path / "big.warc.gz").write_bytes(gzip.compress(rec(1, body), 1) + gzip.compress(rec(2, b"small")))
+    path = f"file://{tmp_path}/big.warc.gz"
+    start = time.perf_counter()
+    assert [len(r["payload"]) for r in warc.records(path, lambda r: True, True)] == [len(body), 5]
+    read = time.perf_counter() - start
+    tracemalloc.start()
+    start = time.perf_counter()
+    assert [r["record_id"] for r in warc.records(path, lambda r: r["record_id"].endswith(":2>"), True)] == ["<urn:page:2>"]
+    skipped = time.perf_counter() - start
+    assert tracemalloc.get_traced_memory()[1] < 8 << 20
+    tracemalloc.stop()
+    assert skipped < 3 * read + 1
+
+
+def test_warc_copies_and_ids(spark, tmp_path):
+    long = "y" * 150
+    rows = [(f"a/{i}", None, long if i % 3 else long + str(i)) for i in range(60)] + [(None, None, long), ("a b>", "http://u", "z" * 100), (None, None, "z" * 100), ("a/1", None, long)]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string").withColumns({"payload_digest": F.lit(1), "id": F.lit(2), "first_id": F.lit(3), "word": F.lit(4)})
+    path = f"file://{tmp_path}/w"
+    warc.write_pages(pages, path)
+    got = warc.read_warc(spark, path).withColumns({"page": warc.page_of(F.col("record_id")), "first": warc.page_of(F.col("refers_to"))}).collect()
+    assert sorted(str(r.page) for r in got) == sorted(str(r[0]) for r in rows)
+    for r in got:
+        body = next(h for i, _, h in rows if i == r.page and len(h) == r.http_length)
+        if len(body) == 100:
+            want = (None, "response") if r.page else ("a b>", "revisit")
+        else:
+            want = ("a/1", "revisit") if body == long and r.page != "a/1" else (None, "response")
+        assert (r.first, r.record_type) == want
+        assert bytes(r.payload).decode() == (body if r.record_type == "response" else "")
+    warc.write_pages(pages.filter("false"), f"file://{tmp_path}/none")
+    assert warc.read_warc(spark, f"file://{tmp_path}/none").count() == 0
+
+
 # -- MinHash ------------------------------------------------------------------------------------------------
 
 

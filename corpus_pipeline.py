@@ -10,6 +10,9 @@
 
 Stages but the last return the columns of ``documents``. Between stages a Parquet table in the
 shared folder cuts the lineage.
+
+Defined results of the stages: a null text goes with the first; columns of other names are left behind; repeated rows are one document
+for near-dedup and several for the others; rows without an id are documents like others; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -50,7 +53,8 @@ def dedup_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    taken = mixing.mix(docs.withColumnRenamed("doc_id", "_doc"), id_col="_doc", keep=COLUMNS[1:]).filter("copies > 0")
+    named = docs.select(F.col("doc_id").alias("_doc"), *COLUMNS[1:])
+    taken = mixing.mix(named, id_col="_doc", keep=COLUMNS[1:]).filter("copies > 0")
     times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
     return taken.withColumnRenamed("_doc", "doc_id").withColumn("_copy", times).select(*COLUMNS)
 

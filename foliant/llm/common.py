@@ -100,8 +100,11 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df, dealt out anew where it has fewer partitions than Spark has cores (one small file); larger inputs stay as they are."""
+    """df, dealt out anew where it is read from fewer partitions than Spark has cores (one small file). Larger inputs, and
+    what comes out of a shuffle, stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 

@@ -10,7 +10,7 @@ word's share of its subtree's count is its probability. Predictors of a decision
 previous words; and the text's own earlier decisions at this node, which are counted online, decision by decision. A word that comes again
 costs its share of the text's earlier rare words.
 
-*Letters.* A new rare word is spelled in bytes, by a Huffman code of the bytes of the distinct training words: contexts are the last 1, 2, 3
+*Letters.* A new rare word is spelled in bytes, by a Huffman code of the bytes of the distinct training words: contexts are the last 2, 3
 and 5 bytes and all bytes since the word's start. What it costs depends on the word alone, so it is computed once for each distinct
 word of the corpus and joined to the texts.
 
@@ -41,6 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,14 +50,14 @@ from foliant.llm.common import crc_of_id, discard, map_arrow, spread, staged, ta
 FREQUENT = 1 << 16
 HEAD = 7
 NEW, AGAIN = 0, 1
-LETTERS = 5
+LETTERS = 4
 LEAST_BITS = 18
 #: Slots for each distinct training word: spelling contexts, then the previous word and the two endings.
-SLOTS_A_WORD = (0, 0.25, 1, 2, 4)
+SLOTS_A_WORD = (0.25, 1, 2, 4)
 WORD_SLOTS_A_WORD = (1, 1)
 BLOCK_BITS = 16
 FLUSH = 200_000
-KEYS = 1 << 22
+KEYS = 1 << 23
 SLICE, TEXTS = 1 << 17, 256
 FIRST_BLOCK = 32
 OWN_STEP = 0.5
@@ -144,13 +145,15 @@ class Code:
 
 
 class Table:
-    """Counts by slot: two quantised counts as 16 bits, and the check of the context that holds the slot."""
+    """Counts by slot: two quantised counts as 16 bits, and above them the check of the context that holds the slot."""
 
     def __init__(self, slots: int):
-        self.pair, self.check = np.zeros(slots, np.uint16), np.zeros(slots, np.uint8)
+        self.held = np.zeros(slots, np.uint32)
 
     def get(self, slot: np.ndarray, check: np.ndarray) -> np.ndarray:
-        return np.where(self.check.take(slot) == check, self.pair.take(slot), np.uint16(0))
+        """Both counts as 16 bits; 0 where another context holds the slot."""
+        got = self.held.take(slot)
+        return np.where(got >> 16 == check, got & 0xFFFF, np.uint32(0))
 
 
 def runs(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -176,12 +179,12 @@ def block_rows(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Sorted keys and their counts as rows (block, data)."""
     shift = np.uint64(BLOCK_BITS + 9)
     edges = np.flatnonzero(np.diff(keys >> shift)) + 1
-    block, data = [], []
+    block, data, pack = [], [], zstandard.ZstdCompressor(1).compress
     for k, m in zip(np.split(keys, edges), np.split(n, edges)):
         if len(k):
             block.append(int(k[0] >> shift))
             low = (k & ((np.uint64(1) << shift) - np.uint64(1))).astype(np.uint32)
-            data.append(zlib.compress(np.diff(low, prepend=np.uint32(0)).tobytes() + m.astype(np.uint32).tobytes(), 1))
+            data.append(pack(np.diff(low, prepend=np.uint32(0)).tobytes() + m.astype(np.uint32).tobytes()))
     for i in range(0, len(block), 64):
         yield batch_of([block[i : i + 64], data[i : i + 64]], [pa.int32(), pa.binary()], ["block", "data"])
 
@@ -196,9 +199,10 @@ def filled(parts: DataFrame, slots: int) -> Table:
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         size: Counter = Counter()
+        pack, unpack = zstandard.ZstdCompressor(1).compress, zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                both = np.frombuffer(zlib.decompress(raw), np.uint32).reshape(2, -1)
+                both = np.frombuffer(unpack(raw), np.uint32).reshape(2, -1)
                 held.setdefault(block, []).append((np.cumsum(both[0], dtype=np.uint32), both[1]))
                 size[block] += both.shape[1]
                 if size[block] > 1 << 20 and len(held[block]) > 8:
@@ -212,17 +216,15 @@ def filled(parts: DataFrame, slots: int) -> Table:
             slot, check = context >> 8, context & 255
             best = np.lexsort((check, total, slot))
             best = best[np.append(slot[best][1:] != slot[best][:-1], True)]
-            pair, checks = np.zeros(width, np.uint16), np.zeros(width, np.uint8)
-            pair[slot[best]] = quantised(total[best] - ones[best]).astype(np.uint16) | quantised(ones[best]).astype(np.uint16) << 8
-            checks[slot[best]] = check[best]
-            yield batch_of([[block], [zlib.compress(pair.tobytes() + checks.tobytes(), 1)]], [pa.int32(), pa.binary()], ["block", "data"])
+            cells = np.zeros(width, np.uint32)
+            cells[slot[best]] = check[best].astype(np.uint32) << 16 | quantised(ones[best]).astype(np.uint32) << 8 | quantised(total[best] - ones[best])
+            yield batch_of([[block], [pack(cells.tobytes())]], [pa.int32(), pa.binary()], ["block", "data"])
 
     merged = staged(map_arrow(parts.repartition("block"), merge, "block int, data binary"), "slots")
     out = Table(-(-slots // width) * width)
+    unpack = zstandard.ZstdDecompressor().decompress
     for r in merged.toLocalIterator():
-        raw, at = zlib.decompress(bytes(r["data"])), r["block"] * width
-        out.pair[at : at + width] = np.frombuffer(raw, np.uint16, width)
-        out.check[at : at + width] = np.frombuffer(raw, np.uint8, width, 2 * width)
+        out.held[r["block"] * width :][:width] = np.frombuffer(unpack(bytes(r["data"])), np.uint32)
     discard(merged)
     return out
 
@@ -337,7 +339,7 @@ class Speller:
             c[k:] = x[:-k] if k <= len(x) else 0
             c[pos < k] = 0
             so_far = so_far | c << np.uint64(8 * k - 8)
-            if k != 4:
+            if k not in (1, 4):
                 context.append(so_far)
         rep, node, bit, per = self.code.spell(x)
         mix = NODE_MIX[node]
@@ -352,7 +354,7 @@ class Speller:
         found, bit, per = self.decisions(words)
         less = (bit.astype(np.int32) + 1) << 16 if own else np.int32(0)
         got = [table.get(*f) + less for f in found]
-        a, b, c = (SEEN.take(g) for g in got[2:])
+        a, b, c = (SEEN.take(g) for g in got[1:])
         return np.array([LOGIT.take(g) for g in got]), a * np.intp(16) + b * np.intp(4) + c, bit, per
 
 
@@ -467,7 +469,7 @@ class Reader:
             st = np.empty((4, len(node)), np.float32)
             gate = seen(n0 + n1).astype(np.intp)
             less = (bit.astype(np.int32) + 1) << 16 if own else np.int32(0)
-            st[0] = LOGIT.take(self.table.pair.take(node) + less)
+            st[0] = LOGIT.take(self.table.held.take(node) + less)
             for k, f in enumerate(found):
                 got = self.table.get(*f) + less
                 st[k + 1] = LOGIT.take(got)
@@ -580,7 +582,7 @@ def least_frequent(counts: DataFrame, most: int) -> int:
 
 def tokenised(docs: DataFrame, often: dict[bytes, int], code: Code) -> DataFrame:
     """row, id, teaches, n_tokens, n_known and base (of frequent words), n_bytes, fixed (natural log probability of words within their leaves
-    and of what comes again), ids (symbols) and rare (its distinct rare words with their times) of docs(id, text, teaches), written once."""
+    and of what comes again), ids (symbols, as bytes of int32) and rare (its distinct rare words with their times) of docs(id, text, teaches), written once."""
     spark = docs.sparkSession
     number = {w: i for i, w in enumerate(often, 2)}
     log_counts = np.log10(np.fromiter(often.values(), float, len(often)) + 1)
@@ -618,21 +620,24 @@ def tokenised(docs: DataFrame, often: dict[bytes, int], code: Code) -> DataFrame
             fixed = np.bincount(mine[again], weights=np.log(rank[again] / so_far[again]), minlength=len(sizes)) + np.add.reduceat(share[ids], begin)
             known = ids > AGAIN
             words = pa.array(list(fresh), pa.binary()).take(pa.array(rid[order][first]))
-            ends = np.searchsorted(mine[order][first], np.arange(len(sizes) + 1))
-            rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([words, pa.array(times, pa.int64())], ["word", "n"]))
-            tokens = pa.ListArray.from_arrays(pa.array(np.append(begin, len(ids)), pa.int32()), pa.array(ids))
+            at = np.searchsorted(mine[order][first], np.arange(len(sizes) + 1))
+            rare = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays([words, pa.array(times, pa.int64())], ["word", "n"]))
+            raw, ends = ids.tobytes(), (np.append(begin, len(ids)) * 4).tolist()
+            tokens = pa.array([raw[a:b] for a, b in zip(ends, ends[1:])], pa.binary())
             sums = lambda x: np.add.reduceat(x, begin)
             cols = (sizes, sums(known.astype(np.int64)), sums(logs[ids]), sums(lengths) + sizes, fixed)
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64())
             got = [pa.array(c, k) for c, k in zip(cols, kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *got, tokens, rare], ["id", "teaches", "n_tokens", "n_known", "base", "n_bytes", "fixed", "ids", "rare"])
 
-    schema = f"id {kind}, teaches boolean, n_tokens long, n_known long, base double, n_bytes long, fixed double, ids array<int>, rare array<struct<word:binary,n:long>>"
+    schema = f"id {kind}, teaches boolean, n_tokens long, n_known long, base double, n_bytes long, fixed double, ids binary, rare array<struct<word:binary,n:long>>"
     return staged(map_arrow(docs.select("id", "text", "teaches"), run, schema).withColumn("row", F.monotonically_increasing_id()), "tokens")
 
 
 def flat_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    """All symbols of a batch's texts, and each text's number."""
+    texts = column.to_pylist()
+    return np.frombuffer(b"".join(texts), np.int32).astype(np.int64), np.fromiter(map(len, texts), np.int64, len(texts)) // 4
 
 
 # -- training -----------------------------------------------------------------------------------
@@ -644,12 +649,18 @@ def train_letters(words: DataFrame, distinct: int) -> tuple[Speller, Table, Mixe
     speller = Speller(Code(byte_counts(words) + 1), slot_bits(SLOTS_A_WORD, distinct))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, size = [], 0
         for batch in batches:
-            held = batch.column(0).to_pylist()
-            for i, j in slices(held, 1 << 18):
-                found, bit, _ = speller.decisions(held[i:j])
-                for f in found:
-                    yield from block_rows(*runs(packed(*f, bit)))
+            words = batch.column(0).to_pylist()
+            for i, j in slices(words, 1 << 18):
+                found, bit, _ = speller.decisions(words[i:j])
+                keys += [packed(*f, bit) for f in found]
+                size += len(found) * len(bit)
+                if size >= KEYS:
+                    yield from block_rows(*runs(np.concatenate(keys)))
+                    keys, size = [], 0
+        if keys:
+            yield from block_rows(*runs(np.concatenate(keys)))
 
     table = filled(map_arrow(words.select("word"), count, "block int, data binary", rows=1 << 16), int(speller.starts[-1]))
     sent = sc.broadcast(table)

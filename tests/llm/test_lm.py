@@ -96,7 +96,7 @@ class Plain:
         for i, byte in enumerate(x):
             back = [x[i - k] if i >= k else 0 for k in range(1, 6)]
             for node, bit in self.path(self.spell_code, byte):
-                yield [(1, *back[:1], node), (2, *back[:2], node), (3, *back[:3], node), (5, *back, node), (9, x[:i], node)], bit
+                yield [(2, *back[:2], node), (3, *back[:3], node), (5, *back, node), (9, x[:i], node)], bit
 
     @staticmethod
     def value(n):
@@ -143,7 +143,7 @@ class Plain:
                 for keys, bit in self.spelling(w):
                     pairs = [self.value(self.letters[k]) for k in keys]
                     level = lambda n: (n > 0) + (n > 2) + (n > 15)
-                    gate = 16 * level(sum(pairs[2])) + 4 * level(sum(pairs[3])) + level(sum(pairs[4]))
+                    gate = 16 * level(sum(pairs[1])) + 4 * level(sum(pairs[2])) + level(sum(pairs[3]))
                     st = [math.log((b + 0.05) / (a + 0.05)) for a, b in pairs] + [1.0]
                     _, final = self.final(letter_mixer, float(np.dot(letter_mixer.w[:, gate], st)), gate)
                     total += math.log(final if bit else 1 - final)
@@ -187,13 +187,13 @@ class Exact(lm.Table):
     def __init__(self, keys):
         super().__init__(1 << 12)
         n = {(s, c): [int(lm.quantised(np.array([keys[s, c, b]]))[0]) for b in (0, 1)] for s, c, _ in keys}
-        self.of = {k: np.uint16(a | b << 8) for k, (a, b) in n.items()}
+        self.of = {k: np.uint32(a | b << 8) for k, (a, b) in n.items()}
         for (slot, check), v in self.of.items():
             if check == 0:
-                self.pair[slot] = v
+                self.held[slot] = v
 
     def get(self, slot, check):
-        return np.array([self.of.get(k, np.uint16(0)) for k in zip(slot.tolist(), check.tolist())], np.uint16)
+        return np.array([self.of.get(k, np.uint32(0)) for k in zip(slot.tolist(), check.tolist())], np.uint32)
 
 
 def test_scoring_alone_equals_the_plain_version():
@@ -222,7 +222,7 @@ def test_scoring_alone_equals_the_plain_version():
         scorer = lm.Scorer(lm.Reader(speech, table, most), mixer)
         got = scorer.texts(np.concatenate(ids), np.array(list(map(len, ids)))) if whole else np.concatenate([scorer.texts(x, np.array([len(x)])) for x in ids])
         for g, i, t in zip(got, ids, texts):
-            letters = lm.Mixer(5)
+            letters = lm.Mixer(4)
             want = plain.score(t, mixer, letters, most) * math.log(10)
             again, first = Counter(), 0.0
             for w in tokens(t):
@@ -239,7 +239,7 @@ def plain_spelling(plain, word, letters):
     for keys, bit in plain.spelling(word):
         pairs = [plain.value(plain.letters[k]) for k in keys]
         level = lambda n: (n > 0) + (n > 2) + (n > 15)
-        gate = 16 * level(sum(pairs[2])) + 4 * level(sum(pairs[3])) + level(sum(pairs[4]))
+        gate = 16 * level(sum(pairs[1])) + 4 * level(sum(pairs[2])) + level(sum(pairs[3]))
         st = [math.log((b + 0.05) / (a + 0.05)) for a, b in pairs] + [1.0]
         _, final = plain.final(letters, float(np.dot(letters.w[:, gate], st)), gate)
         total += math.log(final if bit else 1 - final)
@@ -250,7 +250,7 @@ def test_letters_equal_the_plain_version():
     rng = np.random.default_rng(9)
     words = ["".join(rng.choice(list("abcé"), rng.integers(1, 12))).encode() for _ in range(120)]
     code = lm.Code(np.arange(256) % 7 + 1)
-    speller = lm.Speller(code, (22,) * 5)
+    speller = lm.Speller(code, (22,) * 4)
     plain = Plain([b" ".join(words[:60]).decode()], {}, lm.code_of_words({}, 60), lm.Speech(lm.code_of_words({}, 60), [], (18, 18)), code)
     keys = Counter()
     for w in set(words[:60]):
@@ -258,7 +258,7 @@ def test_letters_equal_the_plain_version():
         for slot, check in found:
             keys.update(zip(slot.tolist(), check.tolist(), bit.tolist()))
     table = Exact(keys)
-    mixer = lm.Mixer(5)
+    mixer = lm.Mixer(4)
     mixer.w += rng.normal(0, 0.1, mixer.w.shape).astype(np.float32)
     st, gate, bit, per = speller.predict(table, words, own=False)
     cost = np.add.reduceat(np.log(np.abs(mixer.final(mixer.mix(st, gate), gate)[2] + bit - 1)), np.cumsum(per) - per)
@@ -298,7 +298,7 @@ def test_score_depends_on_word_order(spark, rows):
 
 def test_tables_grow_with_the_corpus():
     small, large = lm.slot_bits(lm.SLOTS_A_WORD, 400_000), lm.slot_bits(lm.SLOTS_A_WORD, 3_400_000)
-    assert 1 << large[4] >= 4 * 3_400_000 and all(a <= b for a, b in zip(small, large)) and sum(a < b for a, b in zip(small, large)) >= 4
+    assert 1 << large[3] >= 4 * 3_400_000 and all(a <= b for a, b in zip(small, large)) and sum(a < b for a, b in zip(small, large)) >= 3
     n = np.array([0, 1, 7, 32, 1000, 400_000])
     assert np.allclose(lm.VALUES[lm.quantised(n)], n, rtol=0.03)
 

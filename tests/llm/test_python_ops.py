@@ -397,7 +397,9 @@ def test_minhash_brute_force(spark, odd):
     assert minhash.near_duplicates(odd.filter("false")).count() == 0
 
 
-def test_minhash_repeated_rows_in_a_crowd(spark):
+@pytest.mark.parametrize("block", [256, 20])
+def test_minhash_repeated_rows_in_a_crowd(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rng = random.Random(8)
     base = [f"w{rng.randrange(300)}" for _ in range(90)]
     texts = {}
@@ -446,3 +448,38 @@ def test_pipeline_stages(spark, docs, sf):
     assert all(n <= 3 for n in Counter(ids(mixed)).values()) and set(ids(mixed)) <= set(ids(near))
     assert sorted(ids(coded)) == sorted(ids(mixed)) and coded.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) == sorted(map(tuple, coded.collect()))
+
+
+def test_pipeline_odd_tables(spark, odd, docs):
+    """Every stage on nulls, repeated rows, long texts, clashing columns, and on an empty table."""
+    names = DOCS.replace(" long", "").replace(" string", "").split(", ")
+    some = docs.filter("doc_id < 40").select(*names)
+    twice = spark.createDataFrame([(7, "one text of five or more words here", "en", "a", 1), (7, "another text of five or more words here", "en", "a", 1), (None, "a third text of five or more words", "en", None, None)], DOCS)
+    full = some.unionByName(odd.select(*names)).unionByName(twice).withColumns({"_row": F.lit(1), "_doc": F.lit(2), "_copy": F.lit(3), "component_id": F.lit(4), "p": F.lit(5), "lang_pred": F.lit(6)})
+    for table in (full, full.filter("false")):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, table, "")
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert out.columns == list(corpus_pipeline.COLUMNS)
+            rows = out.collect()
+            assert bool(rows) == (table is full), name
+            if name == "MinHash near-dedup" and rows:
+                assert sorted(r.text for r in rows if r.doc_id == 7) == ["another text of five or more words here", "one text of five or more words here"]
+                assert sum(r.doc_id == 5 for r in rows) == 1 and "a third text of five or more words" in {r.text for r in rows if r.doc_id is None}
+
+
+def test_minhash_recall_of_buckets():
+    """Pairs just above the threshold, measured: they share a bucket."""
+    rng = random.Random(12)
+    pairs = found = 0
+    for _ in range(400):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        other = list(words)
+        for _ in range(rng.randrange(1, 4)):
+            other[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        a, b = (minhash.Shingles(5).of(" ".join(x)) for x in (words, other))
+        common = len(np.intersect1d(a, b))
+        if 100 * common >= 80 * (len(a) + len(b) - common):
+            pairs += 1
+            found += bool({*minhash.buckets_of(minhash.minima(a)).tolist()} & {*minhash.buckets_of(minhash.minima(b)).tolist()})
+    assert pairs > 200 and found >= 0.995 * pairs

@@ -48,6 +48,16 @@ def laplacian_variance(pixels: Column, width: int, height: int) -> Column:
     return F.aggregate(lap, F.lit(0.0), lambda a, v: a + v * v) / n - mean * mean
 
 
+def sharp_enough(frames: DataFrame, sharpness: str = "sharpness", least: float = 100.0) -> DataFrame:
+    """The blur gate: frames whose Laplacian variance reaches ``least``; unknown sharpness goes."""
+    return frames.filter(F.col(sharpness) >= least)
+
+
+def seconds_text(seconds: Column) -> Column:
+    """Seconds with one decimal and the unit."""
+    return F.format_string("%.1fs", seconds.cast("double"))
+
+
 def progress(done: Column, total: Column) -> Column:
     """Rounded per cent, 0 without a length."""
     return F.when(total > 0, js_round(done / total * 100)).otherwise(F.lit(0).cast("long"))

@@ -198,7 +198,7 @@ def thumbnail(rgb: np.ndarray, side: int = 16) -> np.ndarray:
 # -- over DataFrames: frames have pixels (binary, 8-bit), width, height and channels --------------
 
 
-def _image(pixels: bytes, width: int, height: int, channels: int) -> np.ndarray:
+def image_of(pixels: bytes, width: int, height: int, channels: int) -> np.ndarray:
     img = np.frombuffer(pixels, np.uint8).reshape(height, width, channels)
     return img if channels > 1 else np.repeat(img, 3, 2)
 
@@ -218,7 +218,7 @@ def detect(frames: DataFrame) -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            quads = [detect_quad(to_gray(_image(r.pixels, r.width, r.height, r.channels))) for r in pdf.itertuples()]
+            quads = [detect_quad(to_gray(image_of(r.pixels, r.width, r.height, r.channels))) for r in pdf.itertuples()]
             yield pdf.assign(quad=[None if q is None else {n: {"x": float(x), "y": float(y)} for n, (x, y) in zip(names, q)} for q in quads])
 
     return frames.filter("width > 0 AND height > 0 AND pixels IS NOT NULL").mapInPandas(run, schema)
@@ -233,7 +233,7 @@ def rectify(frames: DataFrame, width: int = 1200, height: int = 1600) -> DataFra
             out = []
             for r in pdf.itertuples():
                 quad = np.array([[r.quad[k]["x"], r.quad[k]["y"]] for k in ("tl", "tr", "br", "bl")])
-                out.append(warp(_image(r.pixels, r.width, r.height, r.channels), quad, width, height).tobytes())
+                out.append(warp(image_of(r.pixels, r.width, r.height, r.channels), quad, width, height).tobytes())
             yield pdf.drop(columns="quad").assign(pixels=out, width=width, height=height, channels=3)
 
     return frames.filter("quad IS NOT NULL").mapInPandas(run, schema)
@@ -245,7 +245,7 @@ def thumbnails(frames: DataFrame, side: int = 16) -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            yield pdf.assign(luma=[thumbnail(_image(r.pixels, r.width, r.height, r.channels).astype(float), side).ravel() for r in pdf.itertuples()])
+            yield pdf.assign(luma=[thumbnail(image_of(r.pixels, r.width, r.height, r.channels).astype(float), side).ravel() for r in pdf.itertuples()])
 
     return frames.mapInPandas(run, schema)
 

@@ -7,6 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def captured(pages: DataFrame, now: Column | None = None) -> DataFrame:
+    """pages with a new id (a random UUID) and captured_at (``now``, or this moment) in milliseconds."""
+    stamp = F.unix_millis(F.current_timestamp() if now is None else now)
+    return pages.withColumns({"id": F.uuid(), "captured_at": stamp})
+
+
 def renumber(pages: DataFrame, session: str, order: list[str], name: str = "position") -> DataFrame:
     return pages.withColumn(name, F.row_number().over(W.partitionBy(session).orderBy(*order)).cast("int"))
 
@@ -33,11 +39,16 @@ def move_down(pages: DataFrame, k: Column) -> DataFrame:
 
 
 def reorder(pages: DataFrame, wanted: DataFrame, session: str, page_id: str) -> DataFrame:
-    """wanted: session, ids (array). A session takes the new order if its ids are the same multiset, and stays as it is otherwise."""
+    """wanted: session, ids (array). A session takes the new order if its ids are the same multiset, and stays as it is otherwise.
+
+    Equal ids keep their order among themselves: both sides number them.
+    """
     have = pages.groupBy(session).agg(F.array_sort(F.collect_list(page_id)).alias("_have"))
     fits = wanted.join(have, session).filter(F.array_sort("ids") == F.col("_have"))
-    places = fits.select(session, F.posexplode("ids").alias("_p", page_id))
-    return pages.join(places, [session, page_id], "left").withColumn("position", F.coalesce(F.col("_p") + 1, F.col("position")).cast("int")).drop("_p")
+    nth = lambda order: F.row_number().over(W.partitionBy(session, page_id).orderBy(order))
+    places = fits.select(session, F.posexplode("ids").alias("_p", page_id)).withColumn("_nth", nth("_p"))
+    joined = pages.withColumn("_nth", nth("position")).join(places, [session, page_id, "_nth"], "left")
+    return joined.withColumn("position", F.coalesce(F.col("_p") + 1, F.col("position")).cast("int")).drop("_p", "_nth")
 
 
 def cap(pages: DataFrame, most: int = 200) -> DataFrame:

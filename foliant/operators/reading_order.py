@@ -3,10 +3,14 @@
 A page is a grid of at most 101 cells on its long side, filled where boxes lie. A region is cut along the axis
 whose emptiest run scores nearest to zero (-min/max of the histogram), into before, run and after. Boxes go to
 the region they overlap best. Pages whose lines are mostly upright read their columns from right to left.
+
+The grid is never laid out: between two box edges all columns hold the same cells, so each axis is a short list of stretches with
+the cells across as the bits of an integer.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -19,6 +23,8 @@ from pyspark.sql import functions as F
 GRID = 100
 BOX = ("x", "y", "width", "height")
 COVERAGE = 0.7
+#: From this many pairs on, overlaps are taken with numpy.
+PAIRS = 600
 
 
 @dataclass
@@ -29,43 +35,70 @@ class Region:
     lines: list[int] = field(default_factory=list)
 
 
-def to_grid(boxes: np.ndarray) -> tuple[np.ndarray, int, int]:
+def to_grid(boxes: list) -> tuple[list[tuple[int, int, int, int]], int, int]:
     """Boxes (x0, y0, x1, y1) in cells, and the grid's width and height; without an extent all boxes are one cell."""
-    low, high = boxes[:, :2].min(0), boxes[:, 2:].max(0)
-    extent = high - low
-    if not extent.all():
-        return np.tile([0, 0, 1, 1], (len(boxes), 1)), 2, 2
-    side = GRID * extent / extent.max()
-    w, h = (int(v) + 1 for v in np.ceil(side))
-    first = np.maximum(0, np.floor((boxes[:, :2] - low) * side / extent))
-    last = np.minimum([w - 1, h - 1], np.ceil((boxes[:, 2:] - low) * side / extent))
-    return np.hstack([first, np.maximum(first + 1, last)]).astype(int), w, h
-
-
-def emptiest_run(hist: np.ndarray) -> tuple[int, int, float]:
-    """(start, end, score) of the first longest run of the smallest value."""
-    if len(hist) <= 1:
-        return 0, len(hist), 0.0
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], hist == hist.min(), [0]]).astype(int)))
-    starts, ends = edges[::2], edges[1::2]
-    k = int(np.argmax(ends - starts))
-    return int(starts[k]), int(ends[k]), -hist.min() / hist.max() if hist.max() > 0 else 0.0
-
-
-def divide(grid: np.ndarray, root: Region) -> list[Region]:
+    x0, y0, x1, y1 = zip(*boxes)
+    lows, spans, sides, cells = (min(x0), min(y0)), (max(x1) - min(x0), max(y1) - min(y0)), [], []
+    if not all(spans):
+        return [(0, 0, 1, 1)] * len(boxes), 2, 2
+    longest = max(spans)
+    sides = [GRID * s / longest for s in spans]
+    w, h = (math.ceil(s) + 1 for s in sides)
+    for b in boxes:
+        at = []
+        for k, most in ((0, w - 1), (1, h - 1)):
+            first = max(0, math.floor((b[k] - lows[k]) * sides[k] / spans[k]))
+            last = min(most, math.ceil((b[k + 2] - lows[k]) * sides[k] / spans[k]))
+            at.append((first, max(first + 1, last)))
+        cells.append((at[0][0], at[1][0], at[0][1], at[1][1]))
+    return cells, w, h
+
+
+def stretches(cells: list[tuple[int, int, int, int]], axis: int, size: int) -> list[tuple[int, int, int]]:
+    """(start, end, filled cells across as bits) along the axis; they cover 0..size."""
+    edges = sorted({0, size, *(c[axis] for c in cells), *(c[axis + 2] for c in cells)})
+    spans = [(c[axis], c[axis + 2], (1 << c[3 - axis]) - (1 << c[1 - axis])) for c in cells]
+    out = []
+    for a, b in zip(edges, edges[1:]):
+        bits = 0
+        for first, last, across in spans:
+            if first <= a < last:
+                bits |= across
+        out.append((a, b, bits))
+    return out
+
+
+def emptiest_run(along: list[tuple[int, int, int]], lo: int, hi: int, across_lo: int, across_hi: int) -> tuple[int, int, float]:
+    """(start, end, score) of the first longest run of the smallest count of filled cells within a region."""
+    if hi - lo <= 1:
+        return lo, hi, 0.0
+    seen = (1 << across_hi) - (1 << across_lo)
+    low, high, start, end, best = 1 << 30, 0, 0, 0, (lo, lo)
+    for a, b, bits in along:
+        if b <= lo or a >= hi:
+            continue
+        a, b, n = max(a, lo), min(b, hi), (bits & seen).bit_count()
+        high = max(high, n)
+        if n < low:
+            low, start, end, best = n, a, b, (a, b)
+        elif n == low:
+            start, end = (start if end == a else a), b
+            if end - start > best[1] - best[0]:
+                best = start, end
+    return *best, -low / high if high else 0.0
+
+
+def divide(columns: list, rows: list, root: Region) -> list[Region]:
     """Cuts until nothing can be cut; the leaves in the order of the cuts."""
     leaves, todo = [], [root]
     while todo:
         r = todo.pop()
         x0, y0, x1, y1 = r.box
-        part = grid[y0:y1, x0:x1]
-        xs, ys = emptiest_run(part.sum(0)), emptiest_run(part.sum(1))
-        whole = xs[:2] == (0, x1 - x0) and ys[:2] == (0, y1 - y0)
-        if not whole:
+        xs, ys = emptiest_run(columns, x0, x1, y0, y1), emptiest_run(rows, y0, y1, x0, x1)
+        if xs[:2] != (x0, x1) or ys[:2] != (y0, y1):
             r.by_x = xs[2] > ys[2] or xs[2] == ys[2] and xs[1] - xs[0] >= ys[1] - ys[0]
-            at = [x0, x0 + xs[0], x0 + xs[1], x1] if r.by_x else [y0, y0 + ys[0], y0 + ys[1], y1]
-            spans = [(a, b) for a, b in zip(at, at[1:]) if a < b]
-            cut = [(a, y0, b, y1) if r.by_x else (x0, a, x1, b) for a, b in spans]
+            at = [x0, *xs[:2], x1] if r.by_x else [y0, *ys[:2], y1]
+            cut = [(a, y0, b, y1) if r.by_x else (x0, a, x1, b) for a, b in zip(at, at[1:]) if a < b]
             r.parts = [Region(b) for b in cut if b != r.box]
         if r.parts:
             todo += reversed(r.parts)
@@ -74,29 +107,38 @@ def divide(grid: np.ndarray, root: Region) -> list[Region]:
     return leaves
 
 
-def best_overlap(boxes: np.ndarray, leaves: np.ndarray) -> np.ndarray:
+def best_overlap(boxes: list, leaves: list) -> list[int]:
     """For each box the leaf of largest IoU, the first of equals."""
-    w = np.minimum(boxes[:, None, 2], leaves[None, :, 2]) - np.maximum(boxes[:, None, 0], leaves[None, :, 0])
-    h = np.minimum(boxes[:, None, 3], leaves[None, :, 3]) - np.maximum(boxes[:, None, 1], leaves[None, :, 1])
-    inter = np.clip(w, 0, None) * np.clip(h, 0, None)
-    area = lambda b: (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
-    return (inter / (area(boxes)[:, None] + area(leaves)[None, :] - inter)).argmax(1)
+    if len(boxes) * len(leaves) >= PAIRS:
+        b, leaf = np.array(boxes), np.array(leaves)
+        side = lambda k: np.clip(np.minimum(b[:, None, k + 2], leaf[None, :, k + 2]) - np.maximum(b[:, None, k], leaf[None, :, k]), 0, None)
+        inter = side(0) * side(1)
+        size = lambda v: (v[:, 2] - v[:, 0]) * (v[:, 3] - v[:, 1])
+        return (inter / (size(b)[:, None] + size(leaf)[None, :] - inter)).argmax(1).tolist()
+    out = []
+    areas = [(c - a) * (d - b) for a, b, c, d in leaves]
+    for x0, y0, x1, y1 in boxes:
+        mine, best, found = (x1 - x0) * (y1 - y0), -1.0, 0
+        for k, (a, b, c, d) in enumerate(leaves):
+            w, h = min(x1, c) - max(x0, a), min(y1, d) - max(y0, b)
+            share = w * h / (mine + areas[k] - w * h) if w > 0 and h > 0 else 0.0
+            if share > best:
+                best, found = share, k
+        out.append(found)
+    return out
 
 
-def ranks(boxes: np.ndarray) -> np.ndarray:
+def ranks(boxes: list) -> list[int]:
     """Reading rank from 0 of every box (x0, y0, x1, y1)."""
     n = len(boxes)
     if n < 2:
-        return np.zeros(n, int)
-    cells, w, h = to_grid(np.asarray(boxes, float))
-    grid = np.zeros((h, w), int)
-    for x0, y0, x1, y1 in cells:
-        grid[y0:y1, x0:x1] = 1
+        return [0] * n
+    cells, w, h = to_grid(boxes)
     root = Region((0, 0, w, h))
-    leaves = divide(grid, root)
-    for i, leaf in enumerate(best_overlap(cells, np.array([r.box for r in leaves]))):
+    leaves = divide(stretches(cells, 0, w), stretches(cells, 1, h), root)
+    for i, leaf in enumerate(best_overlap(cells, [r.box for r in leaves])):
         leaves[leaf].lines.append(i)
-    upright = cells[:, 2] - cells[:, 0] < cells[:, 3] - cells[:, 1]
+    upright = [x1 - x0 < y1 - y0 for x0, y0, x1, y1 in cells]
 
     def read(r: Region) -> list[int]:
         if r.lines:
@@ -109,31 +151,33 @@ def ranks(boxes: np.ndarray) -> np.ndarray:
             runs.reverse()
         return [i for run in runs for i in run]
 
-    out = np.empty(n, int)
-    out[read(root)] = np.arange(n)
+    out = [0] * n
+    for place, i in enumerate(read(root)):
+        out[i] = place
     return out
 
 
-def page_order(boxes: np.ndarray, blocks: np.ndarray | None = None) -> np.ndarray:
+def page_order(boxes: list, blocks: list | None = None) -> list[int]:
     """Order from 1 of a page's valid lines (x, y, w, h), with or without blocks (x, y, w, h)."""
     n = len(boxes)
-    rect = np.hstack([boxes[:, :2], boxes[:, :2] + boxes[:, 2:]]).astype(float) if n else np.empty((0, 4))
-    if n < 2 or blocks is None or not len(blocks):
-        return ranks(rect) + 1
-    centre = boxes[:, :2] + boxes[:, 2:] / 2
-    inside = (
-        (centre[:, None, 0] >= blocks[None, :, 0]) & (centre[:, None, 0] <= blocks[None, :, 0] + blocks[None, :, 2])
-        & (centre[:, None, 1] >= blocks[None, :, 1]) & (centre[:, None, 1] <= blocks[None, :, 1] + blocks[None, :, 3])
-    )
-    held = inside.any(1)
-    if held.sum() < COVERAGE * n:
-        return ranks(rect) + 1
-    of = inside.argmax(1)
-    groups = [np.flatnonzero(held & (of == b)) for b in dict.fromkeys(of[held])] + [np.array([i]) for i in np.flatnonzero(~held)]
-    outer = np.array([[*rect[g, :2].min(0), *rect[g, 2:].max(0)] for g in groups])
-    order = [i for k in np.argsort(ranks(outer), kind="stable") for i in groups[k][np.argsort(ranks(rect[groups[k]]), kind="stable")]]
-    out = np.empty(n, int)
-    out[order] = np.arange(1, n + 1)
+    rect = [(x, y, x + w, y + h) for x, y, w, h in boxes]
+    if n < 2 or not blocks:
+        return [k + 1 for k in ranks(rect)]
+    of = []
+    for x, y, w, h in boxes:
+        cx, cy = x + w / 2, y + h / 2
+        of.append(next((k for k, (a, b, c, d) in enumerate(blocks) if a <= cx <= a + c and b <= cy <= b + d), -1))
+    if sum(k >= 0 for k in of) < COVERAGE * n:
+        return [k + 1 for k in ranks(rect)]
+    groups = [[i for i in range(n) if of[i] == k] for k in dict.fromkeys(k for k in of if k >= 0)] + [[i] for i in range(n) if of[i] < 0]
+    corners = [list(zip(*(rect[i] for i in g))) for g in groups]
+    outer = ranks([(min(c[0]), min(c[1]), max(c[2]), max(c[3])) for c in corners])
+    out, place = [0] * n, 0
+    for k in sorted(range(len(groups)), key=outer.__getitem__):
+        inner = ranks([rect[i] for i in groups[k]])
+        for j in sorted(range(len(inner)), key=inner.__getitem__):
+            place += 1
+            out[groups[k][j]] = place
     return out
 
 
@@ -157,13 +201,16 @@ def reading_order(lines: DataFrame, page: str, line_id: str, blocks: DataFrame |
         pages = pages.withColumn("blocks", F.lit(None).cast("array<struct<id:int,x:double,y:double,width:double,height:double>>"))
     held = pages.select(page, F.col("lines.id").alias("ids"), *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in ("lines", "blocks") for c in BOX])
 
-    def boxes_of(batch: pa.RecordBatch, side: str, i: int) -> np.ndarray | None:
-        cols = [batch.column(f"{side}_{c}")[i] for c in BOX]
-        return np.column_stack([c.values.to_numpy() for c in cols]) if cols[0].is_valid else None
+    def boxes_of(batch: pa.RecordBatch, side: str) -> list[list]:
+        """Of each row its boxes; a null array has none."""
+        cols = [batch.column(f"{side}_{c}") for c in BOX]
+        ends = np.cumsum(cols[0].value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+        flat = list(zip(*(c.flatten().to_pylist() for c in cols)))
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            orders = [page_order(boxes_of(batch, "lines", i), boxes_of(batch, "blocks", i)).tolist() for i in range(batch.num_rows)]
+            orders = list(map(page_order, boxes_of(batch, "lines"), boxes_of(batch, "blocks")))
             yield pa.RecordBatch.from_arrays([batch.column(page), batch.column("ids"), pa.array(orders, pa.list_(pa.int32()))], [page, "ids", "orders"])
 
     types = dict(held.dtypes)
@@ -189,19 +236,39 @@ def page_grid(df: DataFrame, page: str) -> DataFrame:
     return out.drop("_x0", "_y0", "_x1", "_y1", "_w", "_h", "_sx", "_sy")
 
 
-def column_histogram(gridded: DataFrame, page: str) -> DataFrame:
-    """page, hist: for every column of the page's grid, the number of its filled cells.
+def column_counts(gridded: DataFrame, page: str) -> DataFrame:
+    """page, cx, n: for every column of the page's grid, the number of its filled cells.
 
-    A page's boxes stay one array; a fold over those that reach a column merges their spans, so no cell becomes a row.
+    A box gives each of its columns the cells that it fills as the bits of two longs; a page's last box also gives the page's other columns, empty.
+    Bits are joined by ``bit_or``, all in generated code and in the partitions that the grid's window already has.
     """
-    boxes = F.array_sort(F.collect_list(F.struct("gy0", "gy1", "gx0", "gx1")))
-    held = gridded.groupBy(page, "grid_w").agg(boxes.alias("b"))
-    start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
+    ones = lambda n: F.when(n >= 64, F.lit(-1).cast("long")).when(n <= 0, F.lit(0).cast("long")).otherwise(F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("long"), n.cast("int"))))
+    low = ones(F.col("gy1")).bitwiseXOR(ones(F.col("gy0")))
+    high = ones(F.col("gy1") - 64).bitwiseXOR(ones(F.col("gy0") - 64))
+    last = F.row_number().over(W.partitionBy(page).orderBy("gx0", "gx1", "gy0", "gy1")) == 1
+    spans = gridded.select(page, "gx0", "gx1", "grid_w", low.alias("low"), high.alias("high"), last.alias("all"))
+    cx = F.explode(F.sequence(F.when(F.col("all"), 0).otherwise(F.col("gx0")), F.when(F.col("all"), F.col("grid_w")).otherwise(F.col("gx1")) - 1)).alias("cx")
+    cells = spans.select(page, "gx0", "gx1", "low", "high", cx)
+    there = (F.col("gx0") <= F.col("cx")) & (F.col("cx") < F.col("gx1"))
+    masks = [F.bit_or(F.when(there, F.col(m)).otherwise(F.lit(0).cast("long"))).alias(m) for m in ("low", "high")]
+    return cells.groupBy(page, "cx").agg(*masks).select(page, "cx", (F.bit_count("low") + F.bit_count("high")).cast("int").alias("n"))
 
-    def merge(a: Column, v: Column, i: Column) -> Column:
-        new = F.greatest(F.lit(0), v["gy1"] - F.greatest(a["end"], v["gy0"]))
-        there = (v["gx0"] <= i) & (i < v["gx1"])
-        return F.when(there, F.struct(F.greatest(a["end"], v["gy1"]).alias("end"), (a["n"] + new).alias("n"))).otherwise(a)
 
-    filled = lambda i: F.aggregate("b", start, lambda a, v: merge(a, v, i))["n"]
-    return held.select(page, F.transform(F.sequence(F.lit(0), F.col("grid_w") - 1), filled).alias("hist"))
+def column_histogram(gridded: DataFrame, page: str) -> DataFrame:
+    """page, hist: the counts of the page's columns, in order."""
+    cells = F.sort_array(F.collect_list(F.struct("cx", "n")))
+    return column_counts(gridded, page).groupBy(page).agg(cells["n"].alias("hist"))
+
+
+def longest_minimum_run(counts: DataFrame, page: str) -> DataFrame:
+    """page, start, end, score of counts(page, cx, n): the first longest run of the smallest value; score is -min/max.
+
+    Pages of one column give (0, 1, 0). Smallest columns that follow each other have the same difference of column and place.
+    """
+    over = W.partitionBy(page)
+    low = counts.withColumns({"low": F.min("n").over(over), "high": F.max("n").over(over), "cols": F.count(F.lit(1)).over(over)}).filter("n = low")
+    run = low.withColumn("run", F.col("cx") - F.row_number().over(over.orderBy("cx")))
+    runs = run.groupBy(page, "run").agg(F.count(F.lit(1)).cast("int").alias("len"), F.min("cx").alias("start"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("cols").alias("cols"))
+    best = runs.groupBy(page).agg(F.min(F.struct((-F.col("len")).alias("l"), "start", "low", "high", "cols")).alias("r"))
+    score = F.when((F.col("r.cols") > 1) & (F.col("r.high") > 0), -F.col("r.low") / F.col("r.high")).otherwise(0.0)
+    return best.select(page, F.col("r.start").alias("start"), (F.col("r.start") - F.col("r.l")).alias("end"), score.cast("double").alias("score"))

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.functions import geometry, hashing, sequence, text
-from foliant.operators import detection, evaluate, export, folds, matching, pages, reading_order
+from foliant.operators import detection, evaluate, export, folds, matching, pages, reading_order, recognition
 from foliant.plans import fixtures as fx
 from foliant.sources import session as snapshots
 
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 GAP = 6 * 3600
 DEDUP_BITS = 20
+#: Fixed values of the stand-in.
 CHARSET = " !\"#$%&'()*+,-./0123456789:;<=>?@ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -260,11 +261,10 @@ f AS (SELECT doc_id, string_agg(substr($${CHARSET}$$, id + 1, 1), '' ORDER BY i)
 SELECT d.doc_id, coalesce(regexp_replace(t, '^ +| +$', '', 'g'), '') AS decoded, coalesce(round(conf, 6), 0) AS confidence FROM documents d LEFT JOIN f ON d.doc_id = f.doc_id""")
 def token_decode(spark, sf):
     ids = F.transform(F.split("text", ""), lambda ch: (F.ascii(ch) * 7 % _VOCAB).cast("int"))
-    d = fx.table(spark, sf, "documents").select("doc_id", F.transform(ids, lambda i: F.struct(i.alias("id"), (F.lit(1.0) / (i + F.lit(1.0))).alias("p"))).alias("tokens"))
-    kept = sequence.collapsed(sequence.emitted_tokens(F.col("tokens"), len(CHARSET)), len(CHARSET))
-    d = d.select("doc_id", kept.alias("kept"))
-    decoded = text.unicode_trim(sequence.decoded_text(F.col("kept"), CHARSET))
-    return d.select("doc_id", decoded.alias("decoded"), F.round(sequence.mean_confidence(F.col("kept")), 6).alias("confidence"))
+    d = fx.table(spark, sf, "documents").select("doc_id", ids.alias("ids"))
+    tokens = d.withColumn("p", F.transform("ids", lambda i: F.lit(1.0) / (i + F.lit(1.0))))
+    d = recognition.decode(tokens, "ids", "p", CHARSET)
+    return d.select("doc_id", text.unicode_trim(F.col("decoded")).alias("decoded"), F.round("confidence", 6).alias("confidence"))
 
 
 # -- reading order ------------------------------------------------------------------------------------------
@@ -322,9 +322,9 @@ i AS (SELECT hist.page, cx, cx - row_number() OVER (PARTITION BY hist.page ORDER
 r AS (SELECT page, min(cx) AS s, max(cx) + 1 AS e, any_value(low) AS low, any_value(high) AS high FROM i GROUP BY page, island)
 SELECT page, s::INTEGER AS run_start, e::INTEGER AS run_end, round(CASE WHEN high > 0 THEN -low / high::DOUBLE ELSE 0 END, 6) + 0.0 AS score FROM r QUALIFY row_number() OVER (PARTITION BY page ORDER BY e - s DESC, s) = 1""")
 def longest_min_run(spark, sf):
-    h = reading_order.column_histogram(reading_order.page_grid(fx.boxes(spark, sf), "page"), "page")
-    r = h.select("page", sequence.longest_minimum(F.col("hist")).alias("r"))
-    return r.select("page", F.col("r.start").alias("run_start"), F.col("r.end").alias("run_end"), (F.round("r.score", 6) + 0.0).alias("score"))
+    counts = reading_order.column_counts(reading_order.page_grid(fx.boxes(spark, sf), "page"), "page")
+    r = reading_order.longest_minimum_run(counts, "page")
+    return r.select("page", F.col("start").alias("run_start"), F.col("end").alias("run_end"), (F.round("score", 6) + 0.0).alias("score"))
 
 
 @query(_GRID + """, v AS (SELECT *, count(*) OVER (PARTITION BY page) < 2 * count(*) FILTER (gx1 - gx0 < gy1 - gy0) OVER (PARTITION BY page) AS vertical FROM grid)
@@ -445,7 +445,26 @@ def laplacian_sharpness(spark, sf):
     return v.withColumn("sharp", F.col("sharpness") >= 5)
 
 
-@query()
+@query(f"""WITH RECURSIVE {fx.FRAMES}, {fx.HASHES}, n AS (
+  SELECT session, event_id, ts, row_number() OVER (PARTITION BY session ORDER BY ts, event_id) AS i FROM frames
+), walk AS (
+  SELECT session, event_id, ts, i, true AS taken, ts AS last FROM n WHERE i = 1
+  UNION ALL
+  SELECT n.session, n.event_id, n.ts, n.i, n.ts >= w.last + INTERVAL {GAP} SECOND, CASE WHEN n.ts >= w.last + INTERVAL {GAP} SECOND THEN n.ts ELSE w.last END
+  FROM walk w JOIN n ON n.session = w.session AND n.i = w.i + 1
+), placed AS (
+  SELECT bits, row_number() OVER (ORDER BY vec_id) - 1 AS place, count(*) OVER () AS total FROM hashes
+), keyed AS (
+  SELECT session, event_id, bits, row_number() OVER (PARTITION BY session ORDER BY ts, event_id) AS i
+  FROM walk JOIN placed ON place = event_id % total WHERE taken
+), leaders AS (
+  SELECT session, event_id, i, true AS keep, [bits] AS kept FROM keyed WHERE i = 1
+  UNION ALL
+  SELECT session, event_id, i, far, CASE WHEN far THEN list_append(kept, bits) ELSE kept END FROM (
+    SELECT k.session, k.event_id, k.i, k.bits, l.kept, list_min(list_transform(l.kept, lambda b: hamming(b, k.bits))) > {DEDUP_BITS} AS far
+    FROM leaders l JOIN keyed k ON k.session = l.session AND k.i = l.i + 1)
+)
+SELECT session, event_id, row_number() OVER (PARTITION BY session ORDER BY i)::INTEGER AS ordinal FROM leaders WHERE keep""")
 def stream_sample_dedup(spark, sf):
     """Throttled frames of each session, each with the hash of a vector, deduplicated: the batch twin of the streaming operators."""
     taken = folds.gap_sample(fx.frames(spark, sf), ["session"], "ts", GAP, ["event_id"], ["event_id"])

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions.text import cache_key
 
 SESSION = "key string, updated_at timestamp, pages array<struct<id:string,data_url:string,width:int,height:int,sharpness:double,ocr_text:string,ocr_lines:array<struct<text:string,bbox:array<double>,confidence:double>>,captured_at:timestamp>>"
+PREFERENCE = "key string, value string, updated_at timestamp"
 MODEL = "name string, data binary, cached_at timestamp, version string"
 
 
@@ -28,16 +30,24 @@ def save_session(pages: DataFrame, path: str, key: str = "current", now: Column
 
 
 def load_session(spark: SparkSession, path: str, key: str = "current") -> DataFrame:
-    """The latest snapshot's row; no rows if nothing, or nothing readable, is there."""
+    """The latest snapshot's row; no rows if nothing, nothing readable, or a cleared session is there.
+
+    The snapshots are read once here, so that a broken file shows now and not in the caller's action.
+    """
     try:
         rows = spark.read.schema(SESSION).parquet(path).filter(F.col("key") == key)
-        return latest(rows, ["key"], ["updated_at"])
-    except AnalysisException:
+        found = latest(rows, ["key"], ["updated_at"]).filter("pages IS NOT NULL")
+        found.agg(F.sum(F.xxhash64(*found.columns))).first()
+        return found
+    except (PySparkException, Py4JJavaError):
         return spark.createDataFrame([], SESSION)
 
 
-def clear_session(spark: SparkSession, path: str) -> None:
-    spark.createDataFrame([], SESSION).write.mode("overwrite").parquet(path)
+def clear_session(spark: SparkSession, path: str, key: str = "current", now: Column | None = None) -> None:
+    """Clears one key, by a newer snapshot without pages; other sessions stay."""
+    stamp = F.current_timestamp() if now is None else now
+    pages = F.lit(None).cast(spark.createDataFrame([], SESSION).schema["pages"].dataType)
+    spark.range(1).select(F.lit(key).alias("key"), stamp.alias("updated_at"), pages.alias("pages")).write.mode("append").parquet(path)
 
 
 def session_pages(snapshot: DataFrame) -> DataFrame:
@@ -48,6 +58,27 @@ def upsert(table: DataFrame, new: DataFrame, keys: list[str], order: list[str])
     return latest(table.unionByName(new), keys, order)
 
 
+def save_preference(spark: SparkSession, path: str, key: str, value: str, now: Column | None = None) -> None:
+    """Appends a setting; of each key the newest counts."""
+    stamp = F.current_timestamp() if now is None else now
+    spark.range(1).select(F.lit(key).alias("key"), F.lit(value).alias("value"), stamp.alias("updated_at")).write.mode("append").parquet(path)
+
+
+def saved_preferences(spark: SparkSession, path: str) -> DataFrame:
+    """key, value: the newest of each key."""
+    return latest(spark.read.schema(PREFERENCE).parquet(path), ["key"], ["updated_at"]).select("key", "value")
+
+
+def clear_models(spark: SparkSession, path: str) -> None:
+    """Empties a model cache."""
+    spark.createDataFrame([], MODEL).write.mode("overwrite").parquet(path)
+
+
+def correlated(requests: DataFrame, results: DataFrame, id_col: str = "id") -> DataFrame:
+    """Every request with its result by id; ``answered`` tells whether there is one."""
+    return requests.join(results.withColumn("answered", F.lit(True)), id_col, "left").withColumn("answered", F.coalesce("answered", F.lit(False)))
+
+
 def cached_models(wanted: DataFrame, cache: DataFrame, version: str) -> DataFrame:
     """wanted(language, model) with the cached data where name and version agree; hit tells which."""
     key = wanted.withColumn("name", cache_key(F.col("language"), F.col("model")))

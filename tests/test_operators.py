@@ -143,3 +143,20 @@ def test_charset_and_preferences(spark, tmp_path):
     assert media.charset(spark, str(tmp_path / "c.yaml")) == ' !"#\\x'
     stored = spark.createDataFrame([("model-config", "{bad"), ("document-language", "fr")], "key string, value string")
     assert tuple(media.preferences(stored).first()) == (False, "fr")
+
+
+def test_earlier_distances_in_blocks(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None]), i * 2, [rng.getrandbits(63) - (1 << 62), rng.getrandbits(4)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, n int, h array<long>")
+    bits = lambda x, y: sum(((p ^ q) & (2**64 - 1)).bit_count() for p, q in zip(x, y))
+    want = {}
+    for k, n, h in rows:
+        near = [(bits(h, g), m) for j, m, g in rows if j == k and m < n]
+        if near:
+            want[k, n] = min(near)[::-1]
+    for block in (7, 1024):
+        got = {(r.k, r.n): (r.nearest_seq, r.distance) for r in matching.earlier_distances(df, ["k"], "n", "h", block).collect()}
+        assert got == want

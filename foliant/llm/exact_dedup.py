@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from foliant.llm.common import ascii_lower, discard, shared_path, staged, table, text_of
 
 MAX_DEPTH = 16
-CAPACITY = 1 << 14
+CAPACITY = 1 << 12
 HOT_SHARE = 1000
 ENTRY = ("key", "sha", "n_bytes", "keep_id", "group_size")
 
@@ -70,6 +70,8 @@ class Index:
 
     def placed(self, rows: DataFrame) -> DataFrame:
         """rows(key, ...) with their bucket."""
+        if self.depth == 0:
+            return rows.withColumn("bucket", F.lit(0))
         return rows.withColumn("slot", slot_of(F.col("key"), self.depth)).join(self.directory(), "slot").drop("slot")
 
     def entries(self, of: list[Bucket] | None = None) -> DataFrame:

@@ -157,9 +157,9 @@ class Table:
 
 
 def runs(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and how often each occurs or the sum of its weights."""
+    """Distinct keys in order, and how often each occurs or the sum of its weights. Without weights the keys are sorted in place."""
     if weights is None:
-        keys = np.sort(keys)
+        keys.sort()
     else:
         order = np.argsort(keys)
         keys = keys[order]
@@ -657,8 +657,8 @@ def train_letters(words: DataFrame, distinct: int) -> tuple[Speller, Table, Mixe
                 keys += [packed(*f, bit) for f in found]
                 size += len(found) * len(bit)
                 if size >= KEYS:
-                    yield from block_rows(*runs(np.concatenate(keys)))
-                    keys, size = [], 0
+                    held, keys, size = np.concatenate(keys), [], 0
+                    yield from block_rows(*runs(held))
         if keys:
             yield from block_rows(*runs(np.concatenate(keys)))
 
@@ -695,7 +695,7 @@ def train_words(tokens: DataFrame, often: dict[bytes, int], code: Code, distinct
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alone = np.zeros(2 * code.nodes, np.int64)
-        keys, held = [], 0
+        keys, size = [], 0
         for batch in batches:
             ids, sizes = flat_ids(batch.column(0))
             begin = np.cumsum(sizes) - sizes
@@ -709,10 +709,10 @@ def train_words(tokens: DataFrame, often: dict[bytes, int], code: Code, distinct
                 alone += np.bincount(node * 2 + bit, minlength=len(alone))
                 for f in found:
                     keys.append(packed(*f, bit))
-                    held += len(bit)
-                if held >= KEYS:
-                    yield from block_rows(*runs(np.concatenate(keys)))
-                    keys, held = [], 0
+                    size += len(bit)
+                if size >= KEYS:
+                    held, keys, size = np.concatenate(keys), [], 0
+                    yield from block_rows(*runs(held))
         if keys:
             yield from block_rows(*runs(np.concatenate(keys)))
         at = np.flatnonzero(alone)

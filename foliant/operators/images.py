@@ -1,7 +1,6 @@
 """Pixel operators in numpy, run as vectorised Python functions over image columns (row-major arrays or bytes).
 
-There is no vision library here: contours are the outlines of connected regions, and the smallest enclosing
-rectangle comes from turning callipers over the hull. Parity with other libraries is approximate.
+There is no vision library here; contours and their smallest rectangles are in ``contours``. Parity with other libraries is approximate.
 """
 
 from __future__ import annotations
@@ -14,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliant.operators import contours
+
 #: Normalisation in 0..255, and for recognition in 0..1.
 IMAGENET_MEAN, IMAGENET_STD = (123.675, 116.28, 103.53), (58.395, 57.12, 57.375)
 EUROPEAN_MEAN, EUROPEAN_STD = (0.694, 0.695, 0.693), (0.299, 0.296, 0.301)
@@ -54,49 +55,6 @@ def close_open(mask: np.ndarray, size: int = MORPH) -> np.ndarray:
     return dilate(erode(closed, size), size)
 
 
-def regions(mask: np.ndarray) -> np.ndarray:
-    """8-connected region number of every pixel, 0 for background; numbers pass from neighbour to neighbour until they rest."""
-    label = np.where(mask > 0, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
-    while True:
-        spread = np.where(mask > 0, dilate(label, 3), 0)
-        if (spread == label).all():
-            return label
-        label = spread
-
-
-def hull(points: np.ndarray) -> np.ndarray:
-    """Convex hull, counter-clockwise."""
-    pts = np.unique(points, axis=0)
-    if len(pts) < 3:
-        return pts.astype(float)
-
-    def chain(seq: np.ndarray) -> list:
-        out: list = []
-        for p in seq:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
-                out.pop()
-            out.append(p)
-        return out[:-1]
-
-    return np.array(chain(pts) + chain(pts[::-1]), float)
-
-
-def smallest_rectangle(points: np.ndarray) -> tuple[float, float, float, float, float]:
-    """cx, cy, w, h, degrees of the smallest rectangle around the points."""
-    h = hull(points)
-    edges = np.roll(h, -1, 0) - h
-    best = None
-    for angle in np.unique(np.arctan2(edges[:, 1], edges[:, 0]) % (np.pi / 2)):
-        c, s = np.cos(angle), np.sin(angle)
-        turned = h @ np.array([[c, -s], [s, c]])
-        low, high = turned.min(0), turned.max(0)
-        w, t = high - low
-        if best is None or w * t < best[0] - 1e-9:
-            cx, cy = np.array([[c, -s], [s, c]]) @ ((low + high) / 2)
-            best = (w * t, (float(cx), float(cy), float(w), float(t), float(np.degrees(angle))))
-    return best[1]
-
-
 def order_corners(pts: np.ndarray) -> np.ndarray:
     """tl, tr, br, bl; the first of equal points wins."""
     total, across = pts.sum(1), pts[:, 1] - pts[:, 0]
@@ -104,19 +62,11 @@ def order_corners(pts: np.ndarray) -> np.ndarray:
 
 
 def detect_quad(gray: np.ndarray, low: float = 0.15, high: float = 0.97) -> np.ndarray | None:
-    """The paper's corners, or None: Otsu, closing and opening, largest region in the area gate, its rectangle."""
-    mask = close_open((gray > otsu(gray)).astype(np.int64))
-    label = regions(mask)
-    best, best_area = None, 0.0
-    for k in np.unique(label[label > 0]):
-        yx = np.argwhere(label == k)
-        h = hull(yx[:, ::-1])
-        area = abs(np.sum(h[:, 0] * np.roll(h[:, 1], -1) - np.roll(h[:, 0], -1) * h[:, 1])) / 2
-        if area > best_area and low * gray.size <= area <= high * gray.size:
-            best, best_area = h, area
+    """The paper's corners, or None: Otsu, closing and opening, the outer contour of largest area in the gate, its smallest rectangle."""
+    best = contours.largest(close_open((gray > otsu(gray)).astype(np.int64)), low, high)
     if best is None:
         return None
-    cx, cy, w, h, deg = smallest_rectangle(best)
+    cx, cy, w, h, deg = contours.callipers(best)
     c, s = np.cos(np.radians(deg)), np.sin(np.radians(deg))
     half = np.array([[-w, -h], [w, -h], [w, h], [-w, h]]) / 2
     return order_corners(half @ np.array([[c, s], [-s, c]]) + [cx, cy])

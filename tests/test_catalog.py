@@ -9,7 +9,10 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from foliant.plans import catalog
+from foliant.plans import capture, catalog
+
+BOTH = catalog.QUERIES | capture.QUERIES
+SQL = catalog.ORACLES | capture.ORACLES
 
 
 def text(v):
@@ -27,14 +30,14 @@ def oracle(sf):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(BOTH))
 def test_query(spark, sf, oracle, name):
-    df = catalog.QUERIES[name](spark, sf)
+    df = BOTH[name](spark, sf)
     cols = sorted(df.columns)
     got = sorted(tuple(text(r[c]) for c in cols) for r in df.collect())
     assert got
-    if name in catalog.ORACLES:
-        rel = oracle.sql(catalog.ORACLES[name])
+    if name in SQL:
+        rel = oracle.sql(SQL[name])
         assert sorted(rel.columns) == cols
         at = [rel.columns.index(c) for c in cols]
         want = sorted(tuple(text(r[i]) for i in at) for r in rel.fetchall())

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions.hashing import bits_to_words, hash_bits
 from foliant.operators import contours, hash_index
 from foliant.plans import fixtures as fx
+from foliant.shipping import ship
+from foliant.sources import containers, files
 from foliant.sources.shared import shared_path
+from foliant.sources.snapshot_table import SnapshotTable
 from foliant.streaming import sessions, stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,3 +161,70 @@ def contour_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outer contours of every vector's bright pixels as an 8 x 8 image: how many, the largest area, and the largest that passes the gate."""
     masks = fx.hashes(spark, sf_dir).select("vec_id", "bits")
     return contours.contour_stats(masks, "vec_id", "bits", fx.SIDE).select("vec_id", "contours", "largest_area", "gated_area")
+
+
+# -- files --------------------------------------------------------------------------------------
+
+#: Fixed value of the stand-in: events by number in one recording, so that a recording's size is bounded.
+RECORDING = 1 << 16
+
+
+@query(f"""WITH f AS (
+  SELECT user_id, event_id // {RECORDING} AS part, epoch_us(ts) // 1000 AS ms, event_type = 'error' AS k, row_number() OVER w AS i, lead(epoch_us(ts) // 1000) OVER w AS later
+  FROM events WINDOW w AS (PARTITION BY user_id, event_id // {RECORDING} ORDER BY epoch_us(ts) // 1000, event_id)
+), v AS (
+  SELECT user_id AS session, part, count(*) AS frames, sum(coalesce(later - ms, 40))::BIGINT AS ticks, count(*) FILTER (k OR i = 1) AS key_frames FROM f GROUP BY ALL
+)
+SELECT session, part, frames, ticks::DOUBLE / 1000 AS duration, (frames * 1000)::DOUBLE / ticks AS fps, key_frames FROM v""")
+def video_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings of every user's events, written as media containers by the file sink, and what the container source reads from their tables."""
+    ship(spark)
+    path = shared_path(spark, "recordings")
+    events = fx.table(spark, sf_dir, "events").select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), (F.col("event_type") == "error").alias("k"))
+    frame = F.struct("ms", "event_id", F.coalesce("k", F.lit(False)).alias("k"))
+    held = events.groupBy("user_id", F.floor(F.col("event_id") / RECORDING).alias("part")).agg(F.array_sort(F.collect_list(frame)).alias("f"))
+    name = F.concat_ws("/", F.col("user_id").cast("string"), F.concat(F.col("part").cast("string"), F.lit(".mp4")))
+    held = held.select(name.alias("file"), F.col("f")["ms"].alias("ms"), F.col("f")["event_id"].alias("ids"), F.col("f")["k"].alias("k"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                file, ms, ids, k = (batch.column(c)[i].as_py() for c in range(4))
+                shown = [b - a for a, b in zip(ms, [*ms[1:], ms[-1] + 40])]
+                keys = [j for j, own in enumerate(k) if own or not j]
+                data = containers.container([b"%d" % e for e in ids], shown, keys=keys)
+                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([0]), pa.array([data], pa.binary())], ["file", "part", "content"])
+
+    files.write_files(held.mapInArrow(run, "file string, part long, content binary"), path)
+    got = containers.video_info(spark, path, ["path", "frames", "duration", "fps", "key_frames"])
+    part = lambda k: F.regexp_extract("path", r"([^/]+)/([^/]+)\.mp4$", k).cast("long")
+    return got.select(part(1).alias("session"), part(2).alias("part"), "frames", "duration", "fps", "key_frames")
+
+
+@query("""SELECT conv_id::VARCHAR || '.zip' AS file, count(*) AS entries, sum(octet_length(encode(coalesce(text, ''))))::BIGINT AS bytes,
+  min('page-' || lpad((turn + 1)::VARCHAR, 4, '0') || '.txt') AS first_entry FROM conversations GROUP BY conv_id""")
+def page_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A zip of each session's page texts, written by the file sink page by page, and its entries read back."""
+    path = shared_path(spark, "archives")
+    pages = fx.table(spark, sf_dir, "conversations")
+    entry = F.concat(F.lit("page-"), F.lpad((F.col("turn") + 1).cast("string"), 4, "0"), F.lit(".txt"))
+    rows = pages.select(F.concat(F.col("conv_id").cast("string"), F.lit(".zip")).alias("file"), F.col("turn").cast("long").alias("part"), entry.alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    files.write_files(rows, path, "zip")
+    return files.zip_entries(spark, path).groupBy("file").agg(F.count(F.lit(1)).alias("entries"), F.sum("bytes").alias("bytes"), F.min("name").alias("first_entry"))
+
+
+@query("""WITH p AS (SELECT conv_id AS session, turn, octet_length(encode(coalesce(text, '')))::BIGINT AS size FROM conversations), v AS (
+  SELECT 0 AS version, session, size FROM p WHERE turn = 0
+  UNION ALL SELECT 1, session, size FROM p WHERE turn <= 1
+  UNION ALL SELECT 2, session, size FROM p WHERE turn <= 1 OR turn % 2 = 0
+)
+SELECT version::INTEGER AS version, session, count(*) AS pages, sum(size)::BIGINT AS bytes FROM v GROUP BY version, session""")
+def session_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page lists as a table of snapshots: two appends and a replacement, and every version read back."""
+    table = SnapshotTable(spark, shared_path(spark, "session-versions"))
+    pages = fx.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), "turn", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size"))
+    table.append(pages.filter("turn = 0"))
+    table.append(pages.filter("turn = 1"))
+    table.replace(pages.filter("turn <= 1 OR turn % 2 = 0"))
+    held = reduce(DataFrame.unionByName, [table.load(v).withColumn("version", F.lit(v)) for v in table.versions()])
+    return held.groupBy("version", "session").agg(F.count(F.lit(1)).alias("pages"), F.sum("size").alias("bytes"))

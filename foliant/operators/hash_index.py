@@ -25,6 +25,8 @@ from foliant.shipping import ship
 from foliant.sources.shared import discard, staged
 
 BLOCK = 1024
+#: Pairs that are compared at a time.
+PAIRS = 1 << 18
 NEVER = np.iinfo(np.int32).max
 
 
@@ -44,6 +46,58 @@ def _packed(rows: DataFrame, on: list[str], block: int, values: list[str]) -> Da
     return held.select(*on, "_n", "_b", *[F.col("_rows")[v].alias(f"_all{v}") for v in values], F.flatten(F.col("_rows")["_w"]).alias("_all_w"))
 
 
+def _lists(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
+    """The lengths of a column's lists, and all their values."""
+    held = batch.column(column)
+    return held.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), held.flatten().to_numpy(zero_copy_only=False)
+
+
+def _shares(batch: pa.RecordBatch, at: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose pairs come to about ``PAIRS``; a row of more is a range."""
+    pairs = _lists(batch, at)[0] * _lists(batch, at + 3)[0]
+    begin, total = 0, 0
+    for i, n in enumerate(pairs.tolist()):
+        if total and total + n > PAIRS:
+            yield begin, i
+            begin, total = i, 0
+        total += n
+    if begin < batch.num_rows:
+        yield begin, batch.num_rows
+
+
+def _compare(batch: pa.RecordBatch, at: int, most: int) -> tuple[np.ndarray, ...]:
+    """Of every row of mine that finds one: its place in the batch, number, distance, number found, compared. All rows of the batch at once; one
+    row that is a large block by itself as a matrix."""
+    (m, s), (_, limit), (_, h), (o, os), (_, oh) = (_lists(batch, at + k) for k in range(5))
+    if not len(s) or not len(os):
+        return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.int32),) + (np.empty(0, np.int64),) * 2
+    h, oh = h.view(np.uint64).reshape(len(s), -1), oh.view(np.uint64).reshape(len(os), -1)
+    if len(m) == 1:
+        order = np.argsort(os, kind="stable")
+        os, oh = os[order], oh[order]
+        d = np.zeros((len(s), len(os)), np.int32)
+        for k in range(h.shape[1]):
+            d += np.bitwise_count(h[:, k, None] ^ oh[None, :, k])
+        earlier = os[None, :] < limit[:, None]
+        d[~earlier] = NEVER
+        best = d.argmin(1)
+        found, number, met = d[np.arange(len(s)), best], os[best], earlier.sum(1)
+    else:
+        pairs = m * o
+        row = np.repeat(np.arange(len(m)), pairs)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+        mine, other = (np.cumsum(m) - m)[row] + place // o[row], (np.cumsum(o) - o)[row] + place % o[row]
+        d = np.bitwise_count(h[mine] ^ oh[other]).sum(1, dtype=np.int32)
+        earlier = os[other] < limit[mine]
+        d[~earlier] = NEVER
+        begins = np.cumsum(np.repeat(o, m)) - np.repeat(o, m)  # of each row of mine, its pairs
+        found = np.minimum.reduceat(d, begins)
+        number = np.minimum.reduceat(np.where(d == np.repeat(found, np.repeat(o, m)), os[other], np.iinfo(np.int64).max), begins)
+        met = np.add.reduceat(earlier.astype(np.int64), begins)
+    keep = np.flatnonzero((found <= most) & (found < NEVER))
+    return np.repeat(np.arange(len(m)), m)[keep], s[keep], found[keep].astype(np.int32), number[keep], met[keep]
+
+
 def meet(mine: DataFrame, others: DataFrame, on: list[str], keys: list[str], most: int = NEVER - 1, block: int = BLOCK) -> DataFrame:
     """keys, _seq, _best (struct of distance _d and number _o) and _met, for rows of ``mine`` (on, _seq, _w, and _limit: only others numbered
     below it count) that find one of ``others`` (on, _seq, _w) within ``most`` bits. _met: how many it was compared with."""
@@ -57,21 +111,9 @@ def meet(mine: DataFrame, others: DataFrame, on: list[str], keys: list[str], mos
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                s, limit, h, os, oh = (batch.column(at + k)[i].values.to_numpy(zero_copy_only=False) for k in range(5))
-                order = np.argsort(os, kind="stable")
-                h, os, oh = h.view(np.uint64).reshape(len(s), -1), os[order], oh.view(np.uint64).reshape(len(os), -1)[order]
-                d = np.zeros((len(s), len(os)), np.int32)
-                for k in range(h.shape[1]):
-                    d += np.bitwise_count(h[:, k, None] ^ oh[None, :, k])
-                earlier = os[None, :] < limit[:, None]
-                d[~earlier] = NEVER
-                best = d.argmin(1)
-                found = d[np.arange(len(s)), best]
-                keep = np.flatnonzero((found <= most) & (found < NEVER))
-                own = pa.array(np.full(len(keep), i))
-                cols = pa.array(s[keep]), pa.array(found[keep]), pa.array(os[best[keep]]), pa.array(earlier.sum(1)[keep])
-                yield pa.RecordBatch.from_arrays([*(c.take(own) for c in batch.columns[:at]), *cols], [*keys, "_seq", "_d", "_o", "_c"])
+            for i, j in _shares(batch, at):
+                own, *cols = _compare(batch.slice(i, j - i), at, most)
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(own + i)) for c in batch.columns[:at]), *map(pa.array, cols)], [*keys, "_seq", "_d", "_o", "_c"])
 
     schema = mine.select(*keys).schema.add("_seq", "long").add("_d", "integer").add("_o", "long").add("_c", "long")
     return met.mapInArrow(run, schema).groupBy(*keys, "_seq").agg(F.min(F.struct("_d", "_o")).alias("_best"), F.sum("_c").alias("_met"))
@@ -184,9 +226,12 @@ def decided(chunks: DataFrame, keys: list[str], threshold: int) -> DataFrame:
     return held.mapInArrow(run, schema)
 
 
-def _settled(prefix: DataFrame, keys: list[str], threshold: int, block: int) -> list[DataFrame]:
-    """The leaders among ``prefix``, by rounds: what waits for nothing outside its chunk is decided there, all at once; then what lies near a
+def _settled(prefix: DataFrame, keys: list[str], threshold: int, block: int, alone: bool = False) -> list[DataFrame]:
+    """``alone``: every group's prefix is one chunk. The leaders among ``prefix``, by rounds: what waits for nothing outside its chunk is decided there, all at once; then what lies near a
     new leader goes. A round decides the first open chunk of every group at least."""
+    if alone:
+        one = prefix.select("*", F.lit(0).alias("_chunk"), F.lit(False).alias("_blocked"))
+        return [staged(decided(one, keys, threshold).filter(F.col("_state") == KEPT).drop("_state"), "leader-states")]
     kept, left = [], prefix
     while True:
         chunks = staged(chunked(left, keys, block), "leader-chunks")
@@ -219,7 +264,7 @@ def leaders(df: DataFrame, keys: list[str], seq: str, words: str, threshold: int
         cut = F.when(F.col("_n") <= size, F.col("_last")).otherwise(F.coalesce(F.try_element_at(inside, F.lit(1))["c"], F.element_at("_cuts", -1)))
         marks = _prefixed(marks.select(*keys, cut.alias("_cut")), keys, "_p")
         cut_at = rest.join(marks, _same(keys, "_p"))
-        got = _settled(cut_at.filter("_seq <= _cut").select(*keys, "_seq", "_w"), keys, threshold, block)
+        got = _settled(cut_at.filter("_seq <= _cut").select(*keys, "_seq", "_w"), keys, threshold, block, size == block)
         kept += got
         later = cut_at.filter("_seq > _cut").select(*keys, "_seq", "_w")
         near = meet(later.withColumn("_limit", F.col("_seq")), reduce(DataFrame.unionByName, got), keys, keys, threshold, block)

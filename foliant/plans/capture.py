@@ -109,8 +109,8 @@ TEXT_HASHES = f"""halves AS (
 SELECT a.doc_id, arg_min(b.doc_id, hamming(a.bits, b.bits)::BIGINT * 1000000000000 + b.doc_id) AS nearest_id, min(hamming(a.bits, b.bits))::INTEGER AS distance
 FROM hashes a JOIN hashes b ON b.doc_id < a.doc_id GROUP BY a.doc_id""")
 def nearest_text_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest earlier document of every document by hash, all in one group: multi-index hashing with eight bands."""
-    out = hash_index.nearest_earlier(text_hashes(spark, sf_dir), [], "doc_id", "words", bands=8, reach=1)
+    """The nearest earlier document of every document by hash, all in one group: multi-index hashing with four bands."""
+    out = hash_index.nearest_earlier(text_hashes(spark, sf_dir), [], "doc_id", "words", bands=4, reach=1)
     return out.select("doc_id", F.col("nearest_seq").alias("nearest_id"), "distance")
 
 

@@ -5,9 +5,10 @@ State of a session, each part in the store that fits it:
 - a value: when the last frame was taken, how many pages there are, and the timer that is set;
 - a list: id and hash of each kept page. A new page is appended; what is there is read but never written again;
 - a map from hash to page, so a copy of a kept page is known without a look at the list;
-- with event time, a map of frames that wait until the watermark has passed them. One timer a session stands at the
-  earliest of them; when it goes off all that the watermark has passed are judged in the order of (time, id). So the pages
-  don't depend on how frames came in, if none is later than ``delay``.
+- with event time, a list of frames that wait until the watermark has passed them, to which each micro-batch appends. One timer
+  a session stands at the earliest of them; when it goes off all that the watermark has passed are judged in the order of
+  (time, id), and what still waits, the frames of the last ``delay``, is listed anew. So the pages don't depend on how frames
+  came in, if none is later than ``delay``.
 
 Without ``delay``, frames are judged as they come, those of one micro-batch in order, and ``ttl_ms`` lets state end after that time
 without a write to it; such a stream looks after its state in batches without data too, so it is stopped, it does not end by itself. A frame with ``session_start`` begins its session anew; a row with ``remove_id`` takes that page out of the session, so
@@ -51,34 +52,30 @@ class Capture(StatefulProcessor):
         self.kept = handle.getListState("kept", f"id {self.id_type}, words binary", self.ttl_ms)
         self.seen = handle.getMapState("seen", "words binary", f"id {self.id_type}", self.ttl_ms)
         if self.ordered:
-            self.waiting = handle.getMapState("waiting", f"at long, id {self.id_type}", f"words binary, starts boolean, removes {self.id_type}")
+            self.waiting = handle.getListState("waiting", f"at long, id {self.id_type}, words binary, starts boolean, removes {self.id_type}")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        frames = ((r["_at"], r["id"], bytes(r["_words"]) if r["_words"] is not None else None, r["_starts"], r["_removes"]) for r in rows)
+        frames = ((r["_at"], r["id"], r["_words"], r["_starts"], r["_removes"]) for r in rows)
         if not self.ordered:
             yield from self.judge(key, sorted(frames, key=lambda f: f[:2]))
             return
-        first = None
-        for at, frame, words, starts, removes in frames:
-            self.waiting.updateValue((at, frame), (words, starts, removes))
-            first = at if first is None else min(first, at)
-        if first is not None:
-            self.set_timer(first // 1000)
+        held = list(frames)
+        if held:
+            self.waiting.appendList(held)
+            self.set_timer(min(f[0] for f in held) // 1000)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         last, pages, _ = self.at_cursor()
         self.cursor.update((last, pages, None))
         passed = timerValues.getCurrentWatermarkInMs() * 1000 + 999
-        due, later = [], None
-        for (at, frame), held in self.waiting.iterator():
-            if at <= passed:
-                due.append((at, frame, *held))
-            else:
-                later = at if later is None else min(later, at)
-        for at, frame, *_ in due:
-            self.waiting.removeKey((at, frame))
-        if later is not None:
-            self.set_timer(later // 1000)
+        due, later = [], []
+        for f in self.waiting.get():
+            (due if f[0] <= passed else later).append(tuple(f))
+        if later:
+            self.waiting.put(later)
+            self.set_timer(min(f[0] for f in later) // 1000)
+        else:
+            self.waiting.clear()
         yield from self.judge(key, sorted(due, key=lambda f: f[:2]))
 
     def at_cursor(self) -> tuple[int | None, int, int | None]:
@@ -107,6 +104,7 @@ class Capture(StatefulProcessor):
             last = frames[0][0] - round(CAMERA_LEAD * 1e6)
         kept: np.ndarray | None = None
         for at, frame, words, starts, removes in frames:
+            words = bytes(words) if words is not None else None
             if starts:
                 self.forget()
                 last, pages, kept = (at - round(CAMERA_LEAD * 1e6) if self.camera else None), 0, None

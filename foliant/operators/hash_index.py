@@ -152,7 +152,7 @@ def nearest_earlier(df: DataFrame, keys: list[str], seq: str, words: str, n_word
     that radius is final and the row is done. What is left after ``reach`` rounds, and has nothing near, meets its whole group.
     """
     width = 64 * n_words // bands
-    rows = _rows(df, keys, seq, words)
+    rows = staged(_rows(df, keys, seq, words), "hash-rows")
     first = staged(rows.groupBy(*keys, "_w").agg(F.min("_seq").alias("_seq")), "hash-firsts")
     heads = _prefixed(first, [*keys, "_w", "_seq"], "_f")
     copies = rows.join(heads, _same([*keys, "_w"], "_f")).filter("_seq > _f_seq").select(*keys, "_seq", F.struct(F.lit(0).alias("_d"), F.col("_f_seq").alias("_o")).alias("_best"), F.lit(0).cast("long").alias("_met"))

@@ -14,7 +14,7 @@ from foliant.operators import contours, hash_index
 from foliant.plans import fixtures as fx
 from foliant.shipping import ship
 from foliant.sources import containers, files
-from foliant.sources.shared import shared_path
+from foliant.sources.shared import shared_path, spread
 from foliant.sources.snapshot_table import SnapshotTable
 from foliant.streaming import sessions, stateful
 
@@ -86,7 +86,7 @@ def text_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, words: the average hash of each text's image."""
     text = F.coalesce("text", F.lit(""))
     half = (F.char_length(text) / 2).cast("int")
-    docs = fx.table(spark, sf_dir, "documents").select("doc_id", F.substr(text, F.lit(1), half).alias("a"), F.substr(text, half + 1).alias("b"))
+    docs = spread(fx.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.substr(text, F.lit(1), half).alias("a"), F.substr(text, half + 1).alias("b"))
     count = lambda c, s: F.char_length(s) - F.char_length(F.replace(F.col(s), F.lit(c), F.lit("")))
     shades = F.array(*[count(c, s) for s in ("a", "b") for c in SHADES])
     return docs.select("doc_id", shades.alias("shades")).select("doc_id", bits_to_words(hash_bits(F.col("shades")), 64).alias("words"))

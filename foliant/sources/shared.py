@@ -47,3 +47,9 @@ def discard(*frames: DataFrame) -> None:
         if path := getattr(df, "_foliant_path", None):
             p, fs = hadoop(df.sparkSession, path)
             fs.delete(p, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out where it is read from fewer partitions than Spark has cores (one small file); larger inputs stay where they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

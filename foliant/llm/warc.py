@@ -46,7 +46,8 @@ from foliant.llm.common import discard, parts, shared_path, staged, table, text_
 from foliant.shipping import ship
 
 NAME = "foliant_warc"
-MANIFEST = "_manifest.json"
+#: Every commit writes a manifest of its own: the files that it added.
+MANIFEST = re.compile(r"_manifest(-\w+)?\.json")
 STEP = 1 << 16
 #: Bits of a bitmap of keys: 8 MB, and 17 MB as the table of words that is broadcast.
 MARKS = 1 << 26
@@ -255,9 +256,8 @@ class WarcReader(DataSourceReader):
         base = self.path.removesuffix(root)
         if info.type == pafs.FileType.File:
             return [Files((self.path,))]
-        if fs.get_file_info(f"{root}/{MANIFEST}").type == pafs.FileType.File:
-            with fs.open_input_stream(f"{root}/{MANIFEST}") as f:
-                found = [(f"{root}/{n}", size) for n, size in json.load(f)]
+        if committed := manifests(fs, root):
+            found = [(f"{root}/{n}", size) for files in committed.values() for n, size in files]
         else:
             all_files = fs.get_file_info(pafs.FileSelector(root, recursive=True))
             found = [(x.path, x.size) for x in all_files if re.search(r"\.warc(\.gz)?$", x.path)]
@@ -283,6 +283,16 @@ class WarcReader(DataSourceReader):
             yield pa.RecordBatch.from_pylist(held, ARROW)
 
 
+def manifests(fs: pafs.FileSystem, root: str) -> dict[str, list]:
+    """The manifests of a folder with the files (name, size) that each names."""
+    out = {}
+    for info in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+        if MANIFEST.fullmatch(info.base_name):
+            with fs.open_input_stream(info.path) as f:
+                out[info.path] = json.load(f)
+    return out
+
+
 @dataclass
 class Written(WriterCommitMessage):
     files: tuple[tuple[str, int], ...]
@@ -291,8 +301,8 @@ class Written(WriterCommitMessage):
 class WarcWriter(DataSourceArrowWriter):
     """Rows: record_type, record_id, target_uri, payload_digest, payload, http_length, refers_to."""
 
-    def __init__(self, options: dict):
-        self.path = options["path"].rstrip("/")
+    def __init__(self, options: dict, overwrite: bool = False):
+        self.path, self.overwrite = options["path"].rstrip("/"), overwrite
         self.date = options.get("date", "2024-01-01T00:00:00Z")
         self.roll = int(options.get("rollbytes", 32 << 20))
 
@@ -321,8 +331,14 @@ class WarcWriter(DataSourceArrowWriter):
         fs, root = pafs.FileSystem.from_uri(self.path)
         fs.create_dir(root, recursive=True)
         files = sorted(f for m in messages if m is not None for f in m.files)
-        with fs.open_output_stream(f"{root}/{MANIFEST}") as f:
+        before, name = manifests(fs, root) if self.overwrite else {}, uuid.uuid4().hex
+        with fs.open_output_stream(f"{root}/_{name}.tmp") as f:
             f.write(json.dumps(files).encode())
+        fs.move(f"{root}/_{name}.tmp", f"{root}/_manifest-{name}.json")
+        for manifest in before:  # first what names the files, so that no reader looks for one that went
+            fs.delete_file(manifest)
+        for old, _ in (f for held in before.values() for f in held):
+            fs.delete_file(f"{root}/{old}")
 
     def abort(self, messages: list[Written | None]) -> None:
         fs, root = pafs.FileSystem.from_uri(self.path)
@@ -343,7 +359,7 @@ class WarcSource(DataSource):
         return WarcReader(dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(dict(self.options))
+        return WarcWriter(dict(self.options), overwrite)
 
 
 # -- pages to archives and back ---------------------------------------------------------------

@@ -301,6 +301,25 @@ def test_warc_round_trip_and_pushdown(spark, tmp_path):
     assert warc.read_warc(spark, path).filter(F.col("target_uri").startswith("http://a/%20b%0A")).count() == 1
 
 
+def test_warc_append_keeps_and_overwrite_replaces(spark, tmp_path):
+    path = f"file://{tmp_path}/w"
+    page = lambda a, b: spark.createDataFrame([(i, f"http://a/{i}", f"<p>{i}</p>") for i in range(a, b)], "page_id long, url string, html string")
+    uris = lambda: sorted(r["target_uri"] for r in warc.read_warc(spark, path).collect())
+    warc.write_pages(page(0, 10), path)
+    warc.write_pages(page(10, 20), path)
+    assert uris() == sorted(f"http://a/{i}" for i in range(20))
+    torn = F.when(F.col("page_id") == 25, F.raise_error("torn")).otherwise(F.col("html"))
+    with pytest.raises(Exception, match="torn"):
+        warc.write_pages(page(20, 30).withColumn("html", torn), path)
+    assert len(uris()) == 20
+    one = warc.read_warc(spark, path).limit(1)
+    held = spark.createDataFrame(one.collect(), one.schema).select("record_type", "record_id", F.lit("http://new").alias("target_uri"), "payload_digest", "payload", "http_length", "refers_to")
+    before = set((tmp_path / "w").glob("*.warc.gz"))
+    held.write.format(warc.NAME).mode("overwrite").save(path)
+    assert uris() == ["http://new"] and not before & set((tmp_path / "w").glob("*.warc.gz"))
+    assert len(list((tmp_path / "w").glob("_manifest*"))) == 1 and not list((tmp_path / "w").glob("*.tmp"))
+
+
 def test_warc_foreign_members(tmp_path):
     import gzip
 

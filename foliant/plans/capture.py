@@ -7,16 +7,18 @@ from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.functions.hashing import bits_to_words, hash_bits
 from foliant.operators import contours, hash_index
+from foliant.operators.evaluate import progress
 from foliant.plans import fixtures as fx
 from foliant.shipping import ship
-from foliant.sources import containers, files
+from foliant.sources import containers, files, zones
 from foliant.sources.shared import shared_path, spread
 from foliant.sources.snapshot_table import SnapshotTable
-from foliant.streaming import sessions, stateful
+from foliant.streaming import events, sessions, stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,10 +64,10 @@ def stream_session_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events as frames of their users' sessions, streamed from files among which they are shuffled, into pages that are final once the
     watermark has passed. A frame's hash has as many bits set as its value says, so distances are differences of values."""
     path = shared_path(spark, "session-pages")
-    events = fx.table(spark, sf_dir, "events").filter("value IS NOT NULL")
+    rows = fx.table(spark, sf_dir, "events").filter("value IS NOT NULL")
     level = (F.floor(F.abs("value")) % 60).cast("int")
     ones = F.call_function("shiftleft", F.lit(1).cast("long"), level) - 1
-    frames = events.select(F.col("user_id").alias("session"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.array(ones).alias("hash"))
+    frames = rows.select(F.col("user_id").alias("session"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.array(ones).alias("hash"))
     frames.repartition(4, F.xxhash64("id")).write.parquet(f"{path}/frames")
     last = frames.agg(F.max("ts").alias("ts")).select(
         F.lit(-1).cast(frames.schema["session"].dataType).alias("session"), F.lit(-1).cast(frames.schema["id"].dataType).alias("id"),
@@ -180,9 +182,9 @@ def video_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recordings of every user's events, written as media containers by the file sink, and what the container source reads from their tables."""
     ship(spark)
     path = shared_path(spark, "recordings")
-    events = fx.table(spark, sf_dir, "events").select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), (F.col("event_type") == "error").alias("k"))
+    rows = fx.table(spark, sf_dir, "events").select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), (F.col("event_type") == "error").alias("k"))
     frame = F.struct("ms", "event_id", F.coalesce("k", F.lit(False)).alias("k"))
-    held = events.groupBy("user_id", F.floor(F.col("event_id") / RECORDING).alias("part")).agg(F.array_sort(F.collect_list(frame)).alias("f"))
+    held = rows.groupBy("user_id", F.floor(F.col("event_id") / RECORDING).alias("part")).agg(F.array_sort(F.collect_list(frame)).alias("f"))
     name = F.concat_ws("/", F.col("user_id").cast("string"), F.concat(F.col("part").cast("string"), F.lit(".mp4")))
     held = held.select(name.alias("file"), F.col("f")["ms"].alias("ms"), F.col("f")["event_id"].alias("ids"), F.col("f")["k"].alias("k"))
 
@@ -228,3 +230,41 @@ def session_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     table.replace(pages.filter("turn <= 1 OR turn % 2 = 0"))
     held = reduce(DataFrame.unionByName, [table.load(v).withColumn("version", F.lit(v)) for v in table.versions()])
     return held.groupBy("version", "session").agg(F.count(F.lit(1)).alias("pages"), F.sum("size").alias("bytes"))
+
+
+@query("""WITH f AS (SELECT event_id % 4 AS part, event_type <> 'error' AS detected FROM events), b AS (
+  SELECT part, count(*) AS frames, count(*) FILTER (detected) AS detected FROM f GROUP BY part
+)
+SELECT part, frames, detected, sum(frames) OVER (ORDER BY part)::BIGINT AS done,
+  floor(sum(frames) OVER (ORDER BY part)::DOUBLE / sum(frames) OVER () * 100 + 0.5)::BIGINT AS percent FROM b""")
+def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as four streams, one after the other: what the listener was told of each, and the progress so far. Nothing is counted but by the streams."""
+    path = shared_path(spark, "progress")
+    frames = fx.table(spark, sf_dir, "events").select(F.pmod("event_id", F.lit(4)).alias("part"), "event_id", (F.col("event_type") != "error").alias("detected"))
+    frames.write.partitionBy("part").parquet(f"{path}/frames")
+    label = path[-32:]
+    for k in range(4):
+        frames.limit(0).drop("part").write.mode("append").parquet(f"{path}/frames/part={k}")  # so that every folder is there
+        bus = events.EventBus(spark, name=f"{label}-{k}", path=f"{path}/reports").start()
+        try:
+            stream = spark.readStream.schema("event_id long, detected boolean").option("pathGlobFilter", "*.parquet").parquet(f"{path}/frames/part={k}")
+            query = events.observed(stream, F.col("detected")).writeStream.format("noop").queryName(bus.only).option("checkpointLocation", f"{path}/checkpoint-{k}").trigger(availableNow=True).start()
+            query.awaitTermination()
+            bus.wait(str(query.runId))
+        finally:
+            bus.stop()
+    part = F.substring_index("query", "-", -1).cast("long")
+    told = spark.read.schema(events.REPORT).json(f"{path}/reports").groupBy(part.alias("part")).agg(F.sum("frames").alias("frames"), F.sum("detected").alias("detected")).filter("frames > 0")
+    done, total = F.sum("frames").over(W.orderBy("part")), F.sum("frames").over(W.partitionBy())  # of four rows
+    return told.select("part", "frames", "detected", done.alias("done"), progress(done, total).alias("percent"))
+
+
+@query("""SELECT user_id AS session, count(*) AS results, min(event_id) AS first_id, max(event_id) AS last_id FROM events
+WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-12 12:00:00' GROUP BY user_id""")
+def results_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events laid out by time, and those of two days and a half, found through the zone map."""
+    path = shared_path(spark, "results")
+    zones.write_zoned(fx.table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("created_at")), path, "created_at")
+    start, end = (F.to_timestamp(F.lit(t)) for t in ("2024-01-10 00:00:00", "2024-01-12 12:00:00"))
+    found = zones.read_zoned(spark, path, "created_at", start, end)
+    return found.groupBy(F.col("user_id").alias("session")).agg(F.count(F.lit(1)).alias("results"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))

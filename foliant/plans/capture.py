@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from foliant.functions import pixels
 from foliant.functions.hashing import bits_to_words, hash_bits
 from foliant.operators import contours, hash_index
 from foliant.operators.evaluate import progress
@@ -165,6 +166,54 @@ def contour_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contours.contour_stats(masks, "vec_id", "bits", fx.SIDE).select("vec_id", "contours", "largest_area", "gated_area")
 
 
+#: Fixed values of the stand-in: corners of the sheet in image k, and the box that is cut out of it.
+_CORNERS = ((("k % 3 * 0.5", "k % 2 * 0.5"), ("7 - k % 4 * 0.25", "k % 3 * 0.5"), ("7 - k % 2 * 0.5", "7 - k % 3 * 0.25"), ("k % 5 * 0.25", "7 - k % 4 * 0.5")))
+_BOX = ("k % 6 - 1", "k % 5 - 1", "5", "4")
+
+
+def _sample(x: str, y: str) -> str:
+    """Bilinear in SQL, from rows (vec_id, x, y) joined to the pixels p."""
+    at = lambda dx, dy: f"CASE WHEN floor({x}) + {dx} BETWEEN 0 AND w - 1 AND floor({y}) + {dy} BETWEEN 0 AND h - 1 THEN px[((floor({y}) + {dy}) * w + floor({x}) + {dx})::INTEGER + 1] ELSE 0.0::DOUBLE END"
+    fx, fy = f"({x} - floor({x}))", f"({y} - floor({y}))"
+    return f"(({at(0, 0)} * (1 - {fx}) + {at(1, 0)} * {fx}) * (1 - {fy}) + ({at(0, 1)} * (1 - {fx}) + {at(1, 1)} * {fx}) * {fy})"
+
+
+@query(f"""WITH src AS (
+  SELECT vec_id, vec_id AS k, list_transform(embedding, lambda v: floor(abs(v::DOUBLE) * 997.0::DOUBLE) % 256) AS px, 8 AS w, 8 AS h FROM embeddings
+), quads AS (
+  SELECT *, {", ".join(f"({c})::DOUBLE AS {n}{i}" for i, xy in enumerate(_CORNERS) for n, c in zip("xy", xy))} FROM src
+), sides AS (
+  SELECT *, x1 - x2 AS ux, x3 - x2 AS vx, x0 - x1 + x2 - x3 AS sx, y1 - y2 AS uy, y3 - y2 AS vy, y0 - y1 + y2 - y3 AS sy FROM quads
+), maps AS (
+  SELECT *, (sx * vy - vx * sy) / (ux * vy - vx * uy) AS g, (ux * sy - sx * uy) / (ux * vy - vx * uy) AS hh FROM sides
+), warped AS (
+  SELECT vec_id, i, px, w, h, (i % 8) / 8.0::DOUBLE AS u, (i // 8) / 8.0::DOUBLE AS v, g, hh, x1 - x0 + g * x1 AS a, x3 - x0 + hh * x3 AS b, x0 AS c, y1 - y0 + g * y1 AS d, y3 - y0 + hh * y3 AS e, y0 AS f FROM maps, range(64) r(i)
+), places AS (
+  SELECT vec_id, i, px, w, h, (a * u + b * v + c) / (g * u + hh * v + 1) AS x, (d * u + e * v + f) / (g * u + hh * v + 1) AS y FROM warped
+), levels AS (
+  SELECT vec_id, string_agg(least(greatest(round_even({_sample("x", "y")}, 0), 0), 255)::INTEGER::VARCHAR, ' ' ORDER BY i) AS warped FROM places GROUP BY vec_id
+), boxes AS (
+  SELECT vec_id, px, greatest({_BOX[0]}, 0) AS bx, greatest({_BOX[1]}, 0) AS b_y, least({_BOX[0]} + {_BOX[2]}, 8) - greatest({_BOX[0]}, 0) AS cw, least({_BOX[1]} + {_BOX[3]}, 8) - greatest({_BOX[1]}, 0) AS ch FROM src
+), cut AS (
+  SELECT vec_id, cw AS w, ch AS h, list_transform(range(cw * ch), lambda j: px[(b_y + j // cw) * 8 + bx + j % cw + 1]) AS px FROM boxes
+), scaled AS (
+  SELECT *, greatest(round_even(w * (8.0::DOUBLE / greatest(w, h)), 0), 1) AS nw, greatest(round_even(h * (8.0::DOUBLE / greatest(w, h)), 0), 1) AS nh FROM cut
+), grid AS (
+  SELECT vec_id, i, px, w, h, i % 8 < nw AND i // 8 < nh AS inside, least(greatest((i % 8 + 0.5::DOUBLE) * w / nw - 0.5::DOUBLE, 0), w - 1)::DOUBLE AS x, least(greatest((i // 8 + 0.5::DOUBLE) * h / nh - 0.5::DOUBLE, 0), h - 1)::DOUBLE AS y FROM scaled, range(64) r(i)
+), boxed AS (
+  SELECT vec_id, string_agg(CASE WHEN inside THEN least(greatest(round_even({_sample("x", "y")}, 0), 0), 255) ELSE 0 END::INTEGER::VARCHAR, ' ' ORDER BY i) AS boxed FROM grid GROUP BY vec_id
+)
+SELECT vec_id, warped, boxed FROM levels JOIN boxed USING (vec_id)""")
+def pixel_warp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as an 8 x 8 image: the sheet in it rectified, and a part of it cut out and letterboxed, as levels."""
+    v = fx.table(spark, sf_dir, "embeddings").select("vec_id", F.col("vec_id").alias("k"), F.transform("embedding", lambda e: F.floor(F.abs(e.cast("double")) * 997.0) % 256).alias("px"))
+    img = v.select("vec_id", "k", pixels.image(F.col("px"), fx.SIDE, fx.SIDE).alias("img"))
+    quad = [(F.expr(x).cast("double"), F.expr(y).cast("double")) for x, y in _CORNERS]
+    img = img.withColumn("m", pixels.square_to_quad(quad)).withColumn("cut", pixels.crop(F.col("img"), *[F.expr(b).cast("int") for b in _BOX]))
+    levels = lambda i: F.array_join(F.transform(i["pixels"], lambda p: pixels.level(p).cast("int").cast("string")), " ")
+    return img.select("vec_id", levels(pixels.warp(F.col("img"), F.col("m"), 8, 8)).alias("warped"), levels(pixels.letterbox(F.col("cut"), 8)).alias("boxed"))
+
+
 # -- files --------------------------------------------------------------------------------------
 
 #: Fixed value of the stand-in: events by number in one recording, so that a recording's size is bounded.

@@ -205,13 +205,15 @@ class ContainerReader(DataSourceReader):
         except (NotAContainer, struct.error) as e:
             return [{"path": path, "bytes": length, "error": str(e)}]
 
-    def frame_rows(self, f, path: str, length: int) -> Iterator[pa.RecordBatch]:
+    def frame_rows(self, f, path: str, length: int, first: int = 0, end: int | None = None) -> Iterator[pa.RecordBatch]:
+        """Rows of the frames from ``first`` up to ``end`` of every video track."""
         try:
             found = [(k, t, sample_table(f, t)) for k, t in enumerate(tracks(f, length)) if t.handler == b"vide" and b"stsz" in t.tables]
         except (NotAContainer, struct.error, ValueError, IndexError):
             return
         for k, t, (start, shown, offset, size, key) in found:
             own = np.flatnonzero(key) if self.keys_only else np.arange(len(size))
+            own = own[(own >= first) & (own < (len(size) if end is None else end))]
             step = 16 if "payload" in self.columns else FRAME_BATCH
             for i in range(0, len(own), step):
                 at = own[i : i + step]

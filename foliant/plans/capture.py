@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,7 +16,7 @@ from foliant.operators import contours, hash_index
 from foliant.operators.evaluate import progress
 from foliant.plans import fixtures as fx
 from foliant.shipping import ship
-from foliant.sources import containers, files, zones
+from foliant.sources import camera, containers, files, zones
 from foliant.sources.shared import shared_path, spread
 from foliant.sources.snapshot_table import SnapshotTable
 from foliant.streaming import events, sessions, stateful
@@ -206,7 +206,7 @@ def _sample(x: str, y: str) -> str:
 SELECT vec_id, warped, boxed FROM levels JOIN boxed USING (vec_id)""")
 def pixel_warp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector as an 8 x 8 image: the sheet in it rectified, and a part of it cut out and letterboxed, as levels."""
-    v = fx.table(spark, sf_dir, "embeddings").select("vec_id", F.col("vec_id").alias("k"), F.transform("embedding", lambda e: F.floor(F.abs(e.cast("double")) * 997.0) % 256).alias("px"))
+    v = spread(fx.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).select("vec_id", F.col("vec_id").alias("k"), F.transform("embedding", lambda e: F.floor(F.abs(e.cast("double")) * 997.0) % 256).alias("px"))
     img = v.select("vec_id", "k", pixels.image(F.col("px"), fx.SIDE, fx.SIDE).alias("img"))
     quad = [(F.expr(x).cast("double"), F.expr(y).cast("double")) for x, y in _CORNERS]
     img = img.withColumn("m", pixels.square_to_quad(quad)).withColumn("cut", pixels.crop(F.col("img"), *[F.expr(b).cast("int") for b in _BOX]))
@@ -220,21 +220,13 @@ def pixel_warp(spark: SparkSession, sf_dir: str) -> DataFrame:
 RECORDING = 1 << 16
 
 
-@query(f"""WITH f AS (
-  SELECT user_id, event_id // {RECORDING} AS part, epoch_us(ts) // 1000 AS ms, event_type = 'error' AS k, row_number() OVER w AS i, lead(epoch_us(ts) // 1000) OVER w AS later
-  FROM events WINDOW w AS (PARTITION BY user_id, event_id // {RECORDING} ORDER BY epoch_us(ts) // 1000, event_id)
-), v AS (
-  SELECT user_id AS session, part, count(*) AS frames, sum(coalesce(later - ms, 40))::BIGINT AS ticks, count(*) FILTER (k OR i = 1) AS key_frames FROM f GROUP BY ALL
-)
-SELECT session, part, frames, ticks::DOUBLE / 1000 AS duration, (frames * 1000)::DOUBLE / ticks AS fps, key_frames FROM v""")
-def video_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recordings of every user's events, written as media containers by the file sink, and what the container source reads from their tables."""
+def recordings(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Every user's events as media containers in one folder: an event is a frame of its number's digits."""
     ship(spark)
-    path = shared_path(spark, "recordings")
     rows = fx.table(spark, sf_dir, "events").select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), (F.col("event_type") == "error").alias("k"))
     frame = F.struct("ms", "event_id", F.coalesce("k", F.lit(False)).alias("k"))
     held = rows.groupBy("user_id", F.floor(F.col("event_id") / RECORDING).alias("part")).agg(F.array_sort(F.collect_list(frame)).alias("f"))
-    name = F.concat_ws("/", F.col("user_id").cast("string"), F.concat(F.col("part").cast("string"), F.lit(".mp4")))
+    name = F.concat(F.concat_ws("-", F.lpad(F.col("user_id").cast("string"), 20, "0"), F.lpad(F.col("part").cast("string"), 20, "0")), F.lit(".mp4"))
     held = held.select(name.alias("file"), F.col("f")["ms"].alias("ms"), F.col("f")["event_id"].alias("ids"), F.col("f")["k"].alias("k"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,9 +239,43 @@ def video_info(spark: SparkSession, sf_dir: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([0]), pa.array([data], pa.binary())], ["file", "part", "content"])
 
     files.write_files(held.mapInArrow(run, "file string, part long, content binary"), path)
+
+
+def _recording(path: Column) -> list[Column]:
+    return [F.regexp_extract(path, r"0*(\d+)-0*(\d+)\.mp4$", k).cast("long").alias(n) for k, n in ((1, "session"), (2, "part"))]
+
+
+@query(f"""WITH f AS (
+  SELECT user_id, event_id // {RECORDING} AS part, epoch_us(ts) // 1000 AS ms, event_type = 'error' AS k, row_number() OVER w AS i, lead(epoch_us(ts) // 1000) OVER w AS later
+  FROM events WINDOW w AS (PARTITION BY user_id, event_id // {RECORDING} ORDER BY epoch_us(ts) // 1000, event_id)
+), v AS (
+  SELECT user_id AS session, part, count(*) AS frames, sum(coalesce(later - ms, 40))::BIGINT AS ticks, count(*) FILTER (k OR i = 1) AS key_frames FROM f GROUP BY ALL
+)
+SELECT session, part, frames, ticks::DOUBLE / 1000 AS duration, (frames * 1000)::DOUBLE / ticks AS fps, key_frames FROM v""")
+def video_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings of every user's events, written as media containers by the file sink, and what the container source reads from their tables."""
+    path = shared_path(spark, "recordings")
+    recordings(spark, sf_dir, path)
     got = containers.video_info(spark, path, ["path", "frames", "duration", "fps", "key_frames"])
-    part = lambda k: F.regexp_extract("path", r"([^/]+)/([^/]+)\.mp4$", k).cast("long")
-    return got.select(part(1).alias("session"), part(2).alias("part"), "frames", "duration", "fps", "key_frames")
+    return got.select(*_recording(F.col("path")), "frames", "duration", "fps", "key_frames")
+
+
+@query(f"""SELECT user_id AS session, event_id // {RECORDING} AS part, count(*) AS frames, sum(length(event_id::VARCHAR))::BIGINT AS bytes, max(event_id) AS last_id
+FROM events GROUP BY ALL""")
+def camera_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same recordings streamed frame by frame, as a camera's segments, and what each brought."""
+    path = shared_path(spark, "segments")
+    recordings(spark, sf_dir, f"{path}/in")
+    frames = camera.camera(spark, f"{path}/in", f"{path}/progress", 50_000)
+    write = lambda batch, k: batch.write.mode("overwrite").parquet(f"{path}/out/batch={k}")
+    query = frames.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    event = F.col("payload").cast("string").cast("long")
+    out = spark.read.schema(frames.schema).parquet(f"{path}/out")
+    return out.groupBy(*_recording(F.col("path"))).agg(F.count(F.lit(1)).alias("frames"), F.sum("size").alias("bytes"), F.max(event).alias("last_id"))
 
 
 @query("""SELECT conv_id::VARCHAR || '.zip' AS file, count(*) AS entries, sum(octet_length(encode(coalesce(text, ''))))::BIGINT AS bytes,

@@ -34,11 +34,10 @@ SLICE = 2048
 
 
 @dataclass
-class Piece(InputPartition):
-    path: str
-    length: int
-    first: int
-    end: int
+class Pieces(InputPartition):
+    """Name, length, first frame and end of parts of segments, about ``SLICE`` frames together."""
+
+    parts: tuple[tuple[str, int, int, int], ...]
 
 
 class CameraReader(DataSourceStreamReader):
@@ -57,7 +56,7 @@ class CameraReader(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         """``before``: how many segments lie before the one named."""
         at = self.given() or self.initialOffset()
-        names = self.names()
+        names = list(self.listed())
         done = [n for n in names if n < at["file"]]
         if len(done) > at["before"]:
             raise ValueError(f"a segment came late, before {at['file']}: one of {done[-3:]}")
@@ -90,10 +89,11 @@ class CameraReader(DataSourceStreamReader):
 
     # -- segments --
 
-    def names(self) -> list[str]:
+    def listed(self) -> dict[str, int]:
+        """Names, in order, and lengths."""
         fs, root = pafs.FileSystem.from_uri(self.path)
         found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
-        return sorted(x.base_name for x in found if x.type == pafs.FileType.File and x.base_name.lower().endswith(ENDINGS) and x.base_name[0] not in "._")
+        return dict(sorted((x.base_name, x.size) for x in found if x.type == pafs.FileType.File and x.base_name.lower().endswith(ENDINGS) and x.base_name[0] not in "._"))
 
     def opened(self, name: str):
         fs, root = pafs.FileSystem.from_uri(self.path)
@@ -110,22 +110,29 @@ class CameraReader(DataSourceStreamReader):
                     return None
         return self.counts[name]
 
-    def partitions(self, start: dict, end: dict) -> list[Piece]:
-        out = []
-        for name in self.names():
-            if start["file"] <= name <= end["file"]:
-                first = start["frame"] if name == start["file"] else 0
-                last = end["frame"] if name == end["file"] else self.count(name)
-                if last is None:
-                    raise ValueError(f"{name} was finished and is not any more")
-                with self.opened(name) as f:
-                    length = f.size()
-                out += [Piece(name, length, i, min(last, i + SLICE)) for i in range(first, last, SLICE)]
-        return out
-
-    def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
-        with self.opened(partition.path) as f:
-            yield from self.frames.frame_rows(f, f"{self.path}/{partition.path}", partition.length, partition.first, partition.end)
+    def partitions(self, start: dict, end: dict) -> list[Pieces]:
+        out: list[Pieces] = []
+        held, total = [], 0
+        for name, length in self.listed().items():
+            if not start["file"] <= name <= end["file"]:
+                continue
+            first = start["frame"] if name == start["file"] else 0
+            last = end["frame"] if name == end["file"] else self.count(name)
+            if last is None:
+                raise ValueError(f"{name} was finished and is not any more")
+            for i in range(first, last, SLICE):
+                part = (name, length, i, min(last, i + SLICE))
+                if held and total + part[3] - i > SLICE:
+                    out.append(Pieces(tuple(held)))
+                    held, total = [], 0
+                held.append(part)
+                total += part[3] - i
+        return [*out, Pieces(tuple(held))] if held else out
+
+    def read(self, partition: Pieces) -> Iterator[pa.RecordBatch]:
+        for name, length, first, end in partition.parts:
+            with self.opened(name) as f:
+                yield from self.frames.frame_rows(f, f"{self.path}/{name}", length, first, end)
 
 
 class Camera(DataSource):

@@ -5,8 +5,7 @@ mixed in the logistic domain from several hashed-context predictors, with weight
 refined by a table indexed by gate and mixed logit.
 
 *Words.* A Huffman code of the training words has a leaf for each frequent word (``FREQUENT`` at most, none that occurs once) and two for all others:
-"new in this text" and "again". One decision is one node of the code's tree. The first ``HEAD`` decisions of every word are mixed; below them the
-word's share of its subtree's count is its probability. Predictors of a decision: the node alone; the previous word; the endings of the two
+"new in this text" and "again". One decision is one node of the code's tree, and every decision of every word is mixed. Predictors of a decision: the node alone; the previous word; the endings of the two
 previous words; and the text's own earlier decisions at this node, which are counted online, decision by decision. A word that comes again
 costs its share of the text's earlier rare words.
 
@@ -18,7 +17,9 @@ word of the corpus and joined to the texts.
 slot the one counted most keeps it. Tables and word counts grow with the corpus's distinct words and nothing caps them; at most the
 tables, ``FREQUENT`` words and their code are sent to the workers. Weights and refining tables learn online over all
 training texts (letters: over all distinct training words), a mini-batch at a time, each decision predicted before it is learnt
-from and without its own count in its slots; tasks learn side by side and their results are averaged by decisions.
+from and without its own count in its slots. Rows are dealt by a hash of their content into groups of about ``GROUP_TOKENS`` tokens (``GROUP_WORDS``
+words for letters) that are learnt from side by side, each in an order of its own; their results are averaged by decisions in whole numbers. So
+neither the input's partitions nor a task that runs again change a score.
 
 *Scoring* is online too: beside the online counts each text adapts the weights to itself by gradient steps after its first
 ``FIRST_BLOCK`` words and after blocks that double in length. ``score`` is the log10 probability that the model gives the text,
@@ -37,7 +38,7 @@ import heapq
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +49,6 @@ from pyspark.sql import functions as F
 from foliant.llm.common import crc_of_id, discard, map_arrow, spread, staged, table
 
 FREQUENT = 1 << 16
-HEAD = 7
 NEW, AGAIN = 0, 1
 LETTERS = 4
 LEAST_BITS = 18
@@ -58,12 +58,14 @@ WORD_SLOTS_A_WORD = (1, 1)
 BLOCK_BITS = 16
 FLUSH = 200_000
 KEYS = 1 << 23
-SLICE, TEXTS = 1 << 17, 256
+SLICE, TEXTS = 1 << 16, 256
+#: What one mixer learns from in a row, and how finely its sums are kept.
+GROUP_TOKENS, GROUP_WORDS, UNIT = 1 << 18, 1 << 15, 1 << 16
 FIRST_BLOCK = 32
 OWN_STEP = 0.5
 _rng = np.random.default_rng(7)
 _odd = lambda n: _rng.integers(0, 1 << 64, n, np.uint64) | np.uint64(1)
-ODD, NODE_MIX, POWERS = _odd(8), _odd(512), _odd(64)
+ODD, POWERS = _odd(8), _odd(64)
 
 #: Counts are kept as a byte: exact up to 32, then 16 steps for each doubling.
 VALUES = np.concatenate([np.arange(33.0), 32 * 2 ** (np.arange(1, 224) / 16)]).astype(np.float32)
@@ -83,6 +85,10 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def node_hashes(nodes: int) -> np.ndarray:
+    return mixed(mixed(np.arange(1, nodes + 1, dtype=np.uint64) * ODD[1]) * ODD[2])
+
+
 def place(h: np.ndarray, bits: int, start: int) -> tuple[np.ndarray, np.ndarray]:
     """Slot and check (1 to 255) of a well-mixed hash."""
     return (h >> np.uint64(64 - bits)).astype(np.int64) + start, np.maximum((h >> np.uint64(16)).astype(np.uint8), 1)
@@ -284,24 +290,58 @@ class Mixer:
         self.hits += np.bincount(cell, weights=bit, minlength=len(self.hits))
         self.total += np.bincount(cell, minlength=len(self.hits))
 
-    def rows(self) -> pa.RecordBatch:
-        """part, at, value: what a task learnt, as sums over tasks."""
-        parts = [self.w * self.done, self.done, self.hits, self.total]
-        cols = [np.repeat(range(4), [x.size for x in parts]), np.concatenate([np.arange(x.size) for x in parts]), np.concatenate([x.ravel() for x in parts])]
-        return batch_of(cols, [pa.int32(), pa.int32(), pa.float64()], ["part", "at", "value"])
+    def sums(self) -> np.ndarray:
+        """What was learnt, as whole numbers that add up over groups in any order."""
+        parts = [(self.w * self.done).ravel(), self.done, self.hits, self.total]
+        return np.rint(np.concatenate(parts) * UNIT).astype(np.int64)
 
     @classmethod
     def averaged(cls, rows: DataFrame, inputs: int) -> Mixer:
-        """Of the tasks' rows; the driver gets a few thousand sums, whatever the corpus."""
+        """Of the tasks' rows(at, value); the driver gets a few thousand sums, whatever the corpus."""
         out = cls(inputs)
-        into = [np.zeros(out.w.size), out.done, out.hits, out.total]
-        for r in rows.groupBy("part", "at").agg(F.sum("value").alias("value")).collect():
-            into[r["part"]][r["at"]] = r["value"]
+        flat = np.zeros(out.w.size + len(out.done) + 2 * len(out.hits))
+        for r in rows.groupBy("at").agg(F.sum(F.col("value").cast("decimal(20,0)")).alias("value")).collect():
+            flat[r["at"]] = int(r["value"]) / UNIT
+        w, out.done, out.hits, out.total = np.split(flat, np.cumsum([out.w.size, len(out.done), len(out.hits)]))
         known = out.done > 0
-        out.w[:, known] = (into[0].reshape(out.w.shape)[:, known] / out.done[known]).astype(np.float32)
+        out.w[:, known] = (w.reshape(out.w.shape)[:, known] / out.done[known]).astype(np.float32)
         return out
 
 
+def in_groups(rows: DataFrame, groups: int) -> DataFrame:
+    """group and value of rows(value), each group whole in one partition and in an order that only the values decide."""
+    dealt = rows.withColumn("h", F.xxhash64("value")).withColumn("group", F.pmod("h", F.lit(groups)))
+    return dealt.repartition("group").sortWithinPartitions("group", "h", "value").select("group", "value")
+
+
+def blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, list[bytes]]]:
+    """(group, values) of rows that stand by group: cut where their bytes reach ``most``, wherever batches end."""
+    group, held, size = None, [], 0
+    for batch in batches:
+        for g, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if held and (g != group or size >= most):
+                yield group, held
+                held, size = [], 0
+            group = g
+            held.append(v)
+            size += len(v) + 1
+    if held:
+        yield group, held
+
+
+def learnt(batches: Iterator[pa.RecordBatch], inputs: int, most: int, feed: Callable[[Mixer, list[bytes]], None]) -> Iterator[pa.RecordBatch]:
+    """at, value: sums over a task's groups; every group begins with a new mixer."""
+    total, mixer, last = 0, None, None
+    for group, values in blocks(batches, most):
+        if mixer is None or group != last:
+            total = total + mixer.sums() if mixer else total
+            mixer, last = Mixer(inputs), group
+        feed(mixer, values)
+    if mixer:
+        total = total + mixer.sums()
+        yield batch_of([np.arange(len(total)), total], [pa.int32(), pa.int64()], ["at", "value"])
+
+
 # -- letters ------------------------------------------------------------------------------------
 
 
@@ -323,6 +363,7 @@ class Speller:
     def __init__(self, code: Code, bits: tuple[int, ...]):
         self.code, self.bits = code, bits
         self.starts = np.cumsum([0, *(1 << b for b in bits)])
+        self.mix = node_hashes(code.nodes)
 
     def decisions(self, words: list[bytes]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
         """(slot, check) for each context, bits, and the number of decisions of each word."""
@@ -342,7 +383,7 @@ class Speller:
             if k not in (1, 4):
                 context.append(so_far)
         rep, node, bit, per = self.code.spell(x)
-        mix = NODE_MIX[node]
+        mix = self.mix[node]
         found = []
         for k, c in enumerate([*context, whole]):
             h = mixed(mixed(c * ODD[k])[rep] + mix)
@@ -367,6 +408,7 @@ class Speech:
     def __init__(self, code: Code, words: list[bytes], bits: tuple[int, ...]):
         self.code, self.bits = code, bits
         self.starts = np.cumsum([code.nodes, *(1 << b for b in bits)])
+        self.mix = node_hashes(code.nodes)
         self.ending = np.array([0, 1, *(zlib.crc32(w[-2:]) % 4093 + 2 for w in words)], np.uint64)
         self.last = words.index(b"") + 2 if b"" in words else NEW
 
@@ -381,7 +423,7 @@ class Speech:
         one[fresh] = self.last
         two[fresh] = self.last
         two[(fresh + 1)[fresh + 1 < len(ids)]] = self.last
-        mix = NODE_MIX[node]
+        mix = self.mix[node]
         found = []
         for k, c in enumerate((one.astype(np.uint64), self.ending[one] << np.uint64(13) | self.ending[two])):
             h = mixed((c + np.uint64(1)) * ODD[k + 5])[rep]
@@ -403,8 +445,9 @@ class Own:
     def before(self, text: np.ndarray, node: np.ndarray, bit: np.ndarray, goes_on: bool) -> tuple[np.ndarray, np.ndarray]:
         """text: of each decision, below ``TEXTS``. ``goes_on``: the slice is part of one long text, and not its last."""
         n = len(node)
-        key = (text << 8 | node).astype(np.uint16)
-        order = np.argsort(key, kind="stable")
+        key = text.astype(np.int64) * self.nodes + node
+        order = np.argsort((key & 0xFFFF).astype(np.uint16), kind="stable")  # two passes by 16 bits
+        order = order[np.argsort((key >> 16)[order].astype(np.uint16), kind="stable")]
         ordered, b = key[order], bit[order]
         ones = np.cumsum(b, dtype=np.int32) - b
         opens = np.flatnonzero(np.concatenate([np.ones(min(n, 1), bool), ordered[1:] != ordered[:-1]]))
@@ -634,9 +677,8 @@ def tokenised(docs: DataFrame, often: dict[bytes, int], code: Code) -> DataFrame
     return staged(map_arrow(docs.select("id", "text", "teaches"), run, schema).withColumn("row", F.monotonically_increasing_id()), "tokens")
 
 
-def flat_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All symbols of a batch's texts, and each text's number."""
-    texts = column.to_pylist()
+def flat_ids(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All symbols of texts, and each text's number."""
     return np.frombuffer(b"".join(texts), np.int32).astype(np.int64), np.fromiter(map(len, texts), np.int64, len(texts)) // 4
 
 
@@ -665,18 +707,15 @@ def train_letters(words: DataFrame, distinct: int) -> tuple[Speller, Table, Mixe
     table = filled(map_arrow(words.select("word"), count, "block int, data binary", rows=1 << 16), int(speller.starts[-1]))
     sent = sc.broadcast(table)
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer = Mixer(LETTERS)
-        for batch in batches:
-            held = batch.column(0).to_pylist()
-            for i, j in slices(held):
-                st, gate, bit, _ = speller.predict(sent.value, held[i:j], own=True)
-                for k in range(0, len(bit), 8192):
-                    s = slice(k, k + 8192)
-                    mixer.learn(st[:, s], gate[s], bit[s].astype(np.float32))
-        yield mixer.rows()
-
-    mixer = Mixer.averaged(map_arrow(words.select("word"), learn, "part int, at int, value double"), LETTERS)
+    def feed(mixer: Mixer, held: list[bytes]) -> None:
+        for i, j in slices(held):
+            st, gate, bit, _ = speller.predict(sent.value, held[i:j], own=True)
+            for k in range(0, len(bit), 8192):
+                s = slice(k, k + 8192)
+                mixer.learn(st[:, s], gate[s], bit[s].astype(np.float32))
+
+    rows = in_groups(words.select(F.col("word").alias("value")), distinct // GROUP_WORDS + 1)
+    mixer = Mixer.averaged(map_arrow(rows, lambda x: learnt(x, LETTERS, 1 << 16, feed), "at int, value long"), LETTERS)
     sent.destroy()
     return speller, table, mixer
 
@@ -684,7 +723,7 @@ def train_letters(words: DataFrame, distinct: int) -> tuple[Speller, Table, Mixe
 def code_of_words(often: dict[bytes, int], total: int) -> Code:
     """Rare words are taken to come again one time in eight; what they do is counted at the code's nodes."""
     others = max(total - sum(often.values()), 0)
-    return Code(np.array([others - others // 8 + 1, others // 8 + 1, *often.values()]), HEAD)
+    return Code(np.array([others - others // 8 + 1, others // 8 + 1, *often.values()]))
 
 
 def train_words(tokens: DataFrame, often: dict[bytes, int], code: Code, distinct: int) -> tuple[Speech, Table, Mixer]:
@@ -697,7 +736,7 @@ def train_words(tokens: DataFrame, often: dict[bytes, int], code: Code, distinct
         alone = np.zeros(2 * code.nodes, np.int64)
         keys, size = [], 0
         for batch in batches:
-            ids, sizes = flat_ids(batch.column(0))
+            ids, sizes = flat_ids(batch.column(0).to_pylist())
             begin = np.cumsum(sizes) - sizes
             for at in range(0, len(ids), SLICE):
                 end = min(at + SLICE, len(ids))
@@ -721,16 +760,17 @@ def train_words(tokens: DataFrame, often: dict[bytes, int], code: Code, distinct
     table = filled(map_arrow(taught, count, "block int, data binary"), int(speech.starts[-1]))
     sent = sc.broadcast(table)
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, reader = Mixer(4), Reader(speech, sent.value)
-        for batch in batches:
-            for _, _, _, _, _, st, gate, bit, _ in reader.slices(*flat_ids(batch.column(0)), own=True):
-                for k in range(0, len(bit), 16384):
-                    s = slice(k, k + 16384)
-                    mixer.learn(st[:, s], gate[s], bit[s].astype(np.float32))
-        yield mixer.rows()
-
-    mixer = Mixer.averaged(map_arrow(taught, learn, "part int, at int, value double"), 4)
+    def feed(mixer: Mixer, texts: list[bytes]) -> None:
+        reader = Reader(speech, sent.value)
+        ids, sizes = flat_ids(texts)
+        for _, _, _, _, _, st, gate, bit, _ in reader.slices(ids, sizes, own=True):
+            for k in range(0, len(bit), 16384):
+                s = slice(k, k + 16384)
+                mixer.learn(st[:, s], gate[s], bit[s].astype(np.float32))
+
+    groups = (tokens.filter("teaches").agg(F.sum("n_tokens")).first()[0] or 0) // GROUP_TOKENS + 1
+    rows = in_groups(taught.select(F.col("ids").alias("value")), groups)
+    mixer = Mixer.averaged(map_arrow(rows, lambda x: learnt(x, 4, 4 * SLICE, feed), "at int, value long"), 4)
     sent.destroy()
     return speech, table, mixer
 
@@ -764,7 +804,7 @@ def said(tokens: DataFrame, speech: Speech, table: Table, mixer: Mixer) -> DataF
         speech, table, mixer = sent.value
         scorer = Scorer(Reader(speech, table), mixer)
         for batch in batches:
-            ln = scorer.texts(*flat_ids(batch.column(len(names))))
+            ln = scorer.texts(*flat_ids(batch.column(len(names)).to_pylist()))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(ln, pa.float64())], [*names, "ln"])
 
     picked = tokens.select(*names, "ids")

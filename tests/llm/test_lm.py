@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,9 +173,8 @@ def test_score_equals_the_plain_version(spark, monkeypatch):
     words = spark.createDataFrame([(bytearray(w),) for w in counts if w], "word binary")
     speller, _, letter_mixer = lm.train_letters(words, len(counts))
     plain = Plain(taught, often, code, speech, speller.code)
-    # tasks learn side by side, so weights depend a little on how rows are dealt out
     for i, t in enumerate(texts):
-        assert math.isclose(got[i].score, plain.score(t, mixer, letter_mixer), rel_tol=0.03, abs_tol=0.05), i
+        assert math.isclose(got[i].score, plain.score(t, mixer, letter_mixer), rel_tol=1e-4), i
 
 
 def texts_of(n):
@@ -279,13 +279,41 @@ def test_held_out_bits(rows, scored):
     """The model's own bits on texts that it hasn't seen: less than a byte-wise mixture of training letters, and few scores repeat the base."""
     size = {r.doc_id: sum(len(w) + 1 for w in tokens(r.text)) for r in rows}
     held = [i for i in size if is_held(i)]
-    assert -sum(scored[i].score for i in held) / math.log10(2) < 2.5 * sum(size[i] for i in held)
+    assert -sum(scored[i].score for i in held) / math.log10(2) < 2.2 * sum(size[i] for i in held)
     for i, o in scored.items():
         assert math.isclose(o.score, -o.bits_per_byte * size[i] * math.log10(2), rel_tol=1e-9)
     gaps = Counter(round(o.score - o.base_score, 2) for o in scored.values())
     assert max(gaps.values()) < 0.05 * len(scored)
 
 
+def test_held_out_score_against_the_base(spark, sf):
+    """The base is no proper code: it gives each of any number of new words one share, so on few texts it lies ahead. On a tenth of
+    sf0.1 the model has to come within 2 %."""
+    docs = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    out = lm.score(docs, ~lm.held_out()).filter(lm.held_out()).agg(F.sum("score"), F.sum("base_score")).first()
+    assert out[0] > 1.02 * out[1]
+
+
+def test_partitions_change_no_score(docs, scored):
+    for dealt in (docs.repartition(11), docs.repartitionByRange(3, F.desc("text"))):
+        got = {r.doc_id: r.score for r in lm.score(dealt, ~lm.held_out()).collect()}
+        assert set(got) == set(scored) and all(math.isclose(got[i], scored[i].score, rel_tol=1e-9) for i in got)
+
+
+def test_groups_are_learnt_apart_and_whole(spark, monkeypatch):
+    """Several groups: the same sums from any partitions, and groups cut alike wherever batches end."""
+    monkeypatch.setattr(lm, "GROUP_WORDS", 100)
+    words = [(bytearray(b"w%d" % (k * k)),) for k in range(1000)]
+    of = lambda n: lm.train_letters(spark.createDataFrame(words, "word binary").repartition(n), 1000)[2]
+    one, five = of(1), of(5)
+    assert (one.w == five.w).all() and (one.hits == five.hits).all() and one.done.sum() > 0
+    pieces = lambda cuts: [pa.RecordBatch.from_arrays([pa.array(g), pa.array(v)], ["g", "v"]) for g, v in cuts]
+    whole = [([1, 1, 1, 2, 2], [b"aa", b"bb", b"cc", b"dd", b"ee"])]
+    parts = [([1], [b"aa"]), ([1, 1, 2], [b"bb", b"cc", b"dd"]), ([2], [b"ee"])]
+    want = [(1, [b"aa", b"bb"]), (1, [b"cc"]), (2, [b"dd", b"ee"])]
+    assert list(lm.blocks(pieces(whole), 6)) == list(lm.blocks(pieces(parts), 6)) == want
+
+
 def test_score_depends_on_word_order(spark, rows):
     texts = [" ".join((r.text or "").split()[:200]) for r in rows[:60]]
     data = [(i, t, True) for i, t in enumerate(texts)] + [(1000 + i, " ".join(sorted(t.split())), False) for i, t in enumerate(texts)]

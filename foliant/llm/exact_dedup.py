@@ -139,13 +139,13 @@ def insert(index: Index, docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 def lookup(index: Index, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id_col, keep_id, group_size, kept, text_sha256; without an entry, keep_id is null and group_size 0."""
-    rows = fingerprints(docs, id_col, text_col).select("id", "key", F.sha2("norm", 256).alias("sha"))
+    rows = fingerprints(docs, id_col, text_col).select("id", "key", F.sha2("norm", 256).alias("sha"), F.monotonically_increasing_id().alias("row"))
     entries = index.entries()
     hot = entries.filter(F.col("group_size") * HOT_SHARE > index.rows).select("key", "sha", F.col("keep_id").alias("hot_id"), F.col("group_size").alias("hot_size"))
     rows = index.placed(rows).join(F.broadcast(hot), ["key", "sha"], "left")
-    # rows of hot texts have their answer: they go anywhere and match nothing
+    # rows of hot texts have their answer: they go anywhere, whatever their id, and match nothing
     found = F.col("hot_size").isNotNull()
-    rows = rows.withColumns({"to": F.when(found, F.xxhash64("id")).otherwise(F.col("key")), "of": F.when(~found, F.col("sha"))})
+    rows = rows.withColumns({"to": F.when(found, F.xxhash64("row")).otherwise(F.col("key")), "of": F.when(~found, F.col("sha"))})
     cold = index.placed(entries).select("bucket", F.col("key").alias("to"), F.col("sha").alias("of"), "keep_id", "group_size")
     return rows.join(cold, ["bucket", "to", "of"], "left").select(
         F.col("id").alias(id_col),

@@ -102,10 +102,12 @@ def buckets_of(sig: np.ndarray) -> np.ndarray:
     return mixed(total).view(np.int64)
 
 
-def salted_join(many: DataFrame, one: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
-    """many joined to ``one`` (one row for each key), with the rows of a key dealt out by ``by`` over ``SALTS`` tasks."""
-    many = many.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
-    wanted = many.select(key, "_salt").distinct()
+def salted_join(many: DataFrame, one: DataFrame, key: str, by: str, how: str = "inner", pairs: DataFrame | None = None) -> DataFrame:
+    """many joined to ``one``, with the rows of a key dealt out by ``by`` over ``SALTS`` tasks. pairs: a smaller table with
+    the same pairs of key and by."""
+    salt = F.pmod(F.xxhash64(by), F.lit(SALTS)).alias("_salt")
+    wanted = (many if pairs is None else pairs).select(key, salt).distinct()
+    many = many.withColumn("_salt", salt)
     return many.join(wanted.join(one, key), [key, "_salt"], how).drop("_salt")
 
 
@@ -133,6 +135,12 @@ def sign(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     return map_arrow(picked, run, f"id {kind}, n_shingles long, set_key binary, sig binary, keys array<long>")
 
 
+def on_both(pairs: DataFrame, of: DataFrame, value: str, names: tuple[str, str]) -> DataFrame:
+    """pairs (a, b) with the value of each side under its name. A node of many pairs is dealt out on either side. of: id, value."""
+    left, right = (of.select(F.col("id").alias(side), F.col(value).alias(name)) for side, name in zip("ab", names))
+    return salted_join(salted_join(pairs, left, "a", "b"), right, "b", "a", pairs=pairs).select("a", "b", *names)
+
+
 def likely(pairs: DataFrame, threshold: float) -> DataFrame:
     """a, b of the pairs (a, b, sig_a, sig_b) that their signatures don't rule out."""
     least = threshold - SLACK
@@ -162,9 +170,7 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(v, pa.int64()) for v in (na, nb, common)]], ["a", "b", "na", "nb", "common"])
 
     kind = pairs.schema["a"].dataType.simpleString()
-    repeated = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-    both = salted_join(pairs, repeated, "a", "b").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    return map_arrow(both.select("a", "b", "x", "y"), run, f"a {kind}, b {kind}, na long, nb long, common long")
+    return map_arrow(on_both(pairs, sets, "shingles", ("x", "y")), run, f"a {kind}, b {kind}, na long, nb long, common long")
 
 
 def reaching(found: DataFrame, percent: int) -> DataFrame:
@@ -222,10 +228,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = nodes.select("node", F.explode("keys").alias("key"))
     shared = staged(placed.join(buckets, "key").select("key", "node", "head"), "shared-buckets")
     stars = shared.select(F.col("head").alias("a"), F.col("node").alias("b")).filter("a <> b").distinct()
-    sigs = nodes.select("node", "sig").join(shared.select("node").distinct(), "node", "left_semi")
+    sigs = nodes.select(F.col("node").alias("id"), "sig").join(shared.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
     sigs = staged(sigs, "signatures")
-    sig_a, sig_b = (sigs.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
-    first = staged(likely(salted_join(stars, sig_a, "a", "b").join(sig_b, "b"), percent / 100), "likely")
+    stars = staged(stars, "bucket-stars")
+    first = staged(likely(on_both(stars, sigs, "sig", ("sig_a", "sig_b")), percent / 100), "likely")
 
     wanted = shared.select(F.col("node").alias("_node")).distinct()
     texts = docs.join(wanted, F.col(id_col) == F.col("_node"), "left_semi").select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -247,11 +253,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     discard(before)
     again = staged(members_of_mixed(mixed_buckets, labels), "mixed-buckets")
     across = crossing_pairs(again, stats, centred, to_centre, percent).join(first, ["a", "b"], "left_anti")
-    second = staged(likely(salted_join(across, sig_a, "a", "b").join(sig_b, "b"), percent / 100), "likely-across")
+    across = staged(across, "across")
+    second = staged(likely(on_both(across, sigs, "sig", ("sig_a", "sig_b")), percent / 100), "likely-across")
     more = staged(reaching(overlaps(second, sets), percent), "links-across")
     if not more.isEmpty():
         labels = extended(labels, more)
-    discard(shared, first, second, every_set, repeated_sets, sigs, mixed_buckets, again, stats, centred, to_centre, links, more)
+    discard(shared, stars, across, first, second, every_set, repeated_sets, sigs, mixed_buckets, again, stats, centred, to_centre, links, more)
 
     of_set = nodes.select("set_key", "node").join(labels, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
     joined = salted_join(signed.select("id", "n_shingles", "set_key").withColumn("_n", F.monotonically_increasing_id()), of_set, "set_key", "_n", "left")

@@ -73,6 +73,24 @@ def test_exact_dedup_hot_text(spark):
     assert got[1] == (2999, 2000, False) and got[2999] == (2999, 2000, True) and got[0] == (0, 1, True)
 
 
+def test_exact_dedup_hot_text_without_ids(spark):
+    """Rows without an id of a hot text are dealt out over tasks, and each has its answer."""
+    rows = [(None if i % 3 else i, "Hot" if i % 3 else f"own {i}", "en", "s", 0) for i in range(3000)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(4)
+    index = exact_dedup.insert(exact_dedup.Index(spark), docs)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        found = exact_dedup.lookup(index, docs)
+        assert found.filter("doc_id IS NULL").groupBy("keep_id", "group_size", "kept").count().collect() == [(None, 2000, True, 2000)]
+        where = found.filter("doc_id IS NULL").groupBy(F.spark_partition_id()).count().collect()
+        assert max(r["count"] for r in where) < 1500
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+
+
 def reference_jump(key, n):
     b, j = -1, 0
     while j < n:

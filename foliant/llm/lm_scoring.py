@@ -46,7 +46,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import crc_of_id, discard, map_arrow, spread, staged, table
+from foliant.llm.common import crc_of_id, discard, map_arrow, shuffles_removed, spread, staged, table
 
 FREQUENT = 1 << 16
 NEW, AGAIN = 0, 1
@@ -181,6 +181,15 @@ def batch_of(cols: list, kinds: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Numbers of 32 bits by significance of their bytes: most high bytes are 0, which compresses well."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def block_rows(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Sorted keys and their counts as rows (block, data)."""
     shift = np.uint64(BLOCK_BITS + 9)
@@ -190,7 +199,7 @@ def block_rows(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(k):
             block.append(int(k[0] >> shift))
             low = (k & ((np.uint64(1) << shift) - np.uint64(1))).astype(np.uint32)
-            data.append(pack(np.diff(low, prepend=np.uint32(0)).tobytes() + m.astype(np.uint32).tobytes()))
+            data.append(pack(planes(np.concatenate([np.diff(low, prepend=np.uint32(0)), m.astype(np.uint32)]))))
     for i in range(0, len(block), 64):
         yield batch_of([block[i : i + 64], data[i : i + 64]], [pa.int32(), pa.binary()], ["block", "data"])
 
@@ -208,7 +217,7 @@ def filled(parts: DataFrame, slots: int) -> Table:
         pack, unpack = zstandard.ZstdCompressor(1).compress, zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                both = np.frombuffer(unpack(raw), np.uint32).reshape(2, -1)
+                both = from_planes(unpack(raw)).reshape(2, -1)
                 held.setdefault(block, []).append((np.cumsum(both[0], dtype=np.uint32), both[1]))
                 size[block] += both.shape[1]
                 if size[block] > 1 << 20 and len(held[block]) > 8:
@@ -300,8 +309,9 @@ class Mixer:
         """Of the tasks' rows(at, value); the driver gets a few thousand sums, whatever the corpus."""
         out = cls(inputs)
         flat = np.zeros(out.w.size + len(out.done) + 2 * len(out.hits))
-        for r in rows.groupBy("at").agg(F.sum(F.col("value").cast("decimal(20,0)")).alias("value")).collect():
-            flat[r["at"]] = int(r["value"]) / UNIT
+        with shuffles_removed(rows.sparkSession):
+            for r in rows.groupBy("at").agg(F.sum(F.col("value").cast("decimal(20,0)")).alias("value")).collect():
+                flat[r["at"]] = int(r["value"]) / UNIT
         w, out.done, out.hits, out.total = np.split(flat, np.cumsum([out.w.size, len(out.done), len(out.hits)]))
         known = out.done > 0
         out.w[:, known] = (w.reshape(out.w.shape)[:, known] / out.done[known]).astype(np.float32)
@@ -829,8 +839,10 @@ def score(docs: DataFrame, teaches: Column, id_col: str = "doc_id", text_col: st
     hit = pieces.join(costs, "word").groupBy("row").agg(
         F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("more_known"), F.sum("cost").alias("cost")
     )
+    hit = staged(hit, "rare-words")
+    discard(counts, costs)
     full = staged(said(tokens, *train_words(tokens, often, code, distinct)).join(hit, "row", "left"), "scored")
-    discard(counts, tokens, costs)
+    discard(tokens, hit)
     lowest = math.log10(total + distinct + 1) if total else None
     none = F.lit(0.0)
     result = (F.col("ln") + F.col("fixed") + F.coalesce("cost", none)) / math.log(10)

@@ -204,10 +204,10 @@ def block_rows(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield batch_of([block[i : i + 64], data[i : i + 64]], [pa.int32(), pa.binary()], ["block", "data"])
 
 
-def filled(parts: DataFrame, slots: int) -> Table:
+def filled(parts: DataFrame, slots: int, out: Table | None = None) -> Table:
     """Sums the rows (block, data) by key, gives each slot to its heaviest context, and brings the table to the driver.
 
-    The table has ``slots`` slots, set by the number of distinct words; tasks sum the blocks.
+    The table has ``slots`` slots, set by the number of distinct words; tasks sum the blocks. ``out``: a table that holds other slots already.
     """
     width = 1 << BLOCK_BITS
 
@@ -236,10 +236,10 @@ def filled(parts: DataFrame, slots: int) -> Table:
             yield batch_of([[block], [pack(cells.tobytes())]], [pa.int32(), pa.binary()], ["block", "data"])
 
     merged = staged(map_arrow(parts.repartition("block"), merge, "block int, data binary"), "slots")
-    out = Table(-(-slots // width) * width)
+    out = out or Table(-(-slots // width) * width)
     unpack = zstandard.ZstdDecompressor().decompress
     for r in merged.toLocalIterator():
-        out.held[r["block"] * width :][:width] = np.frombuffer(unpack(bytes(r["data"])), np.uint32)
+        out.held[r["block"] * width :][:width] |= np.frombuffer(unpack(bytes(r["data"])), np.uint32)
     discard(merged)
     return out
 
@@ -422,8 +422,8 @@ class Speech:
         self.ending = np.array([0, 1, *(zlib.crc32(w[-2:]) % 4093 + 2 for w in words)], np.uint64)
         self.last = words.index(b"") + 2 if b"" in words else NEW
 
-    def decisions(self, ids: np.ndarray, before: tuple[int, int], fresh: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Token, node and bit of all decisions, and slot and check in the two contexts across words.
+    def decisions(self, ids: np.ndarray, before: tuple[int, int], fresh: np.ndarray, which: tuple[int, ...] = (0, 1)) -> tuple[np.ndarray, ...]:
+        """Token, node and bit of all decisions, and slot and check in those (``which``) of the two contexts across words.
 
         fresh: the tokens that begin a text; ``before``: the two words before the first token.
         """
@@ -435,7 +435,8 @@ class Speech:
         two[(fresh + 1)[fresh + 1 < len(ids)]] = self.last
         mix = self.mix[node]
         found = []
-        for k, c in enumerate((one.astype(np.uint64), self.ending[one] << np.uint64(13) | self.ending[two])):
+        for k in which:
+            c = self.ending[one] << np.uint64(13) | self.ending[two] if k else one.astype(np.uint64)
             h = mixed((c + np.uint64(1)) * ODD[k + 5])[rep]
             h += mix
             h *= ODD[k + 3]
@@ -742,7 +743,7 @@ def train_words(tokens: DataFrame, often: dict[bytes, int], code: Code, distinct
     speech = Speech(code, list(often), slot_bits(WORD_SLOTS_A_WORD, distinct))
     taught = tokens.filter("teaches").select("ids")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch], which: int) -> Iterator[pa.RecordBatch]:
         alone = np.zeros(2 * code.nodes, np.int64)
         keys, size = [], 0
         for batch in batches:
@@ -754,11 +755,11 @@ def train_words(tokens: DataFrame, often: dict[bytes, int], code: Code, distinct
                 before = (int(ids[at - 2]) if at > 1 else speech.last, int(ids[at - 1]) if at else speech.last)
                 if at and at - 1 in begin:
                     before = (speech.last, before[1])
-                _, node, bit, *found = speech.decisions(ids[at:end], before, starts)
-                alone += np.bincount(node * 2 + bit, minlength=len(alone))
-                for f in found:
-                    keys.append(packed(*f, bit))
-                    size += len(bit)
+                _, node, bit, found = speech.decisions(ids[at:end], before, starts, (which,))
+                if which == 0:
+                    alone += np.bincount(node * 2 + bit, minlength=len(alone))
+                keys.append(packed(*found, bit))
+                size += len(bit)
                 if size >= KEYS:
                     held, keys, size = np.concatenate(keys), [], 0
                     yield from block_rows(*runs(held))
@@ -767,7 +768,10 @@ def train_words(tokens: DataFrame, often: dict[bytes, int], code: Code, distinct
         at = np.flatnonzero(alone)
         yield from block_rows((at.astype(np.uint64) >> np.uint64(1)) << np.uint64(9) | (at & 1).astype(np.uint64), alone[at])
 
-    table = filled(map_arrow(taught, count, "block int, data binary"), int(speech.starts[-1]))
+    # one context after the other, so that only one's counts lie on disk
+    table = None
+    for which in (0, 1):
+        table = filled(map_arrow(taught, lambda x, which=which: count(x, which), "block int, data binary"), int(speech.starts[-1]), table)
     sent = sc.broadcast(table)
 
     def feed(mixer: Mixer, texts: list[bytes]) -> None:

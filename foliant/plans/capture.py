@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliant.functions import pixels
+from foliant.functions import geometry, pixels
 from foliant.functions.hashing import bits_to_words, hash_bits
-from foliant.operators import contours, hash_index
+from foliant.operators import contours, hash_index, matching, page_change
 from foliant.operators.evaluate import progress
 from foliant.plans import fixtures as fx
 from foliant.shipping import ship
@@ -343,3 +343,88 @@ def results_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     start, end = (F.to_timestamp(F.lit(t)) for t in ("2024-01-10 00:00:00", "2024-01-12 12:00:00"))
     found = zones.read_zoned(spark, path, "created_at", start, end)
     return found.groupBy(F.col("user_id").alias("session")).agg(F.count(F.lit(1)).alias("results"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
+
+
+# -- frames against the one before ------------------------------------------------------------------
+
+#: Fixed value of the stand-in: mean difference of grey levels up to which a frame is stable.
+STILL = 70.0
+CHANGES = f"""WITH q AS (
+  SELECT label, vec_id, list_transform(embedding, lambda v: greatest(0, least(255, floor(v::DOUBLE * 512 + 128)))) AS px FROM embeddings
+), n AS (
+  SELECT label, vec_id, px, lag(px) OVER (PARTITION BY label ORDER BY vec_id) AS before FROM q)
+SELECT label, vec_id, CASE WHEN before IS NULL THEN 'unknown'
+  WHEN list_sum(list_transform(list_zip(px, before), lambda z: abs(z[1] - z[2]))) / 64 <= {STILL} THEN 'stable' ELSE 'moving' END AS state FROM n"""
+
+
+def _grey(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """label, vec_id, levels: vectors as 8 x 8 images of whole grey levels."""
+    level = lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(v.cast("double") * 512 + 128))).cast("int")
+    return fx.table(spark, sf_dir, "embeddings").select("label", "vec_id", F.transform("embedding", level).alias("levels"))
+
+
+@query(CHANGES)
+def page_change_backend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plugged-in detector over each label's frames in order."""
+    raw = F.unhex(F.array_join(F.transform("levels", lambda v: F.lpad(F.hex(v), 2, "0")), ""))
+    frames = _grey(spark, sf_dir).select("label", "vec_id", raw.alias("pixels"), *[F.lit(n).alias(c) for c, n in (("width", 8), ("height", 8), ("channels", 1))])
+    return page_change.page_changes(frames, lambda: page_change.FrameDifference(STILL), ["label"], ["vec_id"])
+
+
+@query(CHANGES)
+def page_change_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same states as columns, sessions of any size split by ranges."""
+    return page_change.frame_changes(_grey(spark, sf_dir), ["label"], ["vec_id"], "levels", STILL)
+
+
+# -- quadrilaterals of every shape, positions and fallbacks --------------------------------------------
+
+
+@query("""WITH q AS (
+  SELECT p_partkey, p_partkey % 4 AS shape, 10.0::DOUBLE + p_size AS w, 5.0::DOUBLE + p_partkey % 37 AS h FROM part
+), c AS (
+  SELECT p_partkey, CASE shape
+    WHEN 0 THEN [[0, 0], [w, 0], [w, h], [0, h]]
+    WHEN 1 THEN [[0, 0], [w, h], [w, 0], [0, h * 2]]
+    WHEN 2 THEN [[0, 0], [w, 0], [w / 4, h / 4], [0, h]]
+    ELSE [[0, 0], [w, 0], [w + 3, h], [w, h + p_partkey % 3 - 1]] END AS p FROM q
+), s AS (
+  SELECT p_partkey, sign((p[2][1] - p[1][1]) * (p[3][2] - p[2][2]) - (p[2][2] - p[1][2]) * (p[3][1] - p[2][1])) AS t1,
+    sign((p[3][1] - p[2][1]) * (p[4][2] - p[3][2]) - (p[3][2] - p[2][2]) * (p[4][1] - p[3][1])) AS t2,
+    sign((p[4][1] - p[3][1]) * (p[1][2] - p[4][2]) - (p[4][2] - p[3][2]) * (p[1][1] - p[4][1])) AS t3,
+    sign((p[1][1] - p[4][1]) * (p[2][2] - p[1][2]) - (p[1][2] - p[4][2]) * (p[2][1] - p[1][1])) AS t4,
+    abs((p[1][1] * p[2][2] - p[2][1] * p[1][2]) + (p[2][1] * p[3][2] - p[3][1] * p[2][2]) + (p[3][1] * p[4][2] - p[4][1] * p[3][2]) + (p[4][1] * p[1][2] - p[1][1] * p[4][2])) / 2 AS area FROM c)
+SELECT p_partkey, round(area, 4) AS area, t1 = t2 AND t2 = t3 AND t3 = t4 AND t1 <> 0 AS convex, t1 = t2 AND t2 = t3 AND t3 = t4 AND t1 <> 0 AND area >= 500 AS valid FROM s""")
+def quad_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rectangles, crossed, dented and slanted quadrilaterals: only simple convex ones of a tenth of the frame are valid."""
+    p = fx.table(spark, sf_dir, "part").withColumns({"w": F.col("p_size") + 10.0, "h": F.col("p_partkey") % 37 + 5.0})
+    w, h, o = F.col("w"), F.col("h"), F.lit(0.0)
+    quad = lambda *ps: F.array(*[geometry.point(x, y) for x, y in ps])
+    shape = F.col("p_partkey") % 4
+    pts = F.when(shape == 0, quad((o, o), (w, o), (w, h), (o, h))).when(shape == 1, quad((o, o), (w, h), (w, o), (o, h * 2)))
+    pts = pts.when(shape == 2, quad((o, o), (w, o), (w / 4, h / 4), (o, h))).otherwise(quad((o, o), (w, o), (w + 3, h), (w, h + F.col("p_partkey") % 3 - 1)))
+    q = p.select("p_partkey", pts.alias("pts"))
+    valid = lambda area: geometry.quad_valid(F.col("pts"), F.lit(area))
+    return q.select("p_partkey", F.round(geometry.shoelace(F.col("pts")), 4).alias("area"), valid(0.0).alias("convex"), valid(5000.0).alias("valid"))
+
+
+@query(f"""WITH {fx.BOXES}, l AS (
+  SELECT page, rid, x, y, row_number() OVER (PARTITION BY page ORDER BY rid)::INTEGER AS pos FROM boxes
+), r AS (
+  SELECT page, conf, row_number() OVER (PARTITION BY page ORDER BY rid)::INTEGER AS pos FROM boxes WHERE conf >= 20)
+SELECT page, pos, rid, x, y, conf FROM l JOIN r USING (page, pos)""")
+def positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes and recognised lines of a page put together by position; the longer side's rest has no partner."""
+    b = fx.boxes(spark, sf_dir)
+    at = F.row_number().over(W.partitionBy("page").orderBy("rid")).alias("pos")
+    return matching.zip_positions(b.select("page", "rid", "x", "y", at), b.filter("conf >= 20").select("page", "conf", at), "page", "pos")
+
+
+@query("""SELECT event_id, CASE WHEN event_type <> 'error' AND value >= 50 THEN 'first' WHEN value IS NOT NULL AND event_id % 3 > 0 THEN 'second' WHEN event_id % 2 = 0 THEN 'last' END AS found
+FROM events""")
+def fallback_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of three detectors that found something; null if none did."""
+    first = F.when((F.col("event_type") != "error") & (F.col("value") >= 50), "first")
+    second = F.when(F.col("value").isNotNull() & (F.col("event_id") % 3 > 0), "second")
+    last = F.when(F.col("event_id") % 2 == 0, "last")
+    return fx.table(spark, sf_dir, "events").select("event_id", matching.first_known(first, second, last).alias("found"))

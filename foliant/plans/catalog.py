@@ -471,8 +471,12 @@ def stream_sample_dedup(spark, sf):
     h = fx.hashes(spark, sf).select("vec_id", "words")
     cell = F.floor(F.col("vec_id") / 1024)
     per = h.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("k"))
-    ahead = F.coalesce(F.sum("k").over(W.orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    cells = per.select("cell", ahead.alias("before"))
+    wide = F.floor(F.col("cell") / 1024)
+    before = lambda over: F.coalesce(F.sum("k").over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    # counts run inside a wide cell of 1,024 cells, then over the wide cells: one row for about a million ids in one task
+    inside = per.withColumn("wide", wide).withColumn("inside", before(W.partitionBy("wide").orderBy("cell")))
+    ahead = inside.groupBy("wide").agg(F.sum("k").alias("k")).select("wide", before(W.orderBy("wide")).alias("ahead"))
+    cells = inside.join(ahead, "wide").select("cell", (F.col("ahead") + F.col("inside")).alias("before"))
     placed = h.withColumn("cell", cell).withColumn("at", F.row_number().over(W.partitionBy("cell").orderBy("vec_id")) - 1)
     placed = placed.join(cells, "cell").select((F.col("before") + F.col("at")).alias("place"), "vec_id", "words")
     n = h.count()

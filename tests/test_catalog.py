@@ -45,7 +45,7 @@ def test_query(spark, sf, oracle, name):
         assert [g for g, w in zip(got, want) if g != w][:3] == []
 
 
-@pytest.mark.parametrize("ids", [lambda i: i, lambda i: 3 * i + 5])
+@pytest.mark.parametrize("ids", [lambda i: i, lambda i: 3 * i + 5, lambda i: 5000 * i])
 def test_sample_dedup_uses_every_vector(spark, tmp_path, ids):
     """900 vectors, more than event_id % 500 reaches, all far apart, with and without gaps: each takes part."""
     from datetime import datetime, timedelta

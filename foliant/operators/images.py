@@ -6,6 +6,7 @@ There is no vision library here; contours and their smallest rectangles are in `
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant.operators import contours
+from foliant.shipping import ship
 
 #: Normalisation in 0..255, and for recognition in 0..1.
 IMAGENET_MEAN, IMAGENET_STD = (123.675, 116.28, 103.53), (58.395, 57.12, 57.375)
@@ -163,6 +165,7 @@ def _with(frames: DataFrame, name: str, kind: T.DataType) -> T.StructType:
 
 def detect(frames: DataFrame) -> DataFrame:
     """frames with quad, null where no paper is found; frames without size are dropped before any pixel is read."""
+    ship(frames.sparkSession)
     schema = _with(frames, "quad", QUAD)
     names = ("tl", "tr", "br", "bl")
 
@@ -176,21 +179,39 @@ def detect(frames: DataFrame) -> DataFrame:
 
 def rectify(frames: DataFrame, width: int = 1200, height: int = 1600) -> DataFrame:
     """Frames with a quad, warped to width x height, three channels."""
+    ship(frames.sparkSession)
     schema = frames.drop("quad").schema
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            out = []
-            for r in pdf.itertuples():
-                quad = np.array([[r.quad[k]["x"], r.quad[k]["y"]] for k in ("tl", "tr", "br", "bl")])
-                out.append(warp(image_of(r.pixels, r.width, r.height, r.channels), quad, width, height).tobytes())
+            out = [_flat(r, width, height).tobytes() for r in pdf.itertuples()]
             yield pdf.drop(columns="quad").assign(pixels=out, width=width, height=height, channels=3)
 
     return frames.filter("quad IS NOT NULL").mapInPandas(run, schema)
 
 
+def _flat(frame: Any, width: int, height: int) -> np.ndarray:
+    quad = np.array([[frame.quad[k]["x"], frame.quad[k]["y"]] for k in ("tl", "tr", "br", "bl")])
+    return warp(image_of(frame.pixels, frame.width, frame.height, frame.channels), quad, width, height)
+
+
+def rectified_thumbnails(frames: DataFrame, width: int = 1200, height: int = 1600, side: int = 16) -> DataFrame:
+    """luma of ``thumbnails`` over ``rectify``, with the frames' other columns; the pixels of a page are never handed back."""
+    ship(frames.sparkSession)
+    rest = [f for f in frames.schema.fields if f.name not in ("quad", "pixels", "width", "height", "channels")]
+    schema = T.StructType([*rest, T.StructField("luma", T.ArrayType(T.DoubleType()))])
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            luma = [thumbnail(_flat(r, width, height).astype(float), side).ravel() for r in pdf.itertuples()]
+            yield pdf[[f.name for f in rest]].assign(luma=luma)
+
+    return frames.filter("quad IS NOT NULL").mapInPandas(run, schema)
+
+
 def thumbnails(frames: DataFrame, side: int = 16) -> DataFrame:
     """frames with luma: side * side doubles."""
+    ship(frames.sparkSession)
     schema = _with(frames, "luma", T.ArrayType(T.DoubleType()))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -15,6 +15,7 @@ from foliant.functions.hashing import bits_to_words, hash_bits
 from foliant.operators import contours, hash_index, matching, page_change
 from foliant.operators.evaluate import progress
 from foliant.plans import fixtures as fx
+from foliant.scanner import Scanner
 from foliant.shipping import ship
 from foliant.sources import camera, containers, files, zones
 from foliant.sources.shared import shared_path, spread
@@ -428,3 +429,45 @@ def fallback_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     second = F.when(F.col("value").isNotNull() & (F.col("event_id") % 3 > 0), "second")
     last = F.when(F.col("event_id") % 2 == 0, "last")
     return fx.table(spark, sf_dir, "events").select("event_id", matching.first_known(first, second, last).alias("found"))
+
+
+# -- a whole scan -----------------------------------------------------------------------------------
+
+#: Fixed values of the stand-in: bits of 64 up to which pages are duplicates, and a session's most pages.
+SCAN_BITS, SCAN_PAGES = 26, 200
+
+
+class WholeFrame:
+    """An edge detector for frames that hold nothing but the page."""
+
+    def detect(self, image):
+        h, w = image.shape[:2]
+        return [(0, 0), (w, 0), (w, h), (0, h)]
+
+
+@query(f"""WITH RECURSIVE q AS (
+  SELECT label AS session, vec_id AS frame_idx, list_transform(embedding, lambda v, i: 2 * greatest(0, least(127, floor(v::DOUBLE * 256 + 64)))::INTEGER + CASE WHEN i = 1 THEN 1 ELSE 0 END) AS px FROM embeddings
+), h AS (
+  SELECT session, frame_idx, px, list_aggregate(list_transform(px, lambda v: CASE WHEN v > list_sum(px)::DOUBLE / 64 THEN '1' ELSE '0' END), 'string_agg', '') AS bits,
+    row_number() OVER (PARTITION BY session ORDER BY frame_idx) AS i FROM q
+), leaders AS (
+  SELECT session, frame_idx, i, true AS keep, [bits] AS kept FROM h WHERE i = 1
+  UNION ALL
+  SELECT session, frame_idx, i, far, CASE WHEN far THEN list_append(kept, bits) ELSE kept END FROM (
+    SELECT h.session, h.frame_idx, h.i, h.bits, l.kept, list_min(list_transform(l.kept, lambda b: hamming(b, h.bits))) > {SCAN_BITS} AS far
+    FROM leaders l JOIN h ON h.session = l.session AND h.i = l.i + 1)
+), pages AS (
+  SELECT session, frame_idx, row_number() OVER (PARTITION BY session ORDER BY i)::INTEGER AS position FROM leaders WHERE keep)
+SELECT session, frame_idx, position, 16 AS width, 16 AS height, sha256(list_aggregate(list_transform(range(256), lambda k: repeat(printf('%02X', px[(k // 32 * 8 + k % 16 // 2 + 1)::INTEGER]), 3)), 'string_agg', '')) AS pixels_sha256
+FROM pages JOIN q USING (session, frame_idx) WHERE position <= {SCAN_PAGES}""")
+def scanned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector a frame of 16 x 16 pixels, every label a session: the pages of each with their rectified images."""
+    level = lambda v, i: F.greatest(F.lit(0), F.least(F.lit(127), F.floor(v.cast("double") * 256 + 64))) * 2 + F.when(i == 0, 1).otherwise(0)
+    place = lambda k: (F.floor(k / 32) * 8 + F.floor(k % 16 / 2)).cast("int")
+    e = fx.table(spark, sf_dir, "embeddings").select("label", "vec_id", F.transform("embedding", level).alias("px"))
+    raw = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(255)), lambda k: F.lpad(F.hex(F.get("px", place(k))), 2, "0")), ""))
+    sizes = [F.lit(n).alias(c) for c, n in (("ready_state", 4), ("width", 16), ("height", 16), ("channels", 1))]
+    frames = e.select(F.col("label").cast("string").alias("session"), F.col("vec_id").alias("frame_idx"), F.col("vec_id").cast("double").alias("ts"), *sizes, raw.alias("pixels"))
+    scan = Scanner(width=16, height=16, threshold=4 * SCAN_BITS, most_pages=SCAN_PAGES, edges=WholeFrame).scan(frames)
+    kind = e.schema["label"].dataType
+    return scan.select(F.col("session").cast(kind).alias("session"), "frame_idx", "position", "width", "height", F.sha2(F.hex("pixels"), 256).alias("pixels_sha256"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions.hashing import bits_to_words, hash_bits
 from foliant.operators import backends, detection, folds, images, pages, reading_order, recognition
+from foliant.sources.shared import staged
 
 SIDE = 16
 
@@ -35,15 +36,31 @@ class Scanner:
         """
         ready = images.readable(frames)
         taken = folds.gap_sample(ready.select("session", "frame_idx", "ts"), ["session"], "ts", self.gap, ["frame_idx"], ["frame_idx"])
-        sampled = ready.join(taken.select("session", "frame_idx"), ["session", "frame_idx"], "left_semi")
-        found = backends.detect_edges(sampled, self.edges) if self.edges else images.detect(sampled)
-        flat = images.rectify(found.filter("quad IS NOT NULL"), self.width, self.height)
+        found = self._quads(ready.join(taken.select("session", "frame_idx"), ["session", "frame_idx"], "left_semi"))
         if self.classifier:
-            flat = recognition.classified(backends.classify(flat, self.classifier)).filter("accepted")
-        hashed = images.thumbnails(flat, SIDE).select("session", "frame_idx", "ts", bits_to_words(hash_bits(F.col("luma")), SIDE * SIDE).alias("words"))
+            flat = images.rectify(found, self.width, self.height)
+            small = images.thumbnails(recognition.classified(backends.classify(flat, self.classifier)).filter("accepted"), SIDE)
+        else:
+            small = images.rectified_thumbnails(found, self.width, self.height, SIDE)
+        hashed = small.select("session", "frame_idx", "ts", bits_to_words(hash_bits(F.col("luma")), SIDE * SIDE).alias("words"))
         kept = folds.greedy_dedup(hashed, ["session"], [F.col("ts"), F.col("frame_idx")], "words", self.threshold, ["frame_idx"])
         return pages.cap(kept.select("session", "frame_idx", F.col("ordinal").alias("position")), self.most_pages)
 
+    def _quads(self, frames: DataFrame) -> DataFrame:
+        found = backends.detect_edges(frames, self.edges) if self.edges else images.detect(frames)
+        return found.filter("quad IS NOT NULL")
+
+    def scan(self, frames: DataFrame) -> DataFrame:
+        """session, frame_idx, position and the rectified image (pixels, width, height, channels) of every page up to ``most_pages``.
+
+        The pages are settled first, by thumbnails; then the frames of those alone are rectified again, so that no rectified image is shuffled,
+        sorted or staged. frames as for ``pages``, with one row for each session and frame_idx.
+        """
+        kept = staged(self.pages(frames).filter("error IS NULL").select("session", "frame_idx", "position"), "scanned-pages")
+        wanted = images.readable(frames).join(kept, ["session", "frame_idx"])
+        flat = images.rectify(self._quads(wanted), self.width, self.height)
+        return flat.select("session", "frame_idx", "position", "pixels", "width", "height", "channels")
+
     def text(self, images_of_pages: DataFrame, crop: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
         """page, full_text of pages (page, pixels, width, height, channels): layout, recognition, reading order, assembly.
 

@@ -12,7 +12,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from foliant.functions import sequence
-from foliant.operators import backends, evaluate, pages, recognition
+from foliant.operators import backends, evaluate, images, pages, recognition
 from foliant.scanner import Scanner
 from foliant.sources import session
 from foliant.streaming import stateful
@@ -76,6 +76,13 @@ def test_scanner(spark):
     got = scan.pages(spark.createDataFrame(rows, FRAME)).orderBy("position").collect()
     assert [r.position for r in got] == list(range(1, len(got) + 1)) and [r.error for r in got][3:] == ["page-limit-exceeded"] * (len(got) - 3)
     assert {r.frame_idx // 4 for r in got} == {0, 1, 2, 3} and 99 not in {r.frame_idx for r in got}
+    whole = {r.frame_idx: r for r in scan.scan(spark.createDataFrame(rows, FRAME)).collect()}
+    assert {(i, r.position) for i, r in whole.items()} == {(r.frame_idx, r.position) for r in got if r.error is None}
+    quad = np.array([(1, 1), (6, 1), (6, 6), (1, 6)], float)
+    for i, r in whole.items():
+        assert bytes(r.pixels) == images.warp(images.image_of(rows[i][7], 8, 8, 1), quad, 32, 32).tobytes() and (r.width, r.height, r.channels) == (32, 32, 3)
+    plain = Scanner(width=32, height=32, edges=Model, threshold=30, most_pages=3).pages(spark.createDataFrame(rows, FRAME))
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, got))  # without a classifier pages go through one pass
     reader = Scanner(layout=Layout, recogniser=Model)
     page = spark.createDataFrame([("p", 8, 8, 3, bytearray([90] * 192))], "page string, width int, height int, channels int, pixels binary")
     crop = lambda p, lines: lines.select("page", "box").join(p, "page")

@@ -463,9 +463,9 @@ FROM pages JOIN q USING (session, frame_idx) WHERE position <= {SCAN_PAGES}""")
 def scanned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector a frame of 16 x 16 pixels, every label a session: the pages of each with their rectified images."""
     level = lambda v, i: F.greatest(F.lit(0), F.least(F.lit(127), F.floor(v.cast("double") * 256 + 64))) * 2 + F.when(i == 0, 1).otherwise(0)
-    place = lambda k: (F.floor(k / 32) * 8 + F.floor(k % 16 / 2)).cast("int")
-    e = fx.table(spark, sf_dir, "embeddings").select("label", "vec_id", F.transform("embedding", level).alias("px"))
-    raw = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(255)), lambda k: F.lpad(F.hex(F.get("px", place(k))), 2, "0")), ""))
+    twice = F.transform("embedding", lambda v, i: F.repeat(F.lpad(F.hex(level(v, i)), 2, "0"), 2))
+    raw = F.unhex(F.regexp_replace(F.array_join(twice, ""), "(.{32})", "$1$1"))  # each row of pixels twice
+    e = fx.table(spark, sf_dir, "embeddings")
     sizes = [F.lit(n).alias(c) for c, n in (("ready_state", 4), ("width", 16), ("height", 16), ("channels", 1))]
     frames = e.select(F.col("label").cast("string").alias("session"), F.col("vec_id").alias("frame_idx"), F.col("vec_id").cast("double").alias("ts"), *sizes, raw.alias("pixels"))
     scan = Scanner(width=16, height=16, threshold=4 * SCAN_BITS, most_pages=SCAN_PAGES, edges=WholeFrame).scan(frames)

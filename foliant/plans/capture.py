@@ -219,15 +219,19 @@ def pixel_warp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Fixed value of the stand-in: events by number in one recording, so that a recording's size is bounded.
 RECORDING = 1 << 16
+#: Users and recordings of each, by number, in one folder, so that a folder's files are bounded.
+FOLDER = 256, 16
 
 
 def recordings(spark: SparkSession, sf_dir: str, path: str) -> None:
-    """Every user's events as media containers in one folder: an event is a frame of its number's digits."""
+    """Every user's events as media containers, in folders by users and numbers: an event is a frame of its number's digits."""
     ship(spark)
     rows = fx.table(spark, sf_dir, "events").select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), (F.col("event_type") == "error").alias("k"))
     frame = F.struct("ms", "event_id", F.coalesce("k", F.lit(False)).alias("k"))
     held = rows.groupBy("user_id", F.floor(F.col("event_id") / RECORDING).alias("part")).agg(F.array_sort(F.collect_list(frame)).alias("f"))
-    name = F.concat(F.concat_ws("-", F.lpad(F.col("user_id").cast("string"), 20, "0"), F.lpad(F.col("part").cast("string"), 20, "0")), F.lit(".mp4"))
+    joined = lambda *c: F.concat_ws("-", *[F.lpad(x.cast("string"), 20, "0") for x in c])
+    user, part = F.col("user_id"), F.col("part")
+    name = F.concat(joined(F.floor(user / FOLDER[0]), F.floor(part / FOLDER[1])), F.lit("/"), joined(user, part), F.lit(".mp4"))
     held = held.select(name.alias("file"), F.col("f")["ms"].alias("ms"), F.col("f")["event_id"].alias("ids"), F.col("f")["k"].alias("k"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +247,7 @@ def recordings(spark: SparkSession, sf_dir: str, path: str) -> None:
 
 
 def _recording(path: Column) -> list[Column]:
-    return [F.regexp_extract(path, r"0*(\d+)-0*(\d+)\.mp4$", k).cast("long").alias(n) for k, n in ((1, "session"), (2, "part"))]
+    return [F.regexp_extract(F.substring_index(path, "/", -1), r"0*(\d+)-0*(\d+)\.mp4$", k).cast("long").alias(n) for k, n in ((1, "session"), (2, "part"))]
 
 
 @query(f"""WITH f AS (
@@ -267,7 +271,7 @@ def camera_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same recordings streamed frame by frame, as a camera's segments, and what each brought."""
     path = shared_path(spark, "segments")
     recordings(spark, sf_dir, f"{path}/in")
-    frames = camera.camera(spark, f"{path}/in", f"{path}/progress", 50_000)
+    frames = camera.camera(spark, f"{path}/in", f"{path}/progress", 50_000, nested=True)
     write = lambda batch, k: batch.write.mode("overwrite").parquet(f"{path}/out/batch={k}")
     query = frames.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").start()
     try:

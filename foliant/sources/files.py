@@ -5,18 +5,25 @@ attempts failed, were repeated or came too late leaves with that folder. A manif
 and moved) names what it added. ``overwrite`` takes away what earlier manifests name and this job did not write anew; ``append`` leaves it, and
 a file of the same name is replaced.
 
+The names of an attempt's files lie beside them, not in its message, and the commit takes them name by name: of the files of a job the driver
+holds 8 bytes each, to see that no two have the same name. (``overwrite`` holds the names, old and new.)
+
 A file is one stream of bytes, so its rows come to one task in order; the task holds one page at a time and, for PDF, the place of each object.
 """
 
 from __future__ import annotations
 
+import hashlib
+import io
 import json
 import re
 import uuid
 import zipfile
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +33,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 from foliant.shipping import ship
 
 NAME = "capture_files"
-ATTEMPTS = "_attempts"
+ATTEMPTS, NAMES = "_attempts", "_names"
 POINTS = 72 / 25.4
 #: Columns of a row by kind of file, after ``file`` and ``part``; ``part`` gives the order.
 COLUMNS = {"raw": ("content",), "zip": ("name", "content"), "pdf": ("content", "width", "height", "w", "h", "x", "y", "page_w", "page_h")}
@@ -120,7 +127,7 @@ def safe(name: str | None) -> str:
 @dataclass
 class Made(WriterCommitMessage):
     folder: str
-    files: tuple[str, ...]
+    many: int
 
 
 class FileWriter(DataSourceArrowWriter):
@@ -159,25 +166,31 @@ class FileWriter(DataSourceArrowWriter):
                     file = KINDS[self.kind](out)
                 file.add(row)
         close()
-        return Made(folder, tuple(done))
+        if done:
+            with fs.open_output_stream(f"{folder}/{NAMES}", compression=None) as f:
+                for name in done:
+                    f.write(json.dumps(name).encode() + b"\n")
+        return Made(folder, len(done))
 
     def commit(self, messages: list[Made | None]) -> None:
         fs, root = self.place()
-        made = [(m.folder, name) for m in messages if m is not None for name in m.files]
-        new = {name for _, name in made}
-        if len(new) < len(made):
+        if self.twice(messages):
             self.abort(messages)
             raise ValueError("two tasks wrote a file of the same name")
-        old = manifests(fs, root)
-        for folder, name in made:
-            fs.create_dir(f"{root}/{name}".rpartition("/")[0], recursive=True)
-            fs.move(f"{folder}/{name}", f"{root}/{name}")
+        old = manifests(fs, root) if self.overwrite else {}
         fs.create_dir(f"{root}/{ATTEMPTS}/{self.job}", recursive=True)
-        aside = f"{root}/{ATTEMPTS}/{self.job}/manifest"
+        aside, last = f"{root}/{ATTEMPTS}/{self.job}/manifest", None
         with fs.open_output_stream(aside, compression=None) as f:
-            f.write(json.dumps(sorted(new)).encode())
+            f.write(b"[")
+            for k, (folder, name) in enumerate(self.made(messages)):
+                if (at := f"{root}/{name}".rpartition("/")[0]) != last:
+                    fs.create_dir(last := at, recursive=True)
+                fs.move(f"{folder}/{name}", f"{root}/{name}")
+                f.write(b",\n" * bool(k) + json.dumps(name).encode())
+            f.write(b"]")
         fs.move(aside, f"{root}/_files-{self.job}.json")
         if self.overwrite:
+            new = {name for _, name in self.made(messages)}
             for manifest, names in old.items():
                 for name in set(names) - new:
                     if fs.get_file_info(f"{root}/{name}").type == pafs.FileType.File:
@@ -185,6 +198,24 @@ class FileWriter(DataSourceArrowWriter):
                 fs.delete_file(manifest)
         fs.delete_dir(f"{root}/{ATTEMPTS}/{self.job}")
 
+    def made(self, messages: list[Made | None]) -> Iterator[tuple[str, str]]:
+        """(attempt's folder, name) of each file, as the attempts wrote them down."""
+        fs, _ = self.place()
+        for m in messages:
+            if m is not None and m.many:
+                with fs.open_input_stream(f"{m.folder}/{NAMES}", compression=None) as f:
+                    for line in io.BufferedReader(f):
+                        yield m.folder, json.loads(line)
+
+    def twice(self, messages: list[Made | None]) -> bool:
+        """Whether two files have the same name: numbers of 64 bits for all names, the names themselves where numbers are equal."""
+        number = lambda name: int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest())
+        held = np.array(array("Q", (number(name) for _, name in self.made(messages))), np.uint64)
+        held.sort()
+        again = set(held[1:][held[1:] == held[:-1]].tolist())
+        same = [name for _, name in self.made(messages) if number(name) in again] if again else []
+        return len(set(same)) < len(same)
+
     def abort(self, messages: list[Made | None]) -> None:
         fs, root = self.place()
         if fs.get_file_info(f"{root}/{ATTEMPTS}/{self.job}").type == pafs.FileType.Directory:

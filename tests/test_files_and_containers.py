@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import pickle
 import re
 import struct
 import zipfile
@@ -57,6 +58,22 @@ def test_repeated_attempt_shows_once(spark, tmp_path):
         two.commit([two.write(iter(batch)), two.write(iter(batch))])
 
 
+def test_messages_do_not_grow_with_files(spark, tmp_path):
+    """What the driver gets of a task is as small for 400 files as for one; every file comes through, and names still have to differ."""
+    batches = lambda names: iter(rows(spark, names, 1).select("file", "part", "content").sort("file").toArrow().to_batches())
+    names = [f"d{k % 4}/file-{k:05d}.bin" for k in range(400)]
+    writer = files.FileWriter({"path": str(tmp_path), "kind": "raw"}, False)
+    done = [writer.write(batches(names[:350])), writer.write(batches(names[350:])), writer.write(iter([]))]
+    assert max(len(pickle.dumps(m)) for m in done) < 500
+    writer.commit(done)
+    assert seen(tmp_path) == set(names) and not list(tmp_path.glob("_attempts/*"))
+    assert [r["file"] for r in files.written(spark, str(tmp_path)).sort("file").collect()] == sorted(names)
+    two = files.FileWriter({"path": str(tmp_path), "kind": "raw"}, False)
+    with pytest.raises(ValueError, match="same name"):
+        two.commit([two.write(batches(["x.bin", *names[:50]])), two.write(batches(["y.bin", names[7]]))])
+    assert seen(tmp_path) == set(names)
+
+
 def test_zip(spark, tmp_path):
     files.write_files(rows(spark, ["a.zip", "b.zip"], 12), str(tmp_path), "zip")
     z = zipfile.ZipFile(tmp_path / "a.zip")

@@ -158,6 +158,25 @@ def test_frames(spark, folder):
     assert "payload" not in keys.columns and keys.filter(F.col("path").endswith("/a.mp4")).count() == 3
 
 
+def test_partitions_stay_few_and_small(spark, tmp_path):
+    """3,000 files in folders: each is read once, in no more partitions than asked for, whose paths don't lie on the driver as they are."""
+    data, paths = video(3)[2], []
+    for k in range(3000):
+        paths.append(f"{tmp_path}/{k // 1000:020d}/{k // 100:020d}/{k:020d}.mp4")
+        if k % 100 == 0:
+            Path(paths[-1]).parent.mkdir(parents=True)
+        Path(paths[-1]).write_bytes(data)
+    schema = spark.createDataFrame([], containers.INFO).select("path", "bytes", "frames").schema
+    shares = containers.ContainerReader({"path": str(tmp_path), "partitions": "10"}, schema).partitions()
+    assert len(shares) <= 10 and sum(len(pickle.dumps(x)) for x in shares) < sum(map(len, paths)) / 5
+    assert [x for s in shares for x in s.files()] == [(p, len(data)) for p in paths]
+    few = containers.ContainerReader({"path": str(tmp_path), "partitions": "1"}, schema)
+    rows = [r for s in few.partitions() for b in few.read(s) for r in b.to_pylist()]
+    assert rows == [{"path": p, "bytes": len(data), "frames": 3} for p in paths]
+    assert containers.video_info(spark, str(tmp_path)).count() == 3000
+    assert containers.ContainerReader({"path": str(tmp_path)}, schema).partitions()[0].packed[1:] == ()
+
+
 class Counted(io.BytesIO):
     taken = 0
 

@@ -210,7 +210,7 @@ class FileWriter(DataSourceArrowWriter):
     def twice(self, messages: list[Made | None]) -> bool:
         """Whether two files have the same name: numbers of 64 bits for all names, the names themselves where numbers are equal."""
         number = lambda name: int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest())
-        held = np.array(array("Q", (number(name) for _, name in self.made(messages))), np.uint64)
+        held = np.asarray(array("Q", (number(name) for _, name in self.made(messages))))
         held.sort()
         again = set(held[1:][held[1:] == held[:-1]].tolist())
         same = [name for _, name in self.made(messages) if number(name) in again] if again else []
